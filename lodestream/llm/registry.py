@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from lodestream.llm.bpe import op1_bpe
+from lodestream.llm.mixing import op10_mixing
 from lodestream.llm.quality import op7_quality
 from lodestream.llm.url_filter import OP4_SQL, op4_url_filter
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_url_filter": op4_url_filter, "op7_quality": op7_quality}
+QUERIES = {"op1_bpe": op1_bpe, "op4_url_filter": op4_url_filter, "op7_quality": op7_quality, "op10_mixing": op10_mixing}
 ORACLE_SQL: dict[str, str] = {"op4_url_filter": OP4_SQL}
