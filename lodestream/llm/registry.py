@@ -8,7 +8,8 @@ from lodestream.llm.licenses import op3_licenses
 from lodestream.llm.mixing import op10_mixing
 from lodestream.llm.quality import op7_quality
 from lodestream.llm.token_file import op6_token_file
+from lodestream.llm.toxicity import op8_toxicity
 from lodestream.llm.url_filter import OP4_SQL, op4_url_filter
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_url_filter": op4_url_filter, "op7_quality": op7_quality, "op10_mixing": op10_mixing, "op6_token_file": op6_token_file, "op3_licenses": op3_licenses, "op5_language": op5_language}
+QUERIES = {"op1_bpe": op1_bpe, "op4_url_filter": op4_url_filter, "op7_quality": op7_quality, "op10_mixing": op10_mixing, "op6_token_file": op6_token_file, "op3_licenses": op3_licenses, "op5_language": op5_language, "op8_toxicity": op8_toxicity}
 ORACLE_SQL: dict[str, str] = {"op4_url_filter": OP4_SQL}
