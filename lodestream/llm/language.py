@@ -179,7 +179,7 @@ class _Scorer:
 
     def logits(self, texts: list[list[bytes]]) -> np.ndarray:
         used = set().union(*texts) if texts else set()
-        new = list(used - self.row.keys())
+        new = [w for w in used if w not in self.row]
         if len(self.row) + len(new) > CACHE_WORDS:
             self.row.clear()
             self.shares = self.shares[:0]
