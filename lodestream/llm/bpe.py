@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
 import struct
 from collections.abc import Iterator
 
@@ -27,8 +28,9 @@ from pyspark.sql import functions as F
 from lodestream.session import table, tune
 
 _NONE = 1 << 62
-#: Words kept per Python worker; beyond that the memory is emptied and filled anew. Only speed depends on it.
-CACHE_WORDS = 400_000
+#: Pieces of text kept per Python worker; beyond that the memory is emptied and filled anew. Only speed depends on it.
+CACHE_WORDS = 600_000
+#: Words of up to so many bytes are encoded many at a time.
 CACHE_BYTES = 64
 
 
@@ -98,21 +100,63 @@ def byte_letters() -> dict[int, str]:
     return out
 
 
-class _Words(dict):
-    """Word -> its ids as little-endian unsigned 32-bit integers; fills itself."""
+def merge_many(symbols: np.ndarray, ranks: PairRanks) -> np.ndarray:
+    """Merge many short words at once: one segment tree per row, all advanced in step.
 
-    def __init__(self, owner: ByteBPE):
-        self.owner = owner
-
-    def __missing__(self, word: str) -> bytes:
-        raw = word.encode()
-        ids = self.owner.word_ids(raw)
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(raw) <= CACHE_BYTES:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = packed
-        return packed
+    symbols is (words, symbols) padded with -1 at the end; the result has -1 in place of what was merged away.
+    """
+    words, columns = symbols.shape
+    width = 1 << max(1, (columns - 2).bit_length())
+    tree = np.full((words, 2 * width), _NONE, np.int64)
+    tree[:, width : width + columns - 1] = ranks.keys(symbols[:, :-1], symbols[:, 1:], np.arange(columns - 1))
+    for node in range(width - 1, 0, -1):
+        tree[:, node] = np.minimum(tree[:, 2 * node], tree[:, 2 * node + 1])
+    out = np.full((words, width + 2), -1, np.int64)  # the last column takes what falls off the end
+    out[:, :columns] = symbols
+    after = np.tile(np.minimum(np.arange(1, width + 3), width + 1), (words, 1))
+    before = np.tile(np.maximum(np.arange(-1, width + 1), -1), (words, 1))
+    rows = np.flatnonzero(tree[:, 1] != _NONE)
+    while len(rows):
+        top = tree[rows, 1]
+        i = top & 0xFFFFFFFF
+        j = after[rows, i]
+        out[rows, i] = ranks.merged[top >> 32]
+        out[rows, j] = -1
+        k = after[rows, j]
+        after[rows, i] = k
+        before[rows, k] = i
+        h = before[rows, i]
+        left = np.maximum(h, 0)
+        new = ((i, ranks.keys(out[rows, i], out[rows, k], i)), (j, np.full(len(rows), _NONE)), (left, np.where(h >= 0, ranks.keys(out[rows, left], out[rows, i], left), 0)))
+        for at, key in new[:2]:
+            on = at < width
+            tree[rows[on], width + at[on]] = key[on]
+        on = h >= 0
+        tree[rows[on], width + left[on]] = new[2][1][on]
+        for at, _ in new:
+            node = (width + np.minimum(at, width - 1)) >> 1
+            while node[0]:
+                tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
+                node >>= 1
+        rows = rows[tree[rows, 1] != _NONE]
+    return out[:, :columns]
+
+
+class PairRanks:
+    """Ranks of pairs for arrays: sorted pair keys, their ranks, and the id each rank makes."""
+
+    def __init__(self, ranks: dict[tuple[int, int], tuple[int, int]]):
+        made = sorted((a << 32 | b, r) for (a, b), (r, _) in ranks.items())
+        self.pairs = np.array([x for x, _ in made] + [_NONE], np.int64)
+        self.rank = np.array([r for _, r in made] + [0], np.int64)
+        self.merged = np.zeros(1 + max((r for r, _ in ranks.values()), default=0), np.int64)
+        for r, m in ranks.values():
+            self.merged[r] = m
+
+    def keys(self, a: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
+        pair = np.where((a < 0) | (b < 0), -1, a << 32 | b)
+        k = np.searchsorted(self.pairs, pair)
+        return np.where(self.pairs[k] == pair, self.rank[k] << 32 | at, _NONE)
 
 
 class ByteBPE:
@@ -140,22 +184,89 @@ class ByteBPE:
             self.bytes_of[i] = bytes(back[c] for c in word)
         for word, i in special.items():
             self.bytes_of[i] = word.encode()
+        self.pair_ranks = PairRanks(self.ranks)
+        self.start_array = np.array(self.start, np.int64)
         self.special = {w: struct.pack("<I", i) for w, i in special.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.find = regex.compile(self.PATTERN).findall
-        self.words = _Words(self)
+        #: Most texts hold only these characters; for them a plainer pattern finds the same words faster.
+        self.other = re.compile(r"[^\n -~\u00C0-\u00FF]").search
+        letters = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF"
+        self.find_plain = re.compile(rf" ?[{letters}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^ \n{letters}0-9]+|[ \n]+(?![^ \n])|[ \n]+").findall
+        self.pieces: dict[str, bytes] = {}
 
     def word_ids(self, word: bytes) -> list[int]:
         start = self.start
         return merge([start[b] for b in word], self.ranks)
 
+    def words_ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word: short words together, long ones each with a tree of its own."""
+        out: list[bytes] = [b""] * len(words)
+        groups: dict[int, list[int]] = {}
+        for k, w in enumerate(words):
+            if 2 <= len(w) <= CACHE_BYTES:
+                groups.setdefault(max(4, (len(w) - 1).bit_length() + 1), []).append(k)
+            else:
+                ids = self.word_ids(w)
+                out[k] = struct.pack(f"<{len(ids)}I", *ids)
+        for members in groups.values():
+            sizes = np.array([len(words[k]) for k in members])
+            columns = int(sizes.max())
+            symbols = np.full((len(members), columns), -1, np.int64)
+            symbols[np.arange(columns) < sizes[:, None]] = self.start_array[np.frombuffer(b"".join(words[k] for k in members), np.uint8)]
+            done = merge_many(symbols, self.pair_ranks)
+            stays = done >= 0
+            packed = done[stays].astype("<u4").tobytes()
+            ends = 4 * np.cumsum(stays.sum(1))
+            at = 0
+            for k, end in zip(members, ends.tolist(), strict=True):
+                out[k] = packed[at:end]
+                at = end
+        return out
+
+    def cut_up(self, text: str) -> list[str]:
+        return self.find(text) if self.other(text) else self.find_plain(text)
+
+    def learn(self, words: set[str]) -> None:
+        """Encode words that are not known yet."""
+        order = list(words)
+        self.pieces.update(zip(order, self.words_ids([w.encode() for w in order]), strict=True))
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        get = self.words.__getitem__
-        if self.cut and any(s in text for s in self.special):
-            parts = (self.special[p] if p in self.special else b"".join(map(get, self.find(p))) for p in self.cut.split(text) if p)
-            return b"".join(parts)
-        return b"".join(map(get, self.find(text)))
+        return self.encode_batch([text])[0]
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        cut = []
+        for text in texts:
+            if self.cut and any(s in text for s in self.special):
+                parts = [p if p in self.special else self.cut_up(p) for p in self.cut.split(text) if p]
+            else:
+                parts = [self.cut_up(text)] if text else []
+            cut.append(parts)
+        out, at = [], 0
+        while at < len(cut):  # some texts at a time: what is new in them is encoded together
+            size, end = 0, at
+            while end < len(cut) and size < CACHE_WORDS:
+                size += sum(len(p) for p in cut[end])
+                end += 1
+            new: set[str] = set()
+            for parts in cut[at:end]:
+                for p in parts:
+                    if not isinstance(p, str):
+                        new.update(p)
+            known = self.pieces
+            new = {w for w in new if w not in known}
+            if len(known) + len(new) > CACHE_WORDS:
+                known.clear()
+                new = {x for parts in cut[at:end] for p in parts if not isinstance(p, str) for x in p}
+            if new:
+                self.learn(new)
+            get = known.__getitem__
+            for parts in cut[at:end]:
+                out.append(b"".join([self.special[p] if isinstance(p, str) else b"".join(map(get, p)) for p in parts]))
+            at = end
+        return out
 
     def decode(self, packed: bytes) -> str:
         ids = np.frombuffer(packed, "<u4").tolist()
@@ -175,7 +286,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
         for batch in batches:
-            ids = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
+            ids = bpe.encode_batch([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], [id_col, "ids", "n_tokens"]
             )
@@ -205,8 +316,7 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
         sha = hashlib.sha256
         for batch in batches:
             n, a, b = [], [], []
-            for text in batch.column(1).to_pylist():
-                packed = bpe.encode(text or "")
+            for packed in bpe.encode_batch([t or "" for t in batch.column(1).to_pylist()]):
                 n.append(len(packed) // 4)
                 a.append(sha(packed).hexdigest())
                 b.append(sha(bpe.decode(packed).encode()).hexdigest())
