@@ -196,9 +196,9 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e, len(embedding) AS n, row_number() OVER () AS k
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e, len(embedding) AS n, row_number() OVER () AS k
     FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
-        AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 t AS (SELECT vec_id, k, n, unnest(e) AS x, unnest(range(n)) AS d FROM v),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, c.k, sum(q.x * c.x) AS score FROM t q JOIN t c ON q.d = c.d AND q.n = c.n AND q.vec_id <> c.vec_id
     WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, q.k, c.vec_id, c.k),
