@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,7 +31,8 @@ from lodestream.session import settle, table, tune
 
 #: Rows of each label that the model learns from, at most about so many.
 PER_LABEL = 2500
-MIN_DOCUMENTS = 4
+MIN_DOCUMENTS = 3
+CHANCE = 0.05
 CANDIDATES = 4000
 ENTRIES = 400
 COVER = 3
@@ -170,12 +171,23 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-(self.slope * np.log1p(evidence) + self.bias)))
 
 
+class _Weights(dict):
+    """Token -> weight; asks once for each token."""
+
+    def __init__(self, ask: Callable[[str], float]):
+        self.ask = ask
+
+    def __missing__(self, token: str) -> float:
+        weight = self[token] = self.ask(token)
+        return weight
+
+
 class Matcher:
     """Evidence of texts; remembers tokens."""
 
     def __init__(self, model: ToxicityModel):
         self.trie = LexiconTrie(model.entries, model.exceptions)
-        self.known: dict[str, float] = {}
+        self.known = _Weights(self._weight)
 
     def _weight(self, token: str) -> float:
         word = clean(token)
@@ -186,14 +198,9 @@ class Matcher:
 
     def hits(self, tokens: list[str]) -> list[tuple[int, float, bool]]:
         """(place, weight, quoted) of each hit."""
-        known = self.known
-        new = set(tokens) - known.keys()
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = set(tokens)
-        for t in new:
-            known[t] = self._weight(t)
-        return [(i, w, self._quoted(tokens, i)) for i, w in enumerate(map(known.__getitem__, tokens)) if w]
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        return [(i, w, self._quoted(tokens, i)) for i, w in enumerate(map(self.known.__getitem__, tokens)) if w]
 
     @staticmethod
     def _quoted(tokens: list[str], i: int) -> bool:
@@ -210,24 +217,30 @@ class Matcher:
         return sum(w * (QUOTED if q else 1.0) for _, w, q in found), len(found), sum(q for _, _, q in found)
 
 
-def choose(incidence: list[tuple[int, list[int]]], terms: list[str], weights: list[float]) -> list[int]:
+def choose(incidence: list[tuple[int, list[int]]], terms: list[str]) -> list[int]:
     """Entries that together cover each toxic row COVER times with few harmless ones: greedy, by rows newly covered."""
     y = np.array([i[0] for i in incidence])
     on = np.zeros((len(incidence), len(terms)), bool)
     for r, (_, ks) in enumerate(incidence):
         on[r, ks] = True
-    pos, cost = on[y == 1], 4.0 * on[y == 0].sum(0)
+    pos, cost = on[y == 1], 1.0 * on[y == 0].sum(0)
     need = np.minimum(COVER, pos.sum(1))
     out: list[int] = []
-    tie = np.array([min(w, 10) + (0.5 if t[0] == "^" else 0) for t, w in zip(terms, weights, strict=True)])
+    barred: list[int] = []
+    # a word is preferred to a stem of it that says the same, a longer stem to a shorter one
+    exact = np.array([1.2 if t[0] == "=" else 1 + 0.02 * len(t) for t in terms])
     while (need > 0).any() and len(out) < ENTRIES:
         gain = pos[need > 0].sum(0) - cost
-        gain[out] = -np.inf
-        k = int(np.argmax(gain + 1e-3 * tie))
+        gain[out + barred] = -np.inf
+        k = int(np.argmax(np.where(gain > 0, gain * exact, gain)))
         if gain[k] < max(2, 0.004 * len(pos)):
             break
         out.append(k)
         need = np.maximum(0, need - pos[:, k])
+        # a stem that says little more than a word it begins would only catch strangers
+        for c, t in enumerate(terms):
+            if t[0] == "^" and terms[k][0] == "=" and terms[k][1:].startswith(t[1:]) and pos[:, c].sum() <= 1.2 * pos[:, k].sum():
+                barred.append(c)
     return out
 
 
@@ -263,9 +276,15 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Tox
 
     a, b = F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")
     weight = F.log((F.col("a") + 0.5) / (sizes[1] + 1)) - F.log((F.col("b") + 0.5) / (sizes[0] + 1))
-    least = max(MIN_DOCUMENTS, int(0.01 * sizes[1])) if sizes[1] >= 40 else 2
-    counted = rows.select("toxic", "text").mapInArrow(terms, "toxic int, term string").groupBy("term").agg(a, b)
-    found = counted.withColumn("w", weight).where((F.col("a") >= least) & (F.col("w") > 2)).orderBy(F.desc(F.col("a") * F.col("w")), "term").limit(CANDIDATES).collect()
+    share = sizes[1] / (sizes[0] + sizes[1])
+    counted = settle(rows.select("toxic", "text").mapInArrow(terms, "toxic int, term string").groupBy("term").agg(a, b).where(F.col("a") + F.col("b") >= MIN_DOCUMENTS), "terms")
+    # so many terms are tried that some stand out by chance: the log-likelihood ratio has to outweigh their number
+    n = F.col("a") + F.col("b")
+    part = lambda x, q: F.when(x > 0, x * F.log(x / (n * q))).otherwise(0.0)
+    ratio = 2 * (part(F.col("a"), share) + part(F.col("b"), 1 - share))
+    bar = 2 * np.log(max(1, counted.count()) / CHANCE)
+    good = counted.withColumn("w", weight).where((ratio > float(bar)) & (F.col("w") > 2))
+    found = good.orderBy(F.desc(F.col("a") * F.col("w")), "term").limit(CANDIDATES).collect()
     names = [r.term for r in found]
     number = {t: k for k, t in enumerate(names)}
 
@@ -275,7 +294,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Tox
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ks, pa.list_(pa.int32()))], ["toxic", "ks"])
 
     incidence = sorted((r.toxic, r.ks) for r in rows.select("toxic", "text").mapInArrow(marked, "toxic int, ks array<int>").collect())
-    picked = choose(incidence, names, [r.w for r in found]) if names else []
+    picked = choose(incidence, names) if names else []
     entries = tuple(Entry(names[k][1:], names[k][0] == "^", min(3.0, found[k].w / 2)) for k in picked)
 
     plain = ToxicityModel(entries, frozenset(), 0.0, 0.0, True)
