@@ -16,14 +16,13 @@ def norm_cdf(x: Column) -> Column:
     """Normal distribution function: a continued fraction in the tails, a series in the middle; error below 1e-12."""
     a = F.abs(x)
     density = F.exp(-a * a / 2) / math.sqrt(2 * math.pi)
-    term, total = a, a
-    for k in range(1, 60):
-        term = term * a * a / (2 * k + 1)
-        total = total + term
-    tail = a + 0
+    series = F.lit(1.0)
+    for k in range(60, 0, -1):
+        series = 1 + a * a / (2 * k + 1) * series
+    tail = a
     for k in range(40, 0, -1):
         tail = a + F.lit(float(k)) / tail
-    upper = F.when(a < 3, 0.5 - density * total).otherwise(density / tail)
+    upper = F.when(a < 3, 0.5 - density * a * series).otherwise(density / tail)
     return F.when(x >= 0, 1 - upper).otherwise(upper)
 
 

@@ -1,6 +1,6 @@
 """Registered queries over the input tables."""
 
-from lodestream.plans import market  # noqa: F401
+from lodestream.plans import market, research  # noqa: F401
 from lodestream.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
