@@ -132,7 +132,7 @@ def append_journal(df: DataFrame, path: str) -> None:
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a markdown table as arrays of trimmed cells; header and ruler lines are left out."""
     lines = spark.read.text(path).where(F.col("value").startswith("|") & ~F.col("value").rlike(r"^\|[\s:|-]+\|?$"))
-    cells = F.transform(F.split(F.regexp_replace("value", r"^\||\|\s*$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace("value", r"^\||\|\s*$", ""), r"\|"), lambda x: F.trim(x))
     return lines.select(cells.alias("cells"))
 
 
