@@ -33,6 +33,8 @@ from lodestream.session import settle, table, tune
 PER_LABEL = 2500
 MIN_DOCUMENTS = 3
 CHANCE = 0.05
+#: Log of the odds ratio that an entry has to have.
+LEAST_ODDS = 3.0
 CANDIDATES = 4000
 ENTRIES = 400
 COVER = 3
@@ -223,7 +225,7 @@ def choose(incidence: list[tuple[int, list[int]]], terms: list[str]) -> list[int
     on = np.zeros((len(incidence), len(terms)), bool)
     for r, (_, ks) in enumerate(incidence):
         on[r, ks] = True
-    pos, cost = on[y == 1], 1.0 * on[y == 0].sum(0)
+    pos, cost = on[y == 1], 2.0 * on[y == 0].sum(0)
     need = np.minimum(COVER, pos.sum(1))
     out: list[int] = []
     barred: list[int] = []
@@ -237,9 +239,9 @@ def choose(incidence: list[tuple[int, list[int]]], terms: list[str]) -> list[int
             break
         out.append(k)
         need = np.maximum(0, need - pos[:, k])
-        # a stem that says little more than a word it begins would only catch strangers
+        # a stem that says little more than a longer entry which begins with it would only catch strangers
         for c, t in enumerate(terms):
-            if t[0] == "^" and terms[k][0] == "=" and terms[k][1:].startswith(t[1:]) and pos[:, c].sum() <= 1.2 * pos[:, k].sum():
+            if t[0] == "^" and c != k and terms[k][1:].startswith(t[1:]) and pos[:, c].sum() <= 1.2 * pos[:, k].sum():
                 barred.append(c)
     return out
 
@@ -283,7 +285,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Tox
     part = lambda x, q: F.when(x > 0, x * F.log(x / (n * q))).otherwise(0.0)
     ratio = 2 * (part(F.col("a"), share) + part(F.col("b"), 1 - share))
     bar = 2 * np.log(max(1, counted.count()) / CHANCE)
-    good = counted.withColumn("w", weight).where((ratio > float(bar)) & (F.col("w") > 2))
+    good = counted.withColumn("w", weight).where((ratio > float(bar)) & (F.col("w") > LEAST_ODDS))
     found = good.orderBy(F.desc(F.col("a") * F.col("w")), "term").limit(CANDIDATES).collect()
     names = [r.term for r in found]
     number = {t: k for k, t in enumerate(names)}
