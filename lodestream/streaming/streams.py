@@ -5,13 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.session import shared_dir
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-QUOTE = "s string, b string, B string, a string, A string, E bigint, T bigint"
 
 
 def ticks(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:
@@ -23,18 +22,35 @@ def ticks(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:
     )
 
 
+def _field(path: str) -> Column:
+    """A field of a JSON message; names differ by case alone, so they are not columns of one struct."""
+    return F.get_json_object("value", path)
+
+
 def quotes(raw: DataFrame) -> DataFrame:
     """Quote messages (column value, JSON) to symbol, ts, bid, bid_qty, ask, ask_qty; event time, else arrival. Bad rows go."""
-    j = raw.withColumn("j", F.from_json("value", QUOTE, {"caseSensitive": "true"})).where("j.s is not null and j.b is not null and j.a is not null")
-    ts = F.coalesce(F.timestamp_millis("j.E"), F.timestamp_millis("j.T"), F.current_timestamp())
-    n = lambda c: F.col(c).cast("double")
-    return j.select(F.col("j.s").alias("symbol"), ts.alias("ts"), n("j.b").alias("bid"), F.get_json_object("value", "$.B").cast("double").alias("bid_qty"), n("j.a").alias("ask"), F.get_json_object("value", "$.A").cast("double").alias("ask_qty"))
+    ok = raw.where(_field("$.s").isNotNull() & _field("$.b").isNotNull() & _field("$.a").isNotNull())
+    ts = F.coalesce(F.timestamp_millis(_field("$.E").cast("bigint")), F.timestamp_millis(_field("$.T").cast("bigint")), F.current_timestamp())
+    return ok.select(_field("$.s").alias("symbol"), ts.alias("ts"), *[_field(f"$.{k}").cast("double").alias(n) for k, n in (("b", "bid"), ("B", "bid_qty"), ("a", "ask"), ("A", "ask_qty"))])
 
 
 def liquidations(raw: DataFrame) -> DataFrame:
     """Nested liquidation messages to symbol, ts, side, price, qty."""
-    j = raw.withColumn("j", F.from_json("value", "E bigint, o struct<s: string, S: string, p: string, q: string, T: bigint>", {"caseSensitive": "true"})).where("j.o is not null")
-    return j.select(F.get_json_object("value", "$.o.s").alias("symbol"), F.timestamp_millis(F.coalesce("j.o.T", "j.E")).alias("ts"), F.lower(F.get_json_object("value", "$.o.S")).alias("side"), F.col("j.o.p").cast("double").alias("price"), F.col("j.o.q").cast("double").alias("qty"))
+    ts = F.timestamp_millis(F.coalesce(_field("$.o.T"), _field("$.E")).cast("bigint"))
+    return raw.where(_field("$.o.s").isNotNull()).select(
+        _field("$.o.s").alias("symbol"), ts.alias("ts"), F.lower(_field("$.o.S")).alias("side"), _field("$.o.p").cast("double").alias("price"), _field("$.o.q").cast("double").alias("qty")
+    )
+
+
+def order_events(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Order updates as typed rows, and the rejected messages."""
+    kind = _field("$.e")
+    good = kind.eqNullSafe(F.lit("ORDER_TRADE_UPDATE")) & _field("$.o.i").isNotNull()
+    rows = raw.where(good).select(
+        F.timestamp_millis(_field("$.E").cast("bigint")).alias("ts"), _field("$.o.s").alias("symbol"), _field("$.o.i").cast("bigint").alias("order_id"), F.lower(_field("$.o.X")).alias("status"),
+        _field("$.o.q").cast("double").alias("qty"), _field("$.o.z").cast("double").alias("filled"),
+    )
+    return rows, raw.where(~good)
 
 
 def tumbling_bars(stream: DataFrame, every: str, late: str) -> DataFrame:
