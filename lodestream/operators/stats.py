@@ -106,3 +106,27 @@ def corrected_moments(c: str) -> tuple[Column, Column]:
 def kendall_limit(n: int) -> int:
     """Pairs that a Kendall correlation of n rows looks at; callers bucket by day to keep it small."""
     return math.comb(n, 2)
+
+
+def rank_correlation(rows: DataFrame, a: str, b: str, by: Sequence[str]) -> DataFrame:
+    """Spearman correlation: average ranks inside each group, then the plain correlation."""
+    x = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    rank = lambda c: F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, c)) - 1) / 2
+    return x.withColumn("_a", rank(a)).withColumn("_b", rank(b)).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("_a", "_b").alias("rho"))
+
+
+def bootstrap_sharpe(rows: DataFrame, ret: str, draws: int, block: int, seed: int = 1, by: str = "symbol") -> DataFrame:
+    """Interval of the Sharpe ratio from a stationary bootstrap: 5 %, 50 % and 95 % of the replicates.
+
+    A replicate walks over the series and jumps to a random row with probability 1 / block; jumps and rows come from a hash of
+    (seed, replicate, place), so reruns agree. Replicates are rows of one join on (series, row number), spread over all tasks.
+    """
+    x = rows.where(F.col(ret).isNotNull()).withColumn("_i", (F.row_number().over(Window.partitionBy(by).orderBy("ts")) - 1).cast("bigint")).select(by, "_i", F.col(ret).alias("_r"))
+    n = x.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    walk = n.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
+    unit = F.pmod(F.xxhash64(F.lit(seed), "_b", "_k"), F.lit(1_000_003)) / 1_000_003
+    w = Window.partitionBy(by, "_b").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    walk = walk.withColumn("_s", F.max(F.when((F.col("_k") == 0) | (unit < 1 / block), F.col("_k"))).over(w))
+    walk = walk.withColumn("_i", F.pmod(F.pmod(F.xxhash64(F.lit(seed), "_b", "_s", F.lit("row")), F.col("_n")) + F.col("_k") - F.col("_s"), F.col("_n")))
+    each = walk.join(x, [by, "_i"]).groupBy(by, "_b").agg((F.avg("_r") / F.nullif(F.stddev_pop("_r"), F.lit(0.0))).alias("_sr"))
+    return each.groupBy(by).agg(F.percentile("_sr", F.lit(0.05)).alias("low"), F.percentile("_sr", F.lit(0.5)).alias("mid"), F.percentile("_sr", F.lit(0.95)).alias("high"))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from lodestream import views as v
 from lodestream.operators import evaluation as ev
 from lodestream.operators import features as ft
-from lodestream.operators import joins, resample, signals
+from lodestream.operators import joins, resample, signals, stats
 from lodestream.operators.scan import ewma_variance
 from lodestream.plans.market import BK, LEGS, TS, B, C, FU, T, _r, _recursive, legs
 from lodestream.plans.registry import query
@@ -160,3 +160,30 @@ def _(spark, d):
 def _(spark, d):
     tune(spark)
     return streams.run_to_table(streams.sessions(streams.ticks(spark, d), "1 hour", "10 minutes"), "stream-sessions")
+
+
+@query("s8_7_rank_correlation", f"""WITH {B}, x AS (SELECT symbol, volume AS a, high / low AS b FROM bars), r AS (SELECT symbol, rank() OVER (PARTITION BY symbol ORDER BY a) + (count(*) OVER (PARTITION BY symbol, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY symbol ORDER BY b) + (count(*) OVER (PARTITION BY symbol, b) - 1) / 2 AS rb FROM x)
+    SELECT symbol, count(*) AS n, round(corr(ra, rb), 6) AS rho FROM r GROUP BY 1""")
+def _(spark, d):
+    return stats.rank_correlation(v.bars(spark, d).withColumn("b", F.col("high") / F.col("low")), "volume", "b", ["symbol"])
+
+
+@query("s8_23_bootstrap")
+def _(spark, d):
+    return stats.bootstrap_sharpe(v.bars(spark, d).withColumn("r", ft.log_ret("close")), "r", 100, 24)
+
+
+@query("s13_29_rebalanced_portfolio", f"""WITH {B}, r AS (SELECT symbol, ts, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY ts)) AS r FROM bars), p AS (SELECT ts, sum(0.125 * coalesce(r, 0)) AS gross FROM r GROUP BY 1), f AS (SELECT *, row_number() OVER (PARTITION BY date_trunc('day', ts) ORDER BY ts) = 1 AS first FROM p)
+    SELECT {TS}, round(gross - CASE WHEN first THEN 0.0005 ELSE 0 END, 6) AS ret FROM f""")
+def _(spark, d):
+    x = v.bars(spark, d).withColumn("r", ft.log_ret("close")).groupBy("ts").agg(F.sum(0.125 * F.coalesce("r", F.lit(0.0))).alias("gross"))
+    day = Window.partitionBy(F.date_trunc("day", "ts")).orderBy("ts")
+    return x.withColumn("first", F.row_number().over(day) == 1).select("ts", (F.col("gross") - F.when(F.col("first"), 0.0005).otherwise(0.0)).alias("ret"))
+
+
+@query("s13_31_volatility_target", f"""WITH {B}, r AS (SELECT symbol, ts, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY ts)) AS r FROM bars), v AS (SELECT symbol, ts, CASE WHEN count(r) OVER w >= 20 THEN stddev_pop(r) OVER w END AS vol FROM r WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 23 PRECEDING))
+    SELECT symbol, {TS}, round(least(3, 0.5 / nullif(lag(vol) OVER (PARTITION BY symbol ORDER BY ts), 0)), 6) AS scale FROM v""")
+def _(spark, d):
+    x = v.bars(spark, d).withColumn("r", ft.log_ret("close"))
+    x = x.withColumn("vol", F.when(F.count("r").over(ft.last_n(24)) >= 20, F.stddev_pop("r").over(ft.last_n(24)))).withColumn("vol", F.lag("vol").over(ft.series()))
+    return x.select("symbol", "ts", F.least(F.lit(3.0), 0.5 / F.nullif("vol", F.lit(0.0))).alias("scale"))

@@ -175,3 +175,29 @@ def test_views_need_no_shuffle_for_ticks(spark, sf):
 
 def test_purge_and_windows():
     assert accounting.walk_forward_windows(10, 4, 2, purge=1) == [(0, 0, 3, 4, 6), (1, 2, 5, 6, 8), (2, 4, 7, 8, 10)]
+
+
+def test_bootstrap_covers_the_sharpe(spark):
+    from lodestream.operators import stats
+
+    rng = random.Random(3)
+    df = spark.createDataFrame([("A", T0 + timedelta(hours=i), rng.gauss(0.002, 0.01)) for i in range(300)], "symbol string, ts timestamp, r double")
+    x = [r.r for r in df.collect()]
+    sr = statistics.mean(x) / statistics.pstdev(x)
+    got = stats.bootstrap_sharpe(df, "r", 60, 10).first()
+    assert got.low < sr < got.high and abs(got.mid - sr) < 0.1
+    assert stats.bootstrap_sharpe(df, "r", 60, 10).first() == got
+
+
+def test_hawkes_against_loop(spark):
+    from lodestream.operators import evaluation
+
+    rng, at, rows, want, level, last = random.Random(5), 0.0, [], [], 0.0, 0.0
+    for _ in range(200):
+        at += rng.choice([0.5, 3.0, 400.0]) * rng.random()
+        level = level * math.exp(-0.05 * (at - last)) + 1
+        last = at
+        rows.append(("A", T0 + timedelta(seconds=at)))
+        want.append(level)
+    got = column(evaluation.hawkes(spark.createDataFrame(rows, "symbol string, ts timestamp"), 0.05), "intensity")
+    assert max(abs(a - b) for a, b in zip(got, want, strict=True)) < 1e-4
