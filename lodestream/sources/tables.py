@@ -103,7 +103,7 @@ def append_days(df: DataFrame, root: str, key: Sequence[str] = ("symbol", "ts"),
     spark = df.sparkSession
     df = df.withColumn("date", F.to_date("ts"))
     try:
-        old = spark.read.parquet(root).join(F.broadcast(df.select("date").distinct().limit(10_000)), "date", "left_semi")
+        old = spark.read.parquet(root).join(df.select("date").distinct(), "date", "left_semi")
         both = latest(old.unionByName(df, allowMissingColumns=True), [*key], [*order])
         from lodestream.session import settle
 
