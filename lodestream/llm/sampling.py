@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+MAX_VALUES = 1000
+
 
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id as text leaves 2 when divided by 4; such rows are never learned from. False for a null id."""
@@ -14,10 +16,13 @@ def held_out(doc_id: Column) -> Column:
 def sample_by(rows: DataFrame, by: str, most: int) -> DataFrame:
     """About `most` rows at most of each value of `by`, picked by a hash of doc_id, so that reruns agree.
 
-    Values are few (languages, labels); a count of each goes to the driver.
+    Values are few (languages, labels); a count of each goes to the driver, and more than MAX_VALUES are refused.
     """
+    counts = rows.groupBy(by).count().limit(MAX_VALUES + 1).collect()
+    if len(counts) > MAX_VALUES:
+        raise ValueError(f"more than {MAX_VALUES} values of {by}")
     keep = F.lit(False)
-    for r in rows.groupBy(by).count().limit(1000).collect():
+    for r in counts:
         share = min(1.0, most / r["count"])
         keep = keep | ((F.col(by) == F.lit(r[by])) & (F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20))))
     return rows.where(keep)
