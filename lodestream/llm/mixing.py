@@ -30,7 +30,7 @@ from lodestream.session import settle, table, tune
 
 BLOCK_WORDS = 256
 SHARD_SLOTS = 4096
-CHUNK_DOCUMENTS = 4096
+CHUNK_DOCUMENTS = 512
 WEIGHTS = (3.0, 1.0, 2.0)
 MAX_SOURCES = 100_000
 SEED = 20
@@ -127,7 +127,7 @@ def place(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     inside = Window.partitionBy("source", "chunk").orderBy("doc_id", "h").rowsBetween(Window.unboundedPreceding, -1)
     rows = settle(base.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0))), "placed")
     sums = rows.groupBy("source", "chunk").agg(F.sum("size").alias("s"))
-    # one row a source and 4,096 documents; groups of chunks keep the hot source's sums apart, too
+    # one row a source and 512 documents; groups of chunks keep the hot source's sums apart, too
     before = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("s").over(before), F.lit(0))).select(F.col("source").alias("s_source"), F.col("chunk").alias("s_chunk"), "before")
     out = rows.join(sums, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("chunk") == F.col("s_chunk")))
