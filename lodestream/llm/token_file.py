@@ -67,7 +67,7 @@ class WordEncoder:
         for at in range(0, len(texts), 200):
             cut = [None if self.other(t) else self.find(t.lower()) for t in texts[at : at + 200]]
             used = set().union(*[c for c in cut if c])
-            new = list(used - self.known.keys())
+            new = [w for w in used if w not in self.known]
             if len(self.known) + len(new) > CACHE_WORDS:
                 self.known.clear()
                 new = list(used)
