@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from lodestream.operators.scan import ema, wilder
+from lodestream.operators.scan import ema, wilders
 
 
 def series(by: str = "symbol", order: Sequence[str] = ("ts",)) -> WindowSpec:
@@ -66,14 +66,15 @@ def true_range() -> Column:
 def rsi(bars: DataFrame, n: int = 14, name: str = "rsi") -> DataFrame:
     """RSI from Wilder means of gains and losses; 50 where there is no movement."""
     x = bars.withColumn("_d", F.col("close") - F.lag("close").over(series()))
-    x = wilder(x, F.greatest(F.col("_d"), F.lit(0.0)), n, name="_g")
-    x = wilder(x, F.greatest(-F.col("_d"), F.lit(0.0)), n, name="_l")
+    # NULL on the first row: greatest would make it 0
+    side = lambda c: F.when(F.col("_d").isNotNull(), F.greatest(c, F.lit(0.0)))
+    x = wilders(x, {"_g": side(F.col("_d")), "_l": side(-F.col("_d"))}, n)
     value = 100 - 100 / (1 + F.col("_g") / F.nullif("_l", F.lit(0.0)))
     return x.withColumn(name, F.when((F.col("_l") == 0) & (F.col("_g") > 0), 100.0).otherwise(F.coalesce(value, F.lit(50.0)))).drop("_d", "_g", "_l")
 
 
 def atr(bars: DataFrame, n: int = 14, name: str = "atr") -> DataFrame:
-    return wilder(bars.withColumn("_tr", true_range()), F.col("_tr"), n, name=name).drop("_tr")
+    return wilders(bars.withColumn("_tr", true_range()), {name: F.col("_tr")}, n).drop("_tr")
 
 
 def feature_table(bars: DataFrame, bars_a_year: float = 24 * 365) -> DataFrame:

@@ -8,7 +8,7 @@ A ** length.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,31 +18,39 @@ from pyspark.sql.window import Window
 LEAST_PRODUCT = 1e-6
 
 
-def affine_scan(rows: DataFrame, factor: float, add: Column, order: Sequence[str], by: str = "symbol", name: str = "y", first: Column | None = None, numbered: str | None = None) -> DataFrame:
-    """Adds y with y = factor * y_before + add; the first row has y = first (add where not given).
+def affine_scans(rows: DataFrame, factor: float, adds: Mapping[str, tuple[Column, Column | None]], order: Sequence[str], by: str = "symbol") -> DataFrame:
+    """Adds, for each name: (add, first), a column y with y = factor * y_before + add; the first row has y = first (add if None).
 
-    factor is constant with 0 <= factor < 1. numbered: a column that holds row numbers from 0, if there is one.
+    factor is constant with 0 <= factor < 1. All columns share one sort, one aggregate and one join.
     """
     if not 0 <= factor < 1:
         raise ValueError("the factor has to be in [0, 1)")
     if factor == 0:
-        return rows.withColumn(name, add)
+        return rows.withColumns({k: add for k, (add, _) in adds.items()})
     length = max(1, int(math.log(LEAST_PRODUCT) / math.log(factor)))
-    w = Window.partitionBy(by).orderBy(*order)
-    x = rows.withColumn("_i", F.col(numbered) if numbered else F.row_number().over(w) - 1)
-    b = F.when(F.col("_i") == 0, first).otherwise(add) if first is not None else add
-    x = x.withColumn("_c", F.floor(F.col("_i") / length)).withColumn("_p", F.pow(F.lit(factor), F.col("_i") % length + 1)).withColumn("_b", b)
+    x = rows.withColumn("_i", F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1)
+    x = x.withColumns({f"_b_{k}": F.when(F.col("_i") == 0, first).otherwise(add) if first is not None else add for k, (add, first) in adds.items()})
+    x = x.withColumn("_c", F.floor(F.col("_i") / length)).withColumn("_p", F.pow(F.lit(factor), F.col("_i") % length + 1))
     inside = Window.partitionBy(by, "_c").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
     # z is the chunk's own part: sum of b[j] * factor ** (i - j)
-    x = x.withColumn("_z", F.sum(F.col("_b") / F.col("_p")).over(inside) * F.col("_p"))
-    ends = x.groupBy(by, "_c").agg(F.max_by("_z", "_i").alias("_e"), F.min("_p").alias("_m"))
+    x = x.withColumns({f"_z_{k}": F.sum(F.col(f"_b_{k}") / F.col("_p")).over(inside) * F.col("_p") for k in adds})
+    ends = x.groupBy(by, "_c").agg(F.min("_p").alias("_m"), *[F.max_by(f"_z_{k}", "_i").alias(f"_e_{k}") for k in adds])
     chunks = Window.partitionBy(by).orderBy("_c")
-    carry, damp = F.lit(0.0), F.lit(1.0)
-    for k in range(1, 5):
-        carry = carry + damp * F.coalesce(F.lag("_e", k).over(chunks), F.lit(0.0))
-        damp = damp * F.coalesce(F.lag("_m", k).over(chunks), F.lit(0.0))
-    ends = ends.withColumn("_carry", carry).select(by, "_c", "_carry")
-    return x.join(ends, [by, "_c"]).withColumn(name, F.col("_z") + F.col("_p") * F.col("_carry")).drop("_i", "_c", "_p", "_b", "_z", "_carry")
+    carries = {}
+    for k in adds:
+        carry, damp = F.lit(0.0), F.lit(1.0)
+        for n in range(1, 5):
+            carry = carry + damp * F.coalesce(F.lag(f"_e_{k}", n).over(chunks), F.lit(0.0))
+            damp = damp * F.coalesce(F.lag("_m", n).over(chunks), F.lit(0.0))
+        carries[f"_carry_{k}"] = carry
+    ends = ends.withColumns(carries).select(by, "_c", *carries)
+    x = x.join(ends, [by, "_c"]).withColumns({k: F.col(f"_z_{k}") + F.col("_p") * F.col(f"_carry_{k}") for k in adds})
+    return x.drop("_i", "_c", "_p", *[f"_{part}_{k}" for k in adds for part in ("b", "z", "carry")])
+
+
+def affine_scan(rows: DataFrame, factor: float, add: Column, order: Sequence[str], by: str = "symbol", name: str = "y", first: Column | None = None) -> DataFrame:
+    """One column of affine_scans."""
+    return affine_scans(rows, factor, {name: (add, first)}, order, by)
 
 
 def ema(rows: DataFrame, value: str, span: int, order: Sequence[str] = ("ts",), by: str = "symbol", name: str | None = None) -> DataFrame:
@@ -51,13 +59,15 @@ def ema(rows: DataFrame, value: str, span: int, order: Sequence[str] = ("ts",),
     return affine_scan(rows, 1 - alpha, alpha * F.col(value), order, by, name or f"ema_{span}", first=F.col(value))
 
 
-def wilder(rows: DataFrame, value: Column, n: int, order: Sequence[str] = ("ts",), by: str = "symbol", name: str = "wilder") -> DataFrame:
-    """Weighted mean with weights (1 - 1/n) ** age over the rows so far (NULL values count as zero weight)."""
-    f = 1 - 1 / n
-    x = rows.withColumn("_val", value)
-    x = affine_scan(x, f, F.coalesce(F.col("_val"), F.lit(0.0)), order, by, "_num")
-    x = affine_scan(x, f, F.when(F.col("_val").isNotNull(), 1.0).otherwise(0.0), order, by, "_den")
-    return x.withColumn(name, F.col("_num") / F.nullif("_den", F.lit(0.0))).drop("_val", "_num", "_den")
+def wilders(rows: DataFrame, values: Mapping[str, Column], n: int, order: Sequence[str] = ("ts",), by: str = "symbol") -> DataFrame:
+    """For each name a weighted mean with weights (1 - 1/n) ** age over the rows so far (NULL values count as zero weight)."""
+    x = rows.withColumns({f"_v_{k}": v for k, v in values.items()})
+    adds: dict[str, tuple[Column, Column | None]] = {}
+    for k in values:
+        adds[f"num_{k}"] = (F.coalesce(F.col(f"_v_{k}"), F.lit(0.0)), None)
+        adds[f"den_{k}"] = (F.when(F.col(f"_v_{k}").isNotNull(), 1.0).otherwise(0.0), None)
+    x = affine_scans(x, 1 - 1 / n, adds, order, by)
+    return x.withColumns({k: F.col(f"num_{k}") / F.nullif(f"den_{k}", F.lit(0.0)) for k in values}).drop(*adds, *[f"_v_{k}" for k in values])
 
 
 def ewma_variance(rows: DataFrame, ret: str, lam: float, order: Sequence[str] = ("ts",), by: str = "symbol", name: str = "ewma_var") -> DataFrame:
