@@ -5,12 +5,12 @@ distinct documents that hold a line are counted, and lines above a limit are rem
 too small a share of its words is rejected.
 
 Copies must not count as many documents: a page copied a thousand times is not boilerplate, and one of the
-copies should stay. So documents are told apart by their longest line. A line is above the limit if it stands under
-more than max_documents different longest lines, and if these are at least half as many as the documents that hold it:
-in a group of near copies most documents share their longest line, while boilerplate stands in documents that differ.
+copies should stay. So documents are told apart by the set of their lines: of the holders of one line, those with the
+same other lines count once. A line is above the limit if more than max_documents different documents hold it, however
+many copies there are besides. Near copies differ in a line, so they are different documents here.
 
 Defined results: null text has no words and fails the base rule; an empty source and a null one are different hosts;
-repeated rows are copies; a document of one line counts as itself. No table is needed beyond the documents.
+repeated rows are copies; documents of the same single line count once. No table is needed beyond the documents.
 """
 
 from __future__ import annotations
@@ -44,6 +44,12 @@ def line_key(host: bytes | None, line: bytes) -> int:
     return key - (1 << 64) if key >= 1 << 63 else key
 
 
+def set_key(keys: set[int]) -> int:
+    """64-bit signed hash of a set of line keys."""
+    key = xxhash.xxh64_intdigest(np.sort(np.fromiter(keys, np.int64, len(keys))).tobytes(), 3)
+    return key - (1 << 64) if key >= 1 << 63 else key
+
+
 def counts(raw: bytes) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text in UTF-8."""
     words = raw.split()
@@ -67,7 +73,7 @@ def counts(raw: bytes) -> tuple[int, int, int, int, int]:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(line, doc): key of each distinct line of a document under its host, and the key of its longest line."""
+    """(line, doc): key of each distinct line of a document under its host, and a key of the set of its lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,26 +82,20 @@ def _lines(docs: DataFrame) -> DataFrame:
                 lines = {x for x in (raw or b"").split(b"\n") if x and not x.isspace()}
                 if lines:
                     own = {line_key(host, x) for x in lines}
-                    longest = max(lines, key=lambda x: (len(x), x))
                     keys.extend(own)
-                    owners.extend([line_key(None, longest)] * len(own))
+                    owners.extend([set_key(own)] * len(own))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(owners, pa.int64())], ["line", "doc"])
 
     return docs.select(F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(run, "line bigint, doc bigint")
 
 
 def common_lines(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
-    """Keys of the lines above the limit: (line, documents, rows).
+    """Keys of the lines above the limit: (line, documents).
 
     Counted in two steps with partial sums, so a line of a third of all documents is no hot group: rows of one line and one
-    longest line are summed before and after the first shuffle, and again before the second.
+    document become one before and after the first shuffle, and are summed before the second.
     """
-    return (
-        _lines(docs)
-        .groupBy("line", "doc").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("line").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("rows"))
-        .where((F.col("documents") > max_documents) & (2 * F.col("documents") >= F.col("rows")))
-    )
+    return _lines(docs).distinct().groupBy("line").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") > max_documents)
 
 
 _OUT = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_removed_lines bigint, words_left bigint, base_failed boolean, kept boolean"

@@ -55,3 +55,23 @@ def test_documents(spark):
     assert sorted(map(tuple, joined), key=str) == sorted(map(tuple, got), key=str)
     assert q.judge_documents(df.limit(0)).count() == 0
     assert {r.doc_id for r in q.stage(spark, df, "").collect()} == {r.doc_id for r in got if r.kept}
+
+
+def test_boilerplate_is_counted_by_documents(spark):
+    own = lambda k, n: [f"{k}x{i}\n{k}y{i} and more" for i in range(n)]
+    long = [" ".join(f"{k}{j}" for j in range(50)) for k in "pq"]
+    texts = {
+        "longest": [f"{long[0]}\n{x}" for x in own("a", 30)],  # the shared line is the longest of all that hold it
+        "two": [f"{long[0]}\n{x}\n{long[1]}" for x in own("b", 30)],
+        "skew": [f"{' '.join(f'{x}{j}' for j in range(60))}\nshared line" for x in [*(f"c{i}_" for i in range(40)), *["d_"] * 45]],
+        "copies": [f"{long[0]}\nfixed", f"{long[0]}\nother"] * 60,
+        "limit": [f"{long[0]}\n{x}" for x in own("e", 20)],
+    }
+    rows = [(i, t, s) for s, x in texts.items() for i, t in enumerate(x)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    want = {(q.line_key(b"longest", long[0].encode()), 30), (q.line_key(b"skew", b"shared line"), 41), *((q.line_key(b"two", x.encode()), 30) for x in long)}
+    assert {(r.line, r.documents) for r in q.common_lines(df).collect()} == want
+    gone = {s: set() for s in texts}
+    for r in q.judge_documents(df.withColumn("lang", df.source), with_text=True).collect():
+        gone[r.source].add(r.n_removed_lines)
+    assert gone == {"longest": {1}, "two": {2}, "skew": {1}, "copies": {0}, "limit": {0}}
