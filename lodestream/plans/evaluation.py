@@ -43,7 +43,7 @@ def _(spark, d):
 def _(spark, d):
     from lodestream.session import table
 
-    p = table(tune(spark), d, "orders").where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").cast("double").alias("size"), F.array(F.col("o_custkey") % 300, F.col("o_custkey") % 7 + 300).alias("legs"))
+    p = table(tune(spark), d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").cast("double").alias("size"), F.array(F.col("o_custkey") % 300, F.col("o_custkey") % 7 + 300).alias("legs"))
     return joins.shortfall_room(p, 9e7).withColumn("used", F.round("used", 2))
 
 

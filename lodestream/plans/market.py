@@ -113,7 +113,7 @@ def _(spark, d):
 @query("s3_14_trade_range", f"""WITH {B}, t AS (SELECT symbol, trade_id, ts AS a, ts + INTERVAL 6 hour AS z, price FROM ticks WHERE trade_id % 5 = 0)
     SELECT t.symbol, t.trade_id, round(min(low), 6) AS min_low, round(max(high), 6) AS max_high FROM t JOIN bars b ON b.symbol = t.symbol AND b.ts BETWEEN a AND z GROUP BY 1, 2""")
 def _(spark, d):
-    t = v.ticks(spark, d).where("trade_id % 5 = 0").select("symbol", "trade_id", F.col("ts").alias("a"), (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("z"))
+    t = v.ticks(spark, d).select("symbol", "trade_id", F.col("ts").alias("a"), (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("z"))
     x = joins.range_join(t, v.bars(spark, d).select("symbol", "ts", "low", "high"), "a", "z")
     return x.groupBy("symbol", "trade_id").agg(F.min("low").alias("min_low"), F.max("high").alias("max_high"))
 
