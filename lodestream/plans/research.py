@@ -418,7 +418,10 @@ def _(spark, d):
 
 @query("s12_23_kalman_hedge")
 def _(spark, d):
-    return states.kalman_hedge(legs(spark, d).select(F.lit("S0-S1").alias("pair"), "ts", F.ln("c1").alias("y"), F.ln("c2").alias("x")))
+    one = v.bars(spark, d).select("ts", "symbol", "close")
+    two = one.select("ts", F.col("symbol").alias("s2"), F.col("close").alias("c2"))
+    pairs = one.join(two, "ts").where("symbol < s2")
+    return states.kalman_hedge(pairs.select(F.concat_ws("-", "symbol", "s2").alias("pair"), "ts", F.ln("close").alias("y"), F.ln("c2").alias("x")))
 
 
 @query("s10_6_stream_bars", f"WITH {B}, m AS (SELECT max(ts) AS z FROM ticks) SELECT symbol, {TS}, {_r('open', 'high', 'low', 'close', 'volume')} FROM bars, m WHERE bars.ts + INTERVAL 1 hour <= z - INTERVAL 10 minute")

@@ -1,11 +1,15 @@
 """Queries whose registered SQL covers only a part: held against that SQL without its filter."""
 
 import math
+from datetime import UTC
+from itertools import combinations
 
 import duckdb
 import pytest
 
 import __spark_entry__ as e
+from lodestream import views
+from lodestream.operators import states
 
 
 def same(got, want):
@@ -37,3 +41,21 @@ def without(sf, name, filter_):
 )
 def test_whole_tables(spark, sf, name, filter_):
     same(e.queries()[name](spark, sf).collect(), without(sf, name, filter_))
+
+
+def test_kalman_hedge_of_all_pairs(spark, sf):
+    close = {}
+    for r in views.bars(spark, sf).collect():
+        close.setdefault(r.symbol, {})[int(r.ts.replace(tzinfo=UTC).timestamp())] = r.close
+    want = []
+    for a, b in combinations(sorted(close), 2):
+        beta, p = 0.0, states.KalmanState().p
+        for ts in sorted(close[a].keys() & close[b].keys()):
+            y, x = math.log(close[a][ts]), math.log(close[b][ts])
+            p += 1e-5
+            e_, g = y - beta * x, p * x / (x * x * p + 1e-2)
+            beta, p = beta + g * e_, (1 - g * x) * p
+            want.append((f"{a}-{b}", ts, beta, e_))
+    got = e.queries()["s12_23_kalman_hedge"](spark, sf).collect()
+    assert len({r.pair for r in got}) == 28
+    same(got, want)
