@@ -33,9 +33,9 @@ def _(spark, d):
 
 @query("s3_16_entry_features", f"""WITH {B}, {C} SELECT c.symbol, count(*) AS n, count(b.close) AS matched FROM closed c LEFT JOIN bars b ON b.symbol = c.symbol AND date_trunc('month', b.ts) = date_trunc('month', c.entry_ts + INTERVAL 25 year) AND hour(b.ts) = 0 AND day(b.ts) = 2 GROUP BY 1""")
 def _(spark, d):
-    b = v.bars(spark, d).where((F.hour("ts") == 0) & (F.dayofmonth("ts") == 2)).select("symbol", F.date_trunc("month", "ts").alias("m"), "close")
-    c = v.closed_trades(spark, d).withColumn("m", F.date_trunc("month", F.col("entry_ts") + F.expr("INTERVAL 25 YEARS")))
-    return c.join(b, ["symbol", "m"], "left").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.count("close").alias("matched"))
+    b = v.bars(spark, d).select("symbol", "ts", F.col("close").alias("entry_close"), F.col("volume").alias("entry_volume"))
+    c = v.closed_trades(spark, d).select("symbol", *ORDER, "side", "ret", (F.col("entry_ts") + F.expr("INTERVAL 25 YEARS")).alias("ts"))
+    return c.join(b, ["symbol", "ts"], "left")
 
 
 @query("s3_29_cluster_room", """WITH p AS (SELECT o_orderkey AS id, CAST(o_totalprice AS DOUBLE) AS size, unnest([o_custkey % 300, 300 + o_custkey % 7]) AS leg FROM orders WHERE o_orderkey % 4 = 0), u AS (SELECT leg, sum(size) AS used FROM p GROUP BY 1), r AS (SELECT id, size, max(used) AS used FROM p JOIN u USING (leg) GROUP BY 1, 2)
@@ -76,7 +76,7 @@ def _(spark, d):
 
 @query("s6_38_hawkes", f"""WITH {T} SELECT a.symbol, a.trade_id, round(sum(exp(-0.001 * (epoch(a.ts) - epoch(b.ts)))), 6) AS intensity FROM ticks a JOIN ticks b ON a.symbol = b.symbol AND b.ts <= a.ts WHERE a.ts < TIMESTAMP '2024-01-15' GROUP BY 1, 2""")
 def _(spark, d):
-    return ev.hawkes(v.ticks(spark, d), 0.001).where("ts < '2024-01-15'").select("symbol", "trade_id", "intensity")
+    return ev.hawkes(v.ticks(spark, d), 0.001).select("symbol", "trade_id", "intensity")
 
 
 @query("s6_48_day_coverage", f"""WITH {T}, x AS (SELECT symbol, date_trunc('day', ts) AS day, epoch(max(ts)) - epoch(min(ts)) AS span, count(*) AS n, max(trade_id) - min(trade_id) + 1 AS ids FROM ticks GROUP BY 1, 2) SELECT symbol, CAST(epoch(day) AS BIGINT) AS day, n, span >= 72000 AS whole, round(n / ids, 6) AS coverage FROM x""")

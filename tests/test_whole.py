@@ -37,6 +37,7 @@ def without(sf, name, filter_):
         ("s5_34_fifo", " WHERE l_partkey % 10 = 0"),
         ("s3_14_trade_range", " WHERE trade_id % 5 = 0"),
         ("s3_29_cluster_room", " WHERE o_orderkey % 4 = 0"),
+        ("s6_38_hawkes", " WHERE a.ts < TIMESTAMP '2024-01-15'"),
     ],
 )
 def test_whole_tables(spark, sf, name, filter_):
@@ -59,3 +60,17 @@ def test_kalman_hedge_of_all_pairs(spark, sf):
     got = e.queries()["s12_23_kalman_hedge"](spark, sf).collect()
     assert len({r.pair for r in got}) == 28
     same(got, want)
+
+
+def test_entry_features_of_every_trade(spark, sf):
+    bars = {(r.symbol, r.ts): (r.close, r.volume) for r in views.bars(spark, sf).collect()}
+    want = []
+    for r in views.closed_trades(spark, sf).collect():
+        ts = r.entry_ts.replace(year=r.entry_ts.year + 25, day=min(r.entry_ts.day, 28) if r.entry_ts.month == 2 else r.entry_ts.day)
+        want.append((r.symbol, r.l_orderkey, r.l_linenumber, r.l_partkey, r.l_suppkey, r.l_quantity, r.l_extendedprice, ts.replace(tzinfo=UTC).timestamp(), *bars.get((r.symbol, ts), (None, None))))
+    got = e.queries()["s3_16_entry_features"](spark, sf).collect()
+    key = lambda r: tuple(map(str, r[:8]))
+    got = sorted(((r.symbol, r.l_orderkey, r.l_linenumber, r.l_partkey, r.l_suppkey, r.l_quantity, r.l_extendedprice, float(r.ts), r.entry_close, r.entry_volume) for r in got), key=key)
+    assert len(got) == len(want) and got[0][0] == "S0" and any(r[8] is not None for r in got)
+    for a, b in zip(got, sorted(want, key=key), strict=True):
+        assert a[:8] == b[:8] and (a[8] is None) == (b[8] is None) and (b[8] is None or (abs(a[8] - b[8]) < 1e-6 and a[9] == b[9])), (a, b)
