@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestream.session import settle
+
 
 def trade_metrics(trades: DataFrame, by: Sequence[str], ret: str = "ret") -> DataFrame:
     """n, win_rate, avg, total and median result, profit factor, Sharpe (mean / sample deviation) of each group."""
@@ -74,7 +76,18 @@ def transitions(labels: DataFrame, label: str, by: str = "symbol") -> DataFrame:
     return x.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("from_label")))
 
 
-def nearest_rank(c: str, q: float) -> Column:
-    """Element at round(q * (n - 1)) of the sorted values."""
-    values = F.sort_array(F.collect_list(c))
-    return F.element_at(values, (F.round(q * (F.size(values) - 1)) + 1).cast("int"))
+def nearest_ranks(rows: DataFrame, by: str, c: str, shares: Mapping[str, float]) -> DataFrame:
+    """by and, for each name: share, the element at round(share * (n - 1)) of the group's sorted values of c; NULL values are left out.
+
+    Equal values are counted by partial sums, then counts run in two levels: one sum a range of sorted values, then inside the
+    range. No group is ever in one task; what is brought together is one row a group and range.
+    """
+    # settled, as the ranges have to be the same in both reads
+    x = settle(rows.where(F.col(c).isNotNull()).groupBy(by, c).agg(F.count(F.lit(1)).alias("_n")).repartitionByRange(by, c).withColumn("_r", F.spark_partition_id()), "ranks")
+    sums = x.groupBy(by, "_r").agg(F.sum("_n").alias("_s"))
+    all_ = Window.partitionBy(by)
+    sums = sums.select(by, "_r", F.sum("_s").over(all_).alias("_all"), (F.sum("_s").over(all_.orderBy("_r")) - F.col("_s")).alias("_before"))
+    inside = Window.partitionBy(by, "_r").orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_in", F.sum("_n").over(inside)).join(sums, [by, "_r"]).withColumn("_upto", F.col("_in") + F.col("_before"))
+    rank = lambda q: F.round(q * (F.col("_all") - 1)) + 1
+    return x.groupBy(by).agg(*[F.min(F.when(F.col("_upto") >= rank(q), F.col(c))).alias(k) for k, q in shares.items()])

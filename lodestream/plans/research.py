@@ -137,7 +137,8 @@ def _(spark, d):
 
     p = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_retailprice").alias("mid"))
     x = v.fills(spark, d).join(p, "l_partkey").withColumn("bps", n.shortfall_bps(F.col("side"), F.col("price"), F.col("mid")))
-    return x.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("bps"), 4).alias("mean_bps"), F.round(F.percentile("bps", F.lit(0.5)), 4).alias("_p"), F.round(trades.nearest_rank("bps", 0.5), 4).alias("p50"), F.round(trades.nearest_rank("bps", 0.9), 4).alias("p90")).drop("_p")
+    ranks = trades.nearest_ranks(x, "side", "bps", {"p50": 0.5, "p90": 0.9})
+    return x.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("bps"), 4).alias("mean_bps")).join(ranks, "side", "left").select("side", "n", "mean_bps", F.round("p50", 4).alias("p50"), F.round("p90", 4).alias("p90"))
 
 
 FT = "ts, l_orderkey, l_linenumber, l_partkey, l_suppkey, qty, l_extendedprice"

@@ -215,3 +215,21 @@ def test_classifier_predicts_all_rows_after_the_first_training_part(spark):
     assert len(got) == len(want) == 155 and {(r.symbol, r.ts): r.window for r in got} == want
     assert all(0 <= r.p <= 1 for r in got) and {r.p for r in got if r.window > 4} == {0.0}
     assert evaluation.walk_forward_classifier(df.where("symbol = 'C'"), ["x"], "y", 40, 20, 2).count() == 0
+
+
+def test_nearest_ranks_against_sorted_list(spark):
+    rng = random.Random(4)
+    of = {"a": [float(rng.randint(0, 300)) for _ in range(3001)], "b": [rng.gauss(0, 1) for _ in range(1000)], "c": [5.0], "d": [1.0, 2.0]}
+    df = spark.createDataFrame([(s, x) for s, xs in of.items() for x in [*xs, None]], "side string, x double")
+    shares = {"low": 0.0, "mid": 0.5, "high": 0.9, "top": 1.0}
+    out = trades.nearest_ranks(df, "side", "x", shares)
+    half_up = lambda x: math.floor(x + 0.5)
+    assert {r.side: tuple(r)[1:] for r in out.collect()} == {s: tuple(sorted(xs)[half_up(q * (len(xs) - 1))] for q in shares.values()) for s, xs in of.items()}
+    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shortfall_gathers_no_group(spark, sf):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["s5_30_shortfall"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "percentile" not in plan
