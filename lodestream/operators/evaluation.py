@@ -1,4 +1,4 @@
-"""Evaluation tables over runs: capacity, stress, sensitivity, regime maps, limits, walk-forward models."""
+"""Evaluation tables over runs: capacity, stress, regime maps, limits, walk-forward models."""
 
 from __future__ import annotations
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -103,11 +102,6 @@ def corrected_moments(c: str) -> tuple[Column, Column]:
     return skew, kurt
 
 
-def kendall_limit(n: int) -> int:
-    """Pairs that a Kendall correlation of n rows looks at; callers bucket by day to keep it small."""
-    return math.comb(n, 2)
-
-
 def rank_correlation(rows: DataFrame, a: str, b: str, by: Sequence[str]) -> DataFrame:
     """Spearman correlation: average ranks inside each group, then the plain correlation."""
     x = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
