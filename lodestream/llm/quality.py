@@ -2,12 +2,12 @@
 
 Lines are normalised (A-Z lower-cased, white space squeezed) and hashed. For every host, here the documents' source, the
 distinct documents that hold a line are counted, and lines above a limit are removed; a document left with
-too small a share of its words is rejected.
+too small a share of its words is rejected. The limit is a share of the host's distinct documents, so that it means the same on
+a host of a thousand and of a billion documents, but never below a least number.
 
 Copies must not count as many documents: a page copied a thousand times is not boilerplate, and one of the
-copies should stay. So documents are told apart by the set of their lines: of the holders of one line, those with the
-same other lines count once. A line is above the limit if more than max_documents different documents hold it, however
-many copies there are besides. Near copies differ in a line, so they are different documents here.
+copies should stay. So documents are told apart by the set of their normalised lines, however many copies there are. Near
+copies differ in a line, so they are different documents here.
 
 Defined results: null text has no words and fails the base rule; an empty source and a null one are different hosts;
 repeated rows are copies; documents of the same single line count once. No table is needed beyond the documents.
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from lodestream.session import settle, table, tune
 
-#: Different documents of one host that may hold a line.
+#: Different documents of one host that may hold a line: this share of them, or this number where that is more.
+MAX_SHARE = 0.002
 MAX_DOCUMENTS = 20
 #: Share of its words that a document must keep.
 MIN_LEFT = 0.2
@@ -37,17 +38,23 @@ SYMBOLS = b"#*$%&|<>"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def _signed(key: int) -> int:
+    return key - (1 << 64) if key >= 1 << 63 else key
+
+
+def host_key(host: bytes | None) -> int:
+    """64-bit hash of a host."""
+    return 1 if host is None else xxhash.xxh64_intdigest(host, 2)
+
+
 def line_key(host: bytes | None, line: bytes) -> int:
     """64-bit signed hash of a line under its host; line holds a word."""
-    seed = 1 if host is None else xxhash.xxh64_intdigest(host, 2)
-    key = xxhash.xxh64_intdigest(b" ".join(line.translate(_LOWER).split()), seed)
-    return key - (1 << 64) if key >= 1 << 63 else key
+    return _signed(xxhash.xxh64_intdigest(b" ".join(line.translate(_LOWER).split()), host_key(host)))
 
 
 def set_key(keys: set[int]) -> int:
     """64-bit signed hash of a set of line keys."""
-    key = xxhash.xxh64_intdigest(np.sort(np.fromiter(keys, np.int64, len(keys))).tobytes(), 3)
-    return key - (1 << 64) if key >= 1 << 63 else key
+    return _signed(xxhash.xxh64_intdigest(np.sort(np.fromiter(keys, np.int64, len(keys))).tobytes(), 3))
 
 
 def counts(raw: bytes) -> tuple[int, int, int, int, int]:
@@ -73,29 +80,35 @@ def counts(raw: bytes) -> tuple[int, int, int, int, int]:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(line, doc): key of each distinct line of a document under its host, and a key of the set of its lines."""
+    """(host, line, doc): a document's host, each of its distinct lines, and a key of the set of its lines.
+
+    One more row a document has line null; it stands for the document itself.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, owners = [], []
+            hosts, keys, owners = [], [], []
             for host, raw in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                lines = {x for x in (raw or b"").split(b"\n") if x and not x.isspace()}
-                if lines:
-                    own = {line_key(host, x) for x in lines}
-                    keys.extend(own)
-                    owners.extend([set_key(own)] * len(own))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(owners, pa.int64())], ["line", "doc"])
+                own: set[int] = {line_key(host, x) for x in (raw or b"").split(b"\n") if x and not x.isspace()}
+                if own:
+                    keys.extend([None, *own])
+                    hosts.extend([_signed(host_key(host))] * (len(own) + 1))
+                    owners.extend([set_key(own)] * (len(own) + 1))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (hosts, keys, owners)], ["host", "line", "doc"])
 
-    return docs.select(F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(run, "line bigint, doc bigint")
+    return docs.select(F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(run, "host bigint, line bigint, doc bigint")
 
 
-def common_lines(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
+def common_lines(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, max_share: float = MAX_SHARE) -> DataFrame:
     """Keys of the lines above the limit: (line, documents).
 
     Counted in two steps with partial sums, so a line of a third of all documents is no hot group: rows of one line and one
-    document become one before and after the first shuffle, and are summed before the second.
+    document become one before and after the first shuffle, and are summed before the second. Only lines above the least
+    number meet the counts of their hosts.
     """
-    return _lines(docs).distinct().groupBy("line").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") > max_documents)
+    counted = settle(_lines(docs).distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents")).where((F.col("documents") > max_documents) | F.col("line").isNull()), "counted")
+    hosts = counted.where("line is null").select("host", F.col("documents").alias("all"))
+    return counted.where("line is not null").join(hosts, "host").where(F.col("documents") > max_share * F.col("all")).select("line", "documents")
 
 
 _OUT = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_removed_lines bigint, words_left bigint, base_failed boolean, kept boolean"
@@ -119,10 +132,10 @@ def _judge(host: bytes | None, raw: bytes, removed, min_left: float):
     return (n, chars, symbols, dup, repeat, gone, left, failed, not failed and left >= min_left * n), raw if text is None else text
 
 
-def judge_documents(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_left: float = MIN_LEFT, with_text: bool = False, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+def judge_documents(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, with_text: bool = False, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """doc_id and the columns of _OUT for every document; with_text adds lang, source and the text that is left."""
     spark = docs.sparkSession
-    common = settle(common_lines(docs, max_documents).select("line"), "lines")
+    common = settle(common_lines(docs, max_documents, max_share).select("line"), "lines")
     base = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"),
         *([F.col("lang").cast("string").alias("lang")] if with_text else []),

@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 from lodestream.llm import quality as q
+from lodestream.session import table
 
 
 def plain(text):
@@ -75,3 +76,44 @@ def test_boilerplate_is_counted_by_documents(spark):
     for r in q.judge_documents(df.withColumn("lang", df.source), with_text=True).collect():
         gone[r.source].add(r.n_removed_lines)
     assert gone == {"longest": {1}, "two": {2}, "skew": {1}, "copies": {0}, "limit": {0}}
+
+
+def common_by_counting(rows):
+    """(source, normalised line) -> documents of the lines above the limit, counted by sets in plain Python."""
+    holders, hosts = {}, {}
+    for r in rows:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r.text or "")
+        lines = frozenset(" ".join(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in low.split("\n")) - {""}
+        if lines:
+            hosts.setdefault(r.source, set()).add(lines)
+        for x in lines:
+            holders.setdefault((r.source, x), set()).add(lines)
+    return {k: len(v) for k, v in holders.items() if len(v) > max(q.MAX_DOCUMENTS, q.MAX_SHARE * len(hosts[k[0]]))}
+
+
+def test_common_lines_of_the_tables(spark, sf):
+    seen = 0
+    for base in (sf.replace("0.001", "0.01"), sf.replace("0.001", "0.1")):
+        df = table(spark, base, "documents").unionByName(table(spark, base, "documents").limit(50))
+        rows = df.collect()
+        want = common_by_counting(rows)
+        seen += len(want)
+        assert {(r.line, r.documents) for r in q.common_lines(df).collect()} == {(q.line_key(None if s is None else s.encode(), x.encode()), n) for (s, x), n in want.items()}
+        gone = {k for k in want}
+        judged = {r.doc_id: r for r in q.judge_documents(df).collect()}
+        for r in rows:
+            lines = [x for x in (r.text or "").split("\n") if x.strip(" \t\n\v\f\r")]
+            norm = [" ".join(re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x))) for x in lines]
+            cut = [len(n.split(" ")) for n in norm if (r.source, n) in gone]
+            n = plain(r.text)[0]
+            got = judged[r.doc_id]
+            assert (got.n_removed_lines, got.words_left) == (len(cut), n - sum(cut))
+            assert got.kept == (not got.base_failed and n - sum(cut) >= q.MIN_LEFT * n)
+    assert seen > 0
+
+
+def test_limit_is_a_share_of_the_host(spark):
+    rows = [(i, f"own{i} line\n{'common' if i < 60 else 'other'} {i % 2 if i >= 60 else ''}", "s") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = lambda share: sorted(r.documents for r in q.common_lines(df, 20, share).collect())
+    assert found(0.0) == [60, 70, 70] and found(0.32) == [70, 70] and found(0.5) == []
