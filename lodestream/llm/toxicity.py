@@ -1,14 +1,15 @@
 """Toxicity: a learned lexicon in a trie, matched by Levenshtein automata, with context-window scores.
 
-The lexicon is learned from labelled rows: words, and stems (the first letters of words), whose share of toxic documents
-stands out and which together cover the toxic documents of a bounded sample several times. It is kept in a trie. A word is
+The lexicon starts from a few common insults (SEEDS) and is learned from labelled rows: words, and stems (the first letters of
+words), whose share of toxic documents stands out and which together cover the toxic documents of a bounded sample several times;
+a seed that harmless rows use is dropped. It is kept in a trie. A word is
 looked up by walking the trie together with the Levenshtein automaton of the word: one edit is allowed for entries of 5 to 7
-letters and two beyond, the first letter stays. Spellings within that distance that harmless rows of the
-sample use are learned as exceptions.
+letters and two beyond, none for shorter ones, and the first letter stays; a stem is matched by the nearest beginning of the word.
+Spellings within that distance that harmless rows of the sample use are learned as exceptions.
 
 A hit counts less inside a quotation: between quotation marks, or near a reporting word, within WINDOW words to either
 side. A document's evidence is the sum over its hits of entry weight, spelling and context; one logistic curve, fitted on the same
-sample, turns it into a score.
+sample (PER_LABEL rows a label, so its prior is the sample's), turns it into a score.
 
 Defined results: null and empty text have no evidence and get the curve's value there; without labelled rows of both
 kinds every score is 0; repeated rows each give a row; a document labelled more than once is toxic if any label says so.
@@ -35,9 +36,9 @@ MIN_DOCUMENTS = 3
 CHANCE = 0.05
 #: Log of the odds ratio that an entry has to have.
 LEAST_ODDS = 3.0
-CANDIDATES = 4000
-ENTRIES = 400
 COVER = 3
+#: Toxic and harmless documents that a seed counts for before any row is seen.
+SEED_TOXIC, SEED_PLAIN = 3.0, 0.5
 WINDOW = 4
 FUZZY, QUOTED = 0.7, 0.3
 THRESHOLD = 0.3
@@ -45,6 +46,13 @@ CACHE_WORDS = 500_000
 
 #: Words by which a text reports what someone else said (fixed).
 REPORTING = frozenset("said says saying called calls quote quoted quotes wrote reported word words sagte nannte zitat dit appelle citation dijo llama cita".split())
+#: Common insults of four languages, lower case (fixed; general vocabulary, not taken from any table).
+SEEDS = tuple(
+    "idiot stupid moron loser pathetic worthless trash scum clown disgusting dumb fool imbecile garbage filth filthy jerk bastard bitch asshole retard freak cretin vermin "
+    "dumm dumme dummkopf trottel abschaum versager widerlich wertlos blödmann müll erbärmlich ekelhaft arschloch depp blöd idioten dreckig lächerlich "
+    "idiote imbécile stupide crétin abruti minable ordure pathétique dégoûtant déchet bouffon débile connard nul salaud répugnant ridicule perdant "
+    "idiota estúpido estúpida imbécil tonto basura patético inútil asqueroso payaso perdedor escoria cretino despreciable miserable".split()
+)
 _MARKS = "\"'«»“”„‘’‹›"
 _EDGE = ".,;:!?()[]{}|#%&$*<>-_/\\" + _MARKS
 _TOKENS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -75,6 +83,7 @@ class LexiconTrie:
 
     def __init__(self, entries: Sequence[Entry], exceptions: frozenset[str] = frozenset()):
         self.entries, self.exceptions = list(entries), exceptions
+        self.most = max((edits(e.text) for e in self.entries), default=0)
         self.root = _Node()
         halves: set[str] = set()
         ends: set[str] = set()
@@ -84,22 +93,20 @@ class LexiconTrie:
                 node = node.next.setdefault(c, _Node())
             if e.stem:
                 node.stem = k
-                halves.add(e.text)
-                continue
-            node.word = k
+            else:
+                node.word = k
             d = edits(e.text)
             if not d:
                 halves.add(e.text)
                 continue
-            # with d edits one of d + 1 parts is whole: the first at the begin, the last at the end, others within
+            # with d edits one of d + 1 parts is whole: the first at the begin, a word's last at the end, others within
             n = len(e.text)
             cut = [n * j // (d + 1) for j in range(d + 2)]
             parts = [e.text[a:b] for a, b in zip(cut, cut[1:], strict=False)]
             halves.add(parts[0])
-            ends.add(parts[-1])
-            ends.update(f".*{re.escape(p)}.*" if p != re.escape(p) else f"{p}.*" for p in parts[1:-1])
+            ends.update(f"{re.escape(p)}.*" for p in parts[1:])
         begin = "|".join(map(re.escape, sorted(halves)))
-        firsts = "".join(sorted({re.escape(e.text[0]) for e in self.entries if not e.stem and edits(e.text)}))
+        firsts = "".join(sorted({re.escape(e.text[0]) for e in self.entries if edits(e.text)}))
         end = f"[{firsts}].*(?:{'|'.join(sorted(ends))})$" if ends else "(?!)"
         #: Only words that this finds can match; it spares the walk for most.
         self.may = re.compile(f"(?:{begin or '(?!)'})|{end}", re.S).match
@@ -116,10 +123,10 @@ class LexiconTrie:
         return node.word if node.word >= 0 else best
 
     def nearest(self, word: str) -> tuple[int, int]:
-        """(entry, edits) of the closest word entry within its allowed distance; (-1, 0) without."""
+        """(entry, edits) of the closest entry within its allowed distance, a stem's to a beginning of the word; (-1, 0) without."""
         if len(word) < 4 or word[0] not in self.root.next:
             return -1, 0
-        most = max((edits(e.text) for e in self.entries if not e.stem), default=0)
+        most = self.most
         tail = word[1:]
         best = (-1, most + 1)
         # a state of the automaton is its row of distances; rows above the limit are dead
@@ -128,6 +135,8 @@ class LexiconTrie:
             node, row = stack.pop()
             if node.word >= 0 and row[-1] <= edits(self.entries[node.word].text) and row[-1] < best[1]:
                 best = (node.word, row[-1])
+            if node.stem >= 0 and (d := min(row)) <= edits(self.entries[node.stem].text) and d < best[1]:
+                best = (node.stem, d)
             for c, child in node.next.items():
                 new = [row[0] + 1]
                 for j, x in enumerate(tail):
@@ -153,7 +162,7 @@ def clean(token: str) -> str:
 def terms_of(text: str) -> set[str]:
     """What the lexicon may hold of a text: its words as ``=word`` and their first 3 to 7 letters as ``^stem``."""
     words = {clean(t) for t in _TOKENS.findall(text)}
-    out = {"=" + w for w in words if 2 < len(w) <= 40}
+    out = {"=" + w for w in words if len(w) > 2}
     for n in range(3, 8):
         out.update("^" + w[:n] for w in words if len(w) > n)
     return out
@@ -220,29 +229,41 @@ class Matcher:
 
 
 def choose(incidence: list[tuple[int, list[int]]], terms: list[str]) -> list[int]:
-    """Entries that together cover each toxic row COVER times with few harmless ones: greedy, by rows newly covered."""
-    y = np.array([i[0] for i in incidence])
-    on = np.zeros((len(incidence), len(terms)), bool)
-    for r, (_, ks) in enumerate(incidence):
-        on[r, ks] = True
-    pos, cost = on[y == 1], 2.0 * on[y == 0].sum(0)
-    need = np.minimum(COVER, pos.sum(1))
+    """Terms that together cover each toxic row COVER times with few harmless ones: greedy, by rows newly covered."""
+    pos = [ks for y, ks in incidence if y == 1]
+    rows_of: list[list[int]] = [[] for _ in terms]
+    for r, ks in enumerate(pos):
+        for k in ks:
+            rows_of[k].append(r)
+    cost = 2.0 * np.bincount([k for y, ks in incidence if y == 0 for k in ks], minlength=len(terms))
+    alone = np.array([len(x) for x in rows_of], float)
+    need = np.array([min(COVER, len(ks)) for ks in pos])
+    fresh = alone.copy()
+    free = np.ones(len(terms), bool)
     out: list[int] = []
-    barred: list[int] = []
     # a word is preferred to a stem of it that says the same, a longer stem to a shorter one
     exact = np.array([1.2 if t[0] == "=" else 1 + 0.02 * len(t) for t in terms])
-    while (need > 0).any() and len(out) < ENTRIES:
-        gain = pos[need > 0].sum(0) - cost
-        gain[out + barred] = -np.inf
+    stems: dict[str, list[int]] = {}
+    for c, t in enumerate(terms):
+        if t[0] == "^":
+            stems.setdefault(t[1:], []).append(c)
+    while (need > 0).any():
+        gain = np.where(free, fresh - cost, -np.inf)
         k = int(np.argmax(np.where(gain > 0, gain * exact, gain)))
         if gain[k] < max(2, 0.004 * len(pos)):
             break
         out.append(k)
-        need = np.maximum(0, need - pos[:, k])
+        free[k] = False
+        for r in rows_of[k]:
+            if need[r] > 0:
+                need[r] -= 1
+                if need[r] == 0:
+                    fresh[pos[r]] -= 1
         # a stem that says little more than a longer entry which begins with it would only catch strangers
-        for c, t in enumerate(terms):
-            if t[0] == "^" and c != k and terms[k][1:].startswith(t[1:]) and pos[:, c].sum() <= 1.2 * pos[:, k].sum():
-                barred.append(c)
+        for n in range(1, len(terms[k])):
+            for c in stems.get(terms[k][1 : 1 + n], ()):
+                if c != k and alone[c] <= 1.2 * alone[k]:
+                    free[c] = False
     return out
 
 
@@ -279,14 +300,16 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Tox
     a, b = F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")
     weight = F.log((F.col("a") + 0.5) / (sizes[1] + 1)) - F.log((F.col("b") + 0.5) / (sizes[0] + 1))
     share = sizes[1] / (sizes[0] + sizes[1])
-    counted = settle(rows.select("toxic", "text").mapInArrow(terms, "toxic int, term string").groupBy("term").agg(a, b).where(F.col("a") + F.col("b") >= MIN_DOCUMENTS), "terms")
+    counted = settle(rows.select("toxic", "text").mapInArrow(terms, "toxic int, term string").groupBy("term").agg(a, b), "terms")
     # so many terms are tried that some stand out by chance: the log-likelihood ratio has to outweigh their number
     n = F.col("a") + F.col("b")
     part = lambda x, q: F.when(x > 0, x * F.log(x / (n * q))).otherwise(0.0)
     ratio = 2 * (part(F.col("a"), share) + part(F.col("b"), 1 - share))
-    bar = 2 * np.log(max(1, counted.count()) / CHANCE)
-    good = counted.withColumn("w", weight).where((ratio > float(bar)) & (F.col("w") > LEAST_ODDS))
-    found = good.orderBy(F.desc(F.col("a") * F.col("w")), "term").limit(CANDIDATES).collect()
+    enough = n >= MIN_DOCUMENTS
+    bar = 2 * np.log(max(1, counted.where(enough).count()) / CHANCE)
+    good = counted.withColumn("w", weight).where(enough & (ratio > float(bar)) & (F.col("w") > LEAST_ODDS))
+    # bounded as the sample is: a term stands in MIN_DOCUMENTS of its rows at least
+    found = good.orderBy(F.desc(F.col("a") * F.col("w")), "term").collect()
     names = [r.term for r in found]
     number = {t: k for k, t in enumerate(names)}
 
@@ -297,7 +320,14 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Tox
 
     incidence = sorted((r.toxic, r.ks) for r in rows.select("toxic", "text").mapInArrow(marked, "toxic int, ks array<int>").collect())
     picked = choose(incidence, names) if names else []
-    entries = tuple(Entry(names[k][1:], names[k][0] == "^", min(3.0, found[k].w / 2)) for k in picked)
+    entries = [Entry(names[k][1:], names[k][0] == "^", min(3.0, found[k].w / 2)) for k in picked]
+    seen = {r.term[1:]: (r.a, r.b) for r in counted.where(F.col("term").isin(["=" + w for w in SEEDS])).collect()}
+    for w in sorted(set(SEEDS) - {e.text for e in entries if not e.stem}):
+        toxic, plain_ = seen.get(w, (0, 0))
+        odds_ = float(np.log((toxic + SEED_TOXIC) / (sizes[1] + SEED_TOXIC)) - np.log((plain_ + SEED_PLAIN) / (sizes[0] + 1)))
+        if plain_ == 0 or odds_ > LEAST_ODDS:
+            entries.append(Entry(w, False, min(3.0, max(odds_, LEAST_ODDS) / 2)))
+    entries = tuple(entries)
 
     plain = ToxicityModel(entries, frozenset(), 0.0, 0.0, True)
 
@@ -310,7 +340,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Tox
 
     near = rows.select("toxic", "text").mapInArrow(spelt, "toxic int, word string").groupBy("word").agg(a, b)
     odds = (F.col("b") + 0.0) / sizes[0] >= 0.25 * (F.col("a") + 0.0) / sizes[1]
-    exceptions = frozenset(r.word for r in near.where((F.col("b") > 0) & odds).limit(100_000).collect())
+    exceptions = frozenset(r.word for r in near.where((F.col("b") > 0) & odds).collect())
     model = ToxicityModel(entries, exceptions, 0.0, 0.0, True)
     seen = sorted((r.toxic, r.evidence) for r in measure(rows.select("toxic", "text"), model, "toxic", "int").collect())
     y, x = np.array([s[0] for s in seen], float), np.array([s[1] for s in seen])
