@@ -5,9 +5,9 @@ index are all pairs of a subkey of the first and one of the second collection: m
 2 * m * r hashes. m is chosen so that a pair at the threshold is missed with a probability below MISS.
 
 Texts with equal shingle sets are one class; only a class's smallest id goes on. Rows are dealt by the first subkey; in its
-partition each meets the second subkeys, and the rows of a table cell are linked to the smallest of them. Keys with more than a
-thousandth of all rows (so at most a thousand) are salted. Cells linked together are a family: no link leaves a family but
-for the stated miss.
+partition each meets the second subkeys, and the rows of a table cell are linked to the smallest of them. A key with more than
+HOT rows is salted into parts of about HOT, whose smallest rows are then compared by a partial aggregate and a join, so no
+window holds more however large the table. Cells linked together are a family: no link leaves a family but for the stated miss.
 
 Links are then confirmed on full sets. A family is cut by hash into blocks; each block is compared with itself and with the
 first block, and tasks give back only a spanning forest of the links they find. What is then outside the family's largest component is
@@ -37,7 +37,8 @@ WIDTH, PERCENT = 5, 80
 HASHES_PER_SUBKEY = 4
 MISS = 5e-6
 BLOCK = 96
-SALTS = 64
+#: Rows of one key that meet in one window.
+HOT = 1024
 #: Up to so many ids (16 bytes each) are handed to all tasks; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -117,18 +118,17 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, th bigint, n_shingles bigint, sig binary, first array<int>, second array<int>")
 
 
-def _cell_edges(rows: DataFrame) -> DataFrame:
+def _cell_edges(rows: DataFrame, most: int = HOT) -> DataFrame:
     """Edges from each representative to the smallest one in its table cells; a row: rep, key (first subkey), second."""
-    keys = rows.groupBy("key").count()
-    total = rows.count()
-    hot = keys.where(F.col("count") > max(256, total // 1000)).select("key", F.lit(True).alias("hot"))
-    marked = rows.join(F.broadcast(hot), "key", "left")  # at most a thousand keys by construction
+    hot = rows.groupBy("key").count().where(F.col("count") > most).select("key", F.ceil(F.col("count") / most).alias("parts"))
+    marked = rows.join(hot, "key", "left")
     cells = lambda df: df.select(*[c for c in df.columns if c != "second"], F.posexplode("second").alias("j", "cell"))
-    cold = marked.where("hot is null").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
+    cold = marked.where("parts is null").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
     cold = cells(cold.select("key", "rep", "second")).withColumn("leader", F.min("rep").over(Window.partitionBy("key", "j", "cell")))
-    warm = marked.where("hot").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)))
+    warm = marked.where("parts is not null").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("parts")))
     warm = cells(warm.select("key", "salt", "rep", "second")).withColumn("leader", F.min("rep").over(Window.partitionBy("key", "salt", "j", "cell")))
-    top = warm.select("key", "j", "cell", "leader").distinct().withColumn("m", F.min("leader").over(Window.partitionBy("key", "j", "cell")))
+    tops = warm.select("key", "j", "cell", "leader").distinct()
+    top = tops.join(tops.groupBy("key", "j", "cell").agg(F.min("leader").alias("m")), ["key", "j", "cell"])
     edges = cold.select("rep", "leader").unionByName(warm.select("rep", "leader")).unionByName(top.select(F.col("leader").alias("rep"), F.col("m").alias("leader")))
     return edges.where("rep <> leader").distinct()
 
@@ -209,9 +209,9 @@ def _compare(tasks: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "u bigint, v bigint")
 
 
-def _sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+def _sets(docs: DataFrame, members: DataFrame, width: int, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """rep, family, members of the families' representatives, their sets made anew from whole texts."""
-    if members.count() <= BROADCAST_IDS:
+    if members.count() <= broadcast_ids:
         members = F.broadcast(members)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text")).join(members, ["rep", "th"])
 
@@ -250,7 +250,7 @@ def _all_links(sets: DataFrame, percent: int) -> DataFrame:
     return found.unionByName(_compare(parts[0].unionByName(parts[1]).unionByName(parts[2]), percent))
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, hot: int = HOT, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document.
 
     Documents are linked where 100 * intersection >= percent * union of their shingle sets; a component's smallest id is kept.
@@ -259,9 +259,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     classes = sigs.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.first("first").alias("first"), F.first("second").alias("second"))
     classes = settle(classes.select("sig", F.col("rep.doc_id").alias("rep"), F.col("rep.th").alias("th"), "first", "second"), "classes")
     keyed = classes.select("rep", "second", F.posexplode("first").alias("i", "k")).select("rep", "second", F.xxhash64("i", "k").alias("key"))
-    family = connected_components(_cell_edges(keyed), "rep", "leader").select(F.col("id").alias("rep"), F.col("component").alias("family"))
+    family = connected_components(_cell_edges(keyed, hot), "rep", "leader").select(F.col("id").alias("rep"), F.col("component").alias("family"))
     members = settle(classes.select("rep", "th").join(family, "rep"), "families")
-    sets = settle(_sets(docs, members, width), "sets")
+    sets = settle(_sets(docs, members, width, broadcast_ids), "sets")
     labels = connected_components(_all_links(sets, percent)).select(F.col("id").alias("rep"), "component")
     named = classes.select("sig", "rep").join(labels, "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
     out = sigs.select("doc_id", "n_shingles", "sig").join(named, "sig", "left")

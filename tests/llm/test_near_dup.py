@@ -62,6 +62,15 @@ def test_against_plain(spark, sf, width, percent):
     want = plain(rows, width, percent)
     assert got == want
     assert sum(not r[3] for r in want) > 100
+    if width == 3:  # small bounds: salted keys, a join in place of a broadcast
+        assert sorted(map(tuple, nd.near_duplicates(frame, width, percent, hot=8, broadcast_ids=0).collect())) == want
+
+
+def test_query_on_a_larger_table(spark, sf):
+    base = sf.replace("0.001", "0.01")
+    want = plain([(r.doc_id, r.text) for r in table(spark, base, "documents").collect()], 3, 85)
+    assert sorted(map(tuple, nd.op9_near_dup(spark, base).collect())) == want
+    assert sum(not r[3] for r in want) > 50
 
 
 def test_odd_rows(spark):
