@@ -6,9 +6,11 @@ draw says how many slots each source gets, in proportion to what it is still to
 A source's slots are numbered through all shards and mapped to its blocks by one pseudorandom permutation of the
 block numbers after another: each block comes once before any comes twice. Blocks are then joined by (source, block).
 
-Offsets in a source's stream come from two-level sums over hashed chunks of documents, so a source that holds a
-third of all rows is no hot group. What passes through the driver is one row a source (at most MAX_SOURCES)
-and one number a source and shard.
+Shards are drawn by halving: the driver draws what each source gives to runs of shards, at most DRIVER_NUMBERS numbers in all, and
+tasks draw the shards of a run, each run from its own seed. Draws of a shard follow what each source has left.
+
+Offsets in a source's stream come from three-level sums over hashed chunks of documents and runs of chunks, so a source that
+holds a third of all rows is no hot group. What passes through the driver is one row a source and those numbers.
 
 Defined results: null or blank text has no words, is in no block and is never taken; a null source is a source of its
 own, last in order; documents that are the same row are taken each for itself; an empty table gives an empty mix.
@@ -31,8 +33,12 @@ from lodestream.session import settle, table, tune
 BLOCK_WORDS = 256
 SHARD_SLOTS = 4096
 CHUNK_DOCUMENTS = 512
+RUN_CHUNKS = 1024
 WEIGHTS = (3.0, 1.0, 2.0)
-MAX_SOURCES = 100_000
+#: Up to so many sources' rows (about 100 bytes each) are handed to all tasks.
+BROADCAST_SOURCES = 100_000
+DRIVER_NUMBERS = 2_000_000
+MAX_RUNS = 1024
 SEED = 20
 
 
@@ -102,18 +108,42 @@ def plan_source(size: int, target: float, block: int, rng: np.random.Generator)
     return Plan(size, blocks, words, slots, last, tuple(passes))
 
 
-def draw_shards(slots: Sequence[int], shard_slots: int, rng: np.random.Generator) -> Iterator[np.ndarray]:
-    """Slots of each source in each output shard: multinomial in proportion to what is left of each source."""
-    left = np.array(slots, np.int64)
-    while (rest := int(left.sum())) > shard_slots:
-        got = np.minimum(rng.multinomial(shard_slots, left / rest), left)
-        while (missing := shard_slots - int(got.sum())) > 0:  # a source has run out: its slots are drawn again
-            open_ = left - got
-            got = np.minimum(got + rng.multinomial(missing, open_ / open_.sum()), left)
+def draw(left: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
+    """size slots: multinomial in proportion to what is left of each source, none above it."""
+    if size >= (rest := int(left.sum())):
+        return left.copy()
+    got = np.minimum(rng.multinomial(size, left / rest), left)
+    while (missing := size - int(got.sum())) > 0:  # a source has run out: its slots are drawn again
+        open_ = left - got
+        got = np.minimum(got + rng.multinomial(missing, open_ / open_.sum()), left)
+    return got
+
+
+def draw_runs(slots: Sequence[int], shard_slots: int, seed: int, most: int) -> list[tuple[int, int, np.ndarray]]:
+    """(first shard, shards, slots of each source) of at most `most` runs of shards, by halving."""
+    total = sum(slots)
+    todo = [(0, -(-total // shard_slots), np.array(slots, np.int64))] if total else []
+    done: list[tuple[int, int, np.ndarray]] = []
+    while todo:
+        if len(done) + len(todo) >= most or all(n == 1 for _, n, _ in todo):
+            return sorted(done + todo, key=lambda r: r[0])
+        at, n, left = todo.pop(0)
+        if n == 1:
+            done.append((at, n, left))
+            continue
+        half = n // 2
+        got = draw(left, half * shard_slots, np.random.default_rng([seed, at, n]))
+        todo += [(at, half, got), (at + half, n - half, left - got)]
+    return sorted(done, key=lambda r: r[0])
+
+
+def draw_shards(left: np.ndarray, shards: int, shard_slots: int, rng: np.random.Generator) -> Iterator[np.ndarray]:
+    """Slots of each source in each of a run's shards; the last takes what is left."""
+    left = left.copy()
+    for k in range(shards):
+        got = draw(left, shard_slots, rng) if k < shards - 1 else left
         left = left - got
         yield got
-    if rest:
-        yield left
 
 
 def place(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -126,42 +156,57 @@ def place(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     ).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "h"), F.lit(chunks)))
     inside = Window.partitionBy("source", "chunk").orderBy("doc_id", "h").rowsBetween(Window.unboundedPreceding, -1)
     rows = settle(base.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0))), "placed")
-    sums = rows.groupBy("source", "chunk").agg(F.sum("size").alias("s"))
-    # one row a source and 512 documents; groups of chunks keep the hot source's sums apart, too
-    before = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("s").over(before), F.lit(0))).select(F.col("source").alias("s_source"), F.col("chunk").alias("s_chunk"), "before")
+    # one row a source and chunk, and one a source and run of chunks: no window of a hot source holds all its chunks
+    sums = rows.groupBy("source", "chunk").agg(F.sum("size").alias("s")).withColumn("run", F.floor(F.col("chunk") / RUN_CHUNKS))
+    earlier = lambda *by: Window.partitionBy("source", *by).rowsBetween(Window.unboundedPreceding, -1)
+    runs = sums.groupBy("source", "run").agg(F.sum("s").alias("r"))
+    runs = runs.select(F.col("source").alias("r_source"), F.col("run").alias("r_run"), F.coalesce(F.sum("r").over(earlier().orderBy("run")), F.lit(0)).alias("base"))
+    sums = sums.withColumn("in_run", F.coalesce(F.sum("s").over(earlier("run").orderBy("chunk")), F.lit(0)))
+    sums = sums.join(runs, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("run") == F.col("r_run")))
+    sums = sums.select(F.col("source").alias("s_source"), F.col("chunk").alias("s_chunk"), (F.col("in_run") + F.col("base")).alias("before"))
     out = rows.join(sums, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("chunk") == F.col("s_chunk")))
     return out.select("doc_id", "source", "size", (F.col("start") + F.col("before")).alias("start"), *[c for c in rows.columns if c.startswith("kept_")])
 
 
 def sources_of(placed: DataFrame, weights: Sequence[float], share: float, most: float) -> pd.DataFrame:
     """One row a source, by code point and null last: source, rank, source_size, target."""
-    rows = placed.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    rows = placed.groupBy("source").agg(F.sum("size").alias("n")).collect()
     rows.sort(key=lambda r: (r.source is None, r.source or ""))
     sizes = [r.n for r in rows]
     goal = targets(sizes, [weights[k % len(weights)] for k in range(len(rows))], share, most)
     return pd.DataFrame({"source": pd.Series([r.source for r in rows], dtype=object), "rank": range(len(rows)), "source_size": sizes, "target": goal})
 
 
+def _small(per_source: DataFrame, n: int) -> DataFrame:
+    """Sources are few as a rule; a table of many of them is joined by a shuffle."""
+    return F.broadcast(per_source) if n <= BROADCAST_SOURCES else per_source
+
+
 def slots_of(spark: SparkSession, sources: pd.DataFrame, block: int, shard_slots: int, seed: int) -> DataFrame:
     """The mix: (shard, source_rank, slot, block, words) - the first words of the block stand in the slot."""
     rng = np.random.default_rng(seed)
     plans = [plan_source(int(s), t, block, rng) for s, t in zip(sources.source_size, sources.target, strict=True)]
-    first = np.zeros(len(plans), np.int64)
-    parts = []
-    for shard, got in enumerate(draw_shards([p.slots for p in plans], shard_slots, rng)):
-        on = np.flatnonzero(got)
-        parts.append(np.stack([np.full(len(on), shard), on, first[on], got[on]], 1))
-        first += got
-    made = np.concatenate(parts) if parts else np.zeros((0, 4), np.int64)
-    drawn = spark.createDataFrame(pd.DataFrame(made, columns=["shard", "source_rank", "first", "n"]), "shard bigint, source_rank bigint, first bigint, n bigint")
+    runs = draw_runs([p.slots for p in plans], shard_slots, seed, max(1, min(MAX_RUNS, DRIVER_NUMBERS // max(1, len(plans)))))
+    firsts = np.cumsum([np.zeros(len(plans), np.int64), *[got for _, _, got in runs]], 0)
+    made = pd.DataFrame({"shard": [r[0] for r in runs], "shards": [r[1] for r in runs], "left": [r[2].tolist() for r in runs], "first": [f.tolist() for f in firsts[: len(runs)]]})
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                first = np.array(r["first"], np.int64)
+                own = np.random.default_rng([seed, r["shard"], r["shards"], 1])
+                for k, got in enumerate(draw_shards(np.array(r["left"], np.int64), r["shards"], shard_slots, own)):
+                    on = np.flatnonzero(got)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.full(len(on), r["shard"] + k), on, first[on], got[on])], ["shard", "source_rank", "first", "n"])
+                    first = first + got
+
+    plan = spark.createDataFrame(made, "shard bigint, shards bigint, left array<bigint>, first array<bigint>")
+    drawn = plan.repartition(max(1, len(runs)), "shard").mapInArrow(shards, "shard bigint, source_rank bigint, first bigint, n bigint")
     rows = [(k, e, p.blocks, p.slots, p.last, a, b) for k, p in enumerate(plans) for e, (a, b) in enumerate(p.passes)]
     passes = spark.createDataFrame(rows, "source_rank bigint, pass bigint, blocks bigint, slots bigint, last bigint, a bigint, b bigint")
     slots = drawn.select("shard", "source_rank", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
     per = passes.groupBy("source_rank").agg(F.max("blocks").alias("blocks"), F.max("slots").alias("slots"), F.max("last").alias("last"), F.map_from_entries(F.collect_list(F.struct("pass", F.struct("a", "b")))).alias("ab"))
-    out = slots.join(F.broadcast(per), "source_rank")  # at most MAX_SOURCES rows
+    out = slots.join(_small(per, len(plans)), "source_rank")
     ab = F.element_at("ab", F.floor(F.col("slot") / F.col("blocks")))
     number = F.pmod(ab["a"] * F.pmod("slot", F.col("blocks")) + ab["b"], F.col("blocks"))
     return out.select("shard", "source_rank", "slot", number.alias("block"), F.when(F.col("slot") == F.col("slots") - 1, F.col("last")).otherwise(block).alias("words"), F.floor(F.col("slot") / F.col("blocks")).alias("pass"))
@@ -174,7 +219,7 @@ def pieces_of(placed: DataFrame, sources: pd.DataFrame, block: int = BLOCK_WORDS
     """
     spark = placed.sparkSession
     ranks = spark.createDataFrame(sources[["source", "rank"]], "source string, rank bigint").select(F.col("source").alias("r_source"), F.col("rank").alias("source_rank"))
-    docs = placed.where("size > 0").join(F.broadcast(ranks), F.col("source").eqNullSafe(F.col("r_source"))).select("source_rank", "start", "size")
+    docs = placed.where("size > 0").join(_small(ranks, len(sources)), F.col("source").eqNullSafe(F.col("r_source"))).select("source_rank", "start", "size")
     spread = docs.select("source_rank", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
     begin = F.col("block") * block
     spread = spread.withColumn("lo", F.greatest(F.lit(0), begin - F.col("start"))).withColumn("hi", F.least(F.col("size"), begin + block - F.col("start")))
@@ -185,13 +230,13 @@ def pieces_of(placed: DataFrame, sources: pd.DataFrame, block: int = BLOCK_WORDS
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
     """doc_id, size, source_size, target and taken (words of the document in the mix, repeats counted) of every document."""
-    placed = place(docs)
+    placed = settle(place(docs), "mix")
     sources = sources_of(placed, weights, share, most)
     spark = docs.sparkSession
     taken = pieces_of(placed, sources, block, shard_slots, seed).groupBy("source_rank", "start").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"))
     ranks = spark.createDataFrame(sources, "source string, rank bigint, source_size bigint, target double")
     ranks = ranks.select(F.col("source").alias("r_source"), F.col("rank").alias("source_rank"), "source_size", "target")
-    full = placed.join(F.broadcast(ranks), F.col("source").eqNullSafe(F.col("r_source")))
+    full = placed.join(_small(ranks, len(sources)), F.col("source").eqNullSafe(F.col("r_source")))
     some, none = full.where("size > 0"), full.where("size = 0")
     out = some.join(taken, ["source_rank", "start"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
     return out.unionByName(none.select("doc_id", "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken")))
@@ -212,7 +257,7 @@ def mix_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: fl
         .agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
     )
     ranks = spark.createDataFrame(sources[["source", "rank"]], "source string, rank bigint").select(F.col("source").alias("r_source"), F.col("rank").alias("source_rank"))
-    full = placed.where("size > 0").join(F.broadcast(ranks), F.col("source").eqNullSafe(F.col("r_source"))).join(spans, ["source_rank", "start"])
+    full = placed.where("size > 0").join(_small(ranks, len(sources)), F.col("source").eqNullSafe(F.col("r_source"))).join(spans, ["source_rank", "start"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
