@@ -146,7 +146,7 @@ def segments(rows: DataFrame) -> DataFrame:
                     part = words[at : at + (1, 2, 3, 4, 6, 8, 12, 16)[k % 8]]
                     if part:
                         langs.append(lang)
-                        parts.append(b" ".join(part)[:4096].decode("utf-8", "ignore"))
+                        parts.append(b" ".join(part).decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(parts, pa.string())], ["lang", "segment"])
 
     return rows.select("lang", "text").mapInArrow(run, "lang string, segment string")

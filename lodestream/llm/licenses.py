@@ -4,7 +4,8 @@ The automaton holds all stretches of all templates. A text's words are streamed
 longest suffix of the text so far that occurs in some template, its length the matching statistic. Phrases are templates, too:
 a phrase stands where its words are a suffix of the current match. Longer templates are found by
 chaining: maximal matches of at least MIN_MATCH words that lie in order in text and template are joined when the gaps
-are small, and a chain that covers enough of a template is a span with that template's label.
+are small, and a chain that covers enough of a template, MIN_COVER of its words or MIN_WORDS of them, is a span with that template's
+label. Licences borrow from each other: of spans that share most of their words, the one that covers most words stays.
 
 Runs of words that are in no template reset the automaton, so most of a text is passed over by array operations.
 
@@ -29,24 +30,61 @@ from lodestream.session import table, tune
 MIN_MATCH = 4
 MAX_GAP = 8
 MIN_COVER = 0.6
+MIN_WORDS = 20
 
 #: Fixed phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Opening or notice texts of common licences; their words are public and fixed.
+#: Texts and notices of common licences; their words are public and fixed.
 TEMPLATES = (
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
-    ("apache", "Licensed under the Apache License, Version 2.0"),
-    ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("gpl", "but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License"),
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+        in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+        copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+        The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS
+        FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,
+        WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("apache", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the
+        License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is
+        distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing
+        permissions and limitations under the License."""),
+    ("gpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software
+        Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY
+        WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should
+        have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""),
+    ("lgpl", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free
+        Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but
+        WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."""),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+        materials provided with the distribution.
+        Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific
+        prior written permission.
+        THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+        WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT,
+        INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA,
+        OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
+        OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice
+        and this permission notice appear in all copies.
+        THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.
+        IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR
+        PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this
+        software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to
+        the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a
+        product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be
+        misrepresented as being the original software. This notice may not be removed or altered from any source distribution."""),
+    ("boost", """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license
+        (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties
+        to whom the Software is furnished to do so"""),
+    ("mpl", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at
+        https://mozilla.org/MPL/2.0/."""),
     ("cc", "This work is licensed under the Creative Commons Attribution"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software,
+        either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""),
 )
 
 #: A-Z lower-cased, every byte that is no letter, digit or part of a non-ASCII character turned into a space.
@@ -59,19 +97,20 @@ def words_of(raw: bytes) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Span:
-    """Words first to last (not included) of a text, chained to a template of which they cover a share."""
+    """Words first to last (not included) of a text, chained to a template of which they cover a share, so many words."""
 
     label: str
     first: int
     last: int
     cover: float
+    words: int
 
 
 class LicenseAutomaton:
     """Generalised suffix automaton over numbered words of phrases and templates."""
 
-    def __init__(self, phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES, min_match: int = MIN_MATCH, max_gap: int = MAX_GAP, min_cover: float = MIN_COVER):
-        self.min_match, self.max_gap, self.min_cover = min_match, max_gap, min_cover
+    def __init__(self, phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES, min_match: int = MIN_MATCH, max_gap: int = MAX_GAP, min_cover: float = MIN_COVER, min_words: int = MIN_WORDS):
+        self.min_match, self.max_gap, self.min_cover, self.min_words = min_match, max_gap, min_cover, min_words
         self.vocabulary: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
@@ -138,6 +177,11 @@ class LicenseAutomaton:
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], list[Span]]:
         """Places (start, phrase number) of the phrases, and the spans of covered templates."""
+        places, matches = self.matches(words)
+        return places, self._chain(matches)
+
+    def matches(self, words: list[bytes]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
+        """Places of the phrases, and the maximal matches (first word, length, state) of at least min_match words."""
         ids = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int32, len(words))
         known = np.flatnonzero(ids)
         if len(known) < self.shortest:
@@ -165,7 +209,7 @@ class LicenseAutomaton:
                             places.append((at + 1 - n, p))
             if size >= least:
                 matches.append((end - size, size, state))
-        return places, self._chain(matches)
+        return places, matches
 
     def _chain(self, matches: list[tuple[int, int, int]]) -> list[Span]:
         """Chain matches in order of the text, per template, while they go forward in the template and gaps are small."""
@@ -175,8 +219,8 @@ class LicenseAutomaton:
         def close(t: int) -> None:
             first, last, _, covered = open_.pop(t)
             label, numbers = self.texts[t]
-            if covered >= self.min_cover * len(numbers):
-                spans.append(Span(label, first, last, min(1.0, covered / len(numbers))))
+            if covered >= min(self.min_words, self.min_cover * len(numbers)):
+                spans.append(Span(label, first, last, min(1.0, covered / len(numbers)), covered))
 
         for first, size, state in matches:
             for t, end in self._templates(state, size):
@@ -191,7 +235,11 @@ class LicenseAutomaton:
                 open_[t] = [first, first + size, end, size]
         for t in list(open_):
             close(t)
-        return sorted(spans, key=lambda s: (s.first, s.label))
+        stay: list[Span] = []
+        for s in sorted(spans, key=lambda s: (-s.words, s.first, s.label, -s.cover)):
+            if all(2 * (min(s.last, o.last) - max(s.first, o.first)) <= s.last - s.first for o in stay):
+                stay.append(s)
+        return sorted(stay, key=lambda s: (s.first, s.label))
 
     @functools.lru_cache(maxsize=1 << 14)  # noqa: B019 - one automaton lives as long as its process
     def _templates(self, state: int, size: int) -> tuple[tuple[int, int], ...]:
@@ -212,13 +260,13 @@ _AUTOMATA: dict[tuple, LicenseAutomaton] = {}
 _SPANS = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("cover", pa.float64())]))
 
 
-def scan_documents(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES, min_match: int = MIN_MATCH, max_gap: int = MAX_GAP, min_cover: float = MIN_COVER) -> DataFrame:
+def scan_documents(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES, min_match: int = MIN_MATCH, max_gap: int = MAX_GAP, min_cover: float = MIN_COVER, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans of every whole text.
 
     score is the largest share of a template that is covered, 1 where a phrase stands, 0 without any label.
     One narrow pass; the automaton is built once in each Python worker.
     """
-    spec = (tuple(phrases), tuple(templates), min_match, max_gap, min_cover)
+    spec = (tuple(phrases), tuple(templates), min_match, max_gap, min_cover, min_words)
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), _SPANS]
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: A model knows at most so many values: the most frequent ones, by name where they are as frequent.
 MAX_VALUES = 1000
 
 
@@ -13,14 +14,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample_by(rows: DataFrame, by: str, most: int) -> DataFrame:
-    """About `most` rows at most of each value of `by`, picked by a hash of doc_id, so that reruns agree.
+def sample_by(rows: DataFrame, by: str, most: int, max_values: int = MAX_VALUES) -> DataFrame:
+    """About `most` rows at most of each of the max_values most frequent values of `by`, picked by a hash of doc_id, so that reruns agree.
 
-    Values are few (languages, labels); a count of each goes to the driver, and more than MAX_VALUES are refused.
+    A count of each of those values goes to the driver.
     """
-    counts = rows.groupBy(by).count().limit(MAX_VALUES + 1).collect()
-    if len(counts) > MAX_VALUES:
-        raise ValueError(f"more than {MAX_VALUES} values of {by}")
+    counts = rows.where(F.col(by).isNotNull()).groupBy(by).count().orderBy(F.desc("count"), by).limit(max_values).collect()
     keep = F.lit(False)
     for r in counts:
         share = min(1.0, most / r["count"])

@@ -6,9 +6,14 @@ until a level lets nothing through that it should not. As the universe is every
 for a url of the corpus is exact, and no join is needed. Level 1 is sized for a false positive rate of about
 listed / universe, so that all levels together take some tens of bits a listed key, however large the corpus.
 
-Keys of a url are its host and parent domains joined with the leading parts of its path whose lengths occur in
-the rules. Defined results: a null url or one without ``://`` has empty host and path, fits no rule and is allowed by
-the method; repeated rows each give a row; very long hosts only yield as many parents as the rules' hosts have labels.
+There are two lists. Rules and hosts are few; their keys are a url's host and parent domains joined with the leading parts
+of its path whose lengths occur in the rules. The other list is a table of addresses (host and path), here those of stubs: pages
+with less than STUB_CHARS characters of html. A filter goes into the plan as a literal; where a list needs more than
+MAX_FILTER_BITS, urls and list are cut into parts by a hash of the address, and each part has a cascade and a job of its own.
+
+Defined results: a null url or one without ``://`` has empty host and path, fits no rule and is allowed by
+the method; repeated rows each give a row; very long hosts only yield as many parents as the rules' hosts have labels; null html
+is a stub.
 """
 
 from __future__ import annotations
@@ -23,8 +28,10 @@ from pyspark.sql import functions as F
 from lodestream.session import settle, table, tune
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A filter goes into the plan as a literal; lists that need more than this are refused, not cut.
-MAX_FILTER_BITS = 1 << 28
+#: Bits of a filter that go into one plan as a literal.
+MAX_FILTER_BITS = 1 << 26
+#: Characters of html below which a page is a stub, whose address the method blocks where no rule speaks.
+STUB_CHARS = 1000
 
 
 @dataclass(frozen=True)
@@ -58,21 +65,27 @@ class Level:
 
     def passes(self, key: Column) -> Column:
         words = F.array(*[F.lit(w) for w in self.words]) if len(self.words) <= 64 else F.from_json(F.lit(str(list(self.words))), "array<bigint>")
-        test = F.lit(True)
-        for position in _positions(key, self.bits, self.hashes, self.seed):
-            test = test & (F.getbit(F.get(words, (position / 64).cast("int")), (position % 64).cast("int")) == 1)
-        return test
+        # the words stand in the plan once, not once a hash
+        at = F.array(*_positions(key, self.bits, self.hashes, self.seed))
+        return F.forall(at, lambda p: F.getbit(F.get(words, (p / 64).cast("int")), (p % 64).cast("int")) == 1)
 
 
 def _positions(key: Column, bits: int, hashes: int, seed: int) -> list[Column]:
     return [F.pmod(F.xxhash64(F.lit(seed), F.lit(i), key), F.lit(bits)) for i in range(hashes)]
 
 
+def _bits(n: int, rate: float) -> int:
+    return max(64, math.ceil(n * -math.log(rate) / math.log(2) ** 2 / 64) * 64)
+
+
+def _rate(n_listed: int, n_universe: int) -> float:
+    """False positive rate of the first level."""
+    return min(0.5, max(1e-9, n_listed / max(1, n_universe)))
+
+
 def _level(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
     """A Bloom filter of the column key: its words are or-ed before they are shuffled."""
-    bits = max(64, math.ceil(n * -math.log(rate) / math.log(2) ** 2 / 64) * 64)
-    if bits > MAX_FILTER_BITS:
-        raise ValueError(f"a filter of {bits} bits for {n} keys; split the list or raise MAX_FILTER_BITS")
+    bits = _bits(n, rate)
     hashes = max(1, min(16, round(bits / max(1, n) * math.log(2))))
     at = keys.select(F.explode(F.array(*_positions(F.col("key"), bits, hashes, seed))).alias("at"))
     rows = at.groupBy((F.col("at") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("v")).collect()
@@ -117,7 +130,7 @@ def build_cascade(universe: DataFrame, listed: Iterable[str] | DataFrame, n_univ
     inside, outside, n = yes, no, n_listed
     while n:
         depth = len(levels) + 1
-        rate = min(0.5, max(1e-9, n_listed / max(1, n_universe))) if depth == 1 else 0.5
+        rate = _rate(n_listed, n_universe) if depth == 1 else 0.5
         levels.append(_level(inside, n, rate, depth))
         # what the level wrongly lets through is the set that the next level has to hold
         inside, outside = outside.where(levels[-1].passes(F.col("key"))), inside
@@ -156,11 +169,21 @@ def parents(host: Column, hosts: Sequence[str]) -> Column:
     )
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, blocked_hosts: Sequence[str] = BLOCKED_HOSTS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def stub_addresses(pages: DataFrame, url_col: str = "url", html_col: str = "html", least: int = STUB_CHARS) -> DataFrame:
+    """key: host and path of every page whose html has less than `least` characters."""
+    host, path = parse(F.col(url_col).cast("string"))
+    short = F.coalesce(F.length(F.col(html_col).cast("string")), F.lit(0)) < least
+    return pages.where(short).select(host.alias("host"), path.alias("path")).where("host <> ''").select(F.concat("host", "path").alias("key")).distinct()
+
+
+def filter_urls(
+    pages: DataFrame, rules: Sequence[Rule] = RULES, blocked_hosts: Sequence[str] = BLOCKED_HOSTS, listed: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", max_bits: int = MAX_FILTER_BITS
+) -> DataFrame:
     """id, host, path, rule, verdict of every url.
 
     The longest rule that fits decides (of equal lengths, the one with the longer host); else a url is blocked if
-    its host or a parent is in blocked_hosts. Rules may share a key only with the same verdict.
+    its host or a parent is in blocked_hosts, or its address in listed (column key). Rules may share a key only with the same
+    verdict. All answers come from cascades; no url meets a list in a join.
     """
     if len({r.key for r in rules}) != len({(r.key, r.verdict) for r in rules}):
         raise ValueError("two rules with the same key and different verdicts")
@@ -175,28 +198,51 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, blocked_hosts:
     blocked = build_cascade(universe, [r.key for r in rules if r.verdict == "block"] + ["//" + h for h in blocked_hosts], n)
     fits = F.filter("keys", known.contains)
     best = F.aggregate(fits, F.lit(None).cast("string"), lambda a, x: F.when(a.isNull() | (F.length(x) > F.length(a)) | ((F.length(x) == F.length(a)) & (F.instr(x, "/") > F.instr(a, "/"))), x).otherwise(a))
-    out = base.withColumn("rule", best)
     by_host = F.exists("names", lambda h: blocked.contains(F.concat(F.lit("//"), h)))
-    is_blocked = F.when(F.col("rule").isNotNull(), blocked.contains(F.col("rule"))).otherwise(by_host)
-    return out.select(id_col, "host", "path", "rule", F.when(is_blocked, "block").otherwise("allow").alias("verdict"))
+
+    def judged(rows: DataFrame, by_list: Column) -> DataFrame:
+        is_blocked = F.when(F.col("rule").isNotNull(), blocked.contains(F.col("rule"))).otherwise(by_host | by_list)
+        return rows.withColumn("rule", best).select(id_col, "host", "path", "rule", F.when(is_blocked, "block").otherwise("allow").alias("verdict"))
+
+    if listed is None:
+        return judged(base, F.lit(False))
+    address = F.when(F.col("host") != "", F.concat("host", "path"))
+    addresses = settle(base.select(address.alias("key")).where("key is not null").distinct(), "addresses")
+    listed = settle(listed.select("key").where("key is not null").distinct(), "listed")
+    n, n_listed = addresses.count(), listed.count()
+    parts = max(1, -(-_bits(n_listed, _rate(n_listed, n)) // max_bits))
+    if parts == 1:
+        return judged(base, build_cascade(addresses, listed, n).contains(address))
+    part = lambda key: F.pmod(F.xxhash64(key, F.lit("part")), F.lit(parts))
+    dealt = settle(base.withColumn("part", F.coalesce(part(address), F.lit(0))), "urls", "part")
+    split = [settle(df.withColumn("part", part(F.col("key"))), "part", "part") for df in (addresses, listed)]
+    done = []
+    for k in range(parts):  # a job a part: the driver holds one part's filters at a time
+        cascade = build_cascade(*[df.where(F.col("part") == k).select("key") for df in split])
+        done.append(settle(judged(dealt.where(F.col("part") == k), cascade.contains(address)), "judged"))
+    out = done[0]
+    for df in done[1:]:
+        out = out.unionByName(df)
+    return out
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query: every url of pages."""
+    """Query: every url of pages; stubs are the listed addresses."""
     pages = table(tune(spark), sf_dir, "pages")
-    return filter_urls(pages.select("page_id", "url"))
+    return filter_urls(pages.select("page_id", "url"), listed=stub_addresses(pages))
 
 
 OP4_SQL = """
 WITH r(host, path, rule, verdict) AS (VALUES
     ('com', '/', 'com/', 'allow'), ('example.com', '/en/', 'example.com/en/', 'block'),
     ('www.example.com', '/en/', 'www.example.com/en/', 'allow'), ('net', '/es/', 'net/es/', 'block'), ('net', '/fr/', 'net/fr/', 'block')),
-u AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest, row_number() OVER () AS k FROM pages),
-p AS (SELECT k, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+u AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest, row_number() OVER () AS k, coalesce(length(html), 0) < 1000 AS stub FROM pages),
+p AS (SELECT k, page_id, stub, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 b AS (SELECT p.k, max_by(r.rule, length(r.rule)) AS rule, max_by(r.verdict, length(r.rule)) AS verdict
-    FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY p.k)
+    FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY p.k),
+l AS (SELECT DISTINCT host || path AS address FROM p WHERE stub AND host <> '')
 SELECT p.page_id, p.host, p.path, b.rule,
-    coalesce(b.verdict, CASE WHEN p.host = 'spam-farm.example.org' OR ends_with(p.host, '.spam-farm.example.org') THEN 'block' ELSE 'allow' END) AS verdict
-FROM p LEFT JOIN b USING (k)
+    coalesce(b.verdict, CASE WHEN p.host = 'spam-farm.example.org' OR ends_with(p.host, '.spam-farm.example.org') OR l.address IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN b USING (k) LEFT JOIN l ON l.address = p.host || p.path
 """

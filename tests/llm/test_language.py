@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 
 from lodestream.llm import language as la
+from lodestream.llm.sampling import sample_by
 from lodestream.session import table
 
 
@@ -36,3 +37,31 @@ def test_odd_rows(spark, sf):
     none = la.learn(spark.createDataFrame([(1, "abc", None)], "doc_id bigint, text string, lang string"))
     assert {r.lang_pred for r in la.predict(df, none).collect()} == {"und"}
     assert la.predict(df.limit(0), la.learn(docs)).count() == 0
+
+
+def test_scores_against_the_model_alone(spark, sf):
+    """Every score of a table from the definition: the mean of all subwords' logits, one text at a time; repeated rows agree."""
+
+    def check(docs, got):
+        model, want = la.learn(docs), {}
+        for r in docs.collect():
+            if not any(c.isalpha() for c in r.text or ""):
+                want[r.doc_id] = ("und", 0.0)
+                continue
+            z = (model.logits[la.subwords(la.words_of(r.text))[0]].astype(float).mean(0) + model.bias) / model.temperature
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            want[r.doc_id] = (model.languages[int(p.argmax())], p.max())
+        for r in got(model):
+            assert r.lang_pred == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 1e-4, r
+
+    docs = table(spark, sf, "documents")
+    check(docs, lambda model: la.op5_language(spark, sf).collect())
+    twice = docs.unionByName(docs.where("doc_id % 5 = 0"))
+    check(twice, lambda model: la.predict(twice, model).collect())
+
+
+def test_most_frequent_values(spark):
+    rows = [(i, "abcde"[min(i % 9, 4)]) for i in range(900)] + [(1000, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, lang string")
+    got = {r.lang: r["count"] for r in sample_by(df, "lang", 60, 3).groupBy("lang").count().collect()}
+    assert set(got) == {"a", "b", "e"} and all(30 < n < 95 for n in got.values())

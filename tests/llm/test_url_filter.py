@@ -1,11 +1,13 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestream.llm import url_filter as u
+from lodestream.session import table
 
 
-def plain(url, rules=u.RULES, hosts=u.BLOCKED_HOSTS):
+def plain(url, rules=u.RULES, hosts=u.BLOCKED_HOSTS, listed=()):
     host = path = ""
     if url and "://" in url:
         rest = url.split("://", 1)[1]
@@ -17,7 +19,7 @@ def plain(url, rules=u.RULES, hosts=u.BLOCKED_HOSTS):
     best = max(fit, key=lambda r: (len(r.key), len(r.host)), default=None)
     if best:
         return host, path, best.key, best.verdict
-    return host, path, None, "block" if any(host == h or host.endswith("." + h) for h in hosts) else "allow"
+    return host, path, None, "block" if host and host + path in listed or any(host == h or host.endswith("." + h) for h in hosts) else "allow"
 
 
 def test_against_plain(spark):
@@ -40,3 +42,17 @@ def test_cascade_is_exact(spark):
     got = {r.key for r in universe.where(c.contains(F.col("key"))).collect()}
     assert got == set(listed) - {"absent"}
     assert u.build_cascade(universe, []).levels == () and not universe.where(u.Cascade(()).contains(F.col("key"))).count()
+
+
+@pytest.mark.parametrize("max_bits", [u.MAX_FILTER_BITS, 1500])
+def test_listed_table(spark, sf, max_bits):
+    pages = table(spark, sf.replace("0.001", "0.1"), "pages")
+    odd = spark.createDataFrame([(-1, None, None), (-2, "none", "x"), (-3, "http://q.org/a", None), (-4, "http://Q.org/a?b", "y" * 2000), (-4, "http://Q.org/a?b", "y" * 2000)], "page_id bigint, url string, html string")
+    pages = pages.select("page_id", "url", "html").unionByName(odd)
+    rows = pages.collect()
+    listed = {h + p for h, p, _, _ in (plain(r.url) for r in rows if len(r.html or "") < u.STUB_CHARS)} - {""}
+    out = u.filter_urls(pages.drop("html"), listed=u.stub_addresses(pages), max_bits=max_bits)
+    got = sorted(map(tuple, out.collect()), key=str)
+    assert got == sorted([(r.page_id, *plain(r.url, listed=listed)) for r in rows], key=str)
+    assert sum(v == "block" and r is None for _, _, _, r, v in got) > 50
+    assert u.filter_urls(pages.limit(0), listed=u.stub_addresses(pages.limit(0)), max_bits=max_bits).count() == 0
