@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestream.llm import bpe, mixing, near_dup, quality, toxicity
-from lodestream.session import settle, table, tune
+from lodestream.session import drop_since, mark, settle, table, tune
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,10 +47,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each keeps is written and read again."""
+    """All stages over documents; what each keeps is written and read again, and what led to it is removed."""
     docs = table(tune(spark), sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
+        point = mark(spark) - min(k, 1)  # the table before goes, too, once the next is written
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = settle(docs, f"stage{k}")
+            drop_since(spark, point, keep=1)
     return docs

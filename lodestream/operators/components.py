@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.session import settle
+from lodestream.session import drop_since, mark, settle
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,13 +30,15 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     folder, and only a count and a checksum reach the driver.
     """
     now = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u is not null and v is not null and u <> v").distinct()
+    spark, point = edges.sparkSession, mark(edges.sparkSession)
     now = settle(now, "edges")
-    mark = None
+    last = None
     while True:
         seen = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if seen == mark or not seen[0]:
+        if seen == last or not seen[0]:
             break
-        mark = seen
+        last = seen
         now = settle(_stars(_stars(now, True), False), "edges")
+        drop_since(spark, point, keep=1)
     ids = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return ids.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

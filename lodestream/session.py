@@ -52,23 +52,49 @@ def local_session(app: str = "lodestream", cores: str = "*", partitions: int = 8
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; on a local master (tests) one of our own where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_lodestream_dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="lodestream-shared-")
         spark.sparkContext._lodestream_dir = path
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def _settled(spark: SparkSession) -> list[str]:
+    """Paths of the tables that this context has settled and not dropped."""
+    if not hasattr(spark.sparkContext, "_lodestream_tables"):
+        spark.sparkContext._lodestream_tables = []
+    return spark.sparkContext._lodestream_tables
+
+
+def settle(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write df to a table in the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
+    _settled(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark(spark: SparkSession) -> int:
+    """A point for drop_since."""
+    return len(_settled(spark))
+
+
+def drop_since(spark: SparkSession, point: int, keep: int = 0) -> None:
+    """Remove the tables settled since the point, but for the last `keep`: nothing may read them any more."""
+    paths = _settled(spark)
+    gone = paths[point : len(paths) - keep]
+    fs = spark._jvm.org.apache.hadoop.fs
+    for path in gone:
+        at = fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    paths[point : len(paths) - keep] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
