@@ -73,13 +73,23 @@ def rsi(bars: DataFrame, n: int = 14, name: str = "rsi") -> DataFrame:
     return x.withColumn(name, F.when((F.col("_l") == 0) & (F.col("_g") > 0), 100.0).otherwise(F.coalesce(value, F.lit(50.0)))).drop("_d", "_g", "_l")
 
 
+def rsi_atr(bars: DataFrame, n: int = 14) -> DataFrame:
+    """Adds rsi and atr of one length from one scan."""
+    d = F.col("close") - F.lag("close").over(series())
+    x = bars.withColumns({"_d": d, "_tr": true_range()})
+    side = lambda c: F.when(F.col("_d").isNotNull(), F.greatest(c, F.lit(0.0)))
+    x = wilders(x, {"_g": side(F.col("_d")), "_l": side(-F.col("_d")), "atr": F.col("_tr")}, n)
+    value = 100 - 100 / (1 + F.col("_g") / F.nullif("_l", F.lit(0.0)))
+    return x.withColumn("rsi", F.when((F.col("_l") == 0) & (F.col("_g") > 0), 100.0).otherwise(F.coalesce(value, F.lit(50.0)))).drop("_d", "_g", "_l", "_tr")
+
+
 def atr(bars: DataFrame, n: int = 14, name: str = "atr") -> DataFrame:
     return wilders(bars.withColumn("_tr", true_range()), {name: F.col("_tr")}, n).drop("_tr")
 
 
 def feature_table(bars: DataFrame, bars_a_year: float = 24 * 365) -> DataFrame:
     """rsi, ema_9/21/50, atr, Bollinger bands and width, vwap, vol, ret_1, ret_5, vol_ratio of every bar."""
-    x = atr(rsi(bars))
+    x = rsi_atr(bars)
     for span in (9, 21, 50):
         x = ema(x, "close", span)
     lo, mid, hi = bollinger("close", 20, 2.0)
@@ -124,16 +134,20 @@ def kyle_rolling(n: int, x: str = "sv", y: str = "dp") -> tuple[Column, Column]:
 
 
 def rank_in_window(c: str, n: int) -> Column:
-    """Share of the last n values that are at most the current one."""
+    """Share of the last n rows whose value is at most the current one; rows without a value are never so."""
     values = F.collect_list(c).over(last_n(n))
-    return F.size(F.filter(values, lambda v: v <= F.col(c))) / F.nullif(F.size(values), F.lit(0))
+    return F.size(F.filter(values, lambda v: v <= F.col(c))) / F.count(F.lit(1)).over(last_n(n))
+
 
+def volatility_regime(bars: DataFrame, n: int = 60, look: int = 500, low: float = 0.2, high: float = 0.8) -> DataFrame:
+    """Adds vol_rank and vol_regime (low, normal, high): where the deviation of the last n log returns ranks among the last look ones.
 
-def volatility_regime(bars: DataFrame, n: int = 24, look: int = 120, low: float = 0.33, high: float = 0.67) -> DataFrame:
-    """Adds vol_rank and vol_regime (low, normal, high) of the rolling deviation of returns."""
-    x = bars.withColumn("ret_1", ret("close")).withColumn("rv", full(F.stddev_samp("ret_1").over(last_n(n)), n))
-    x = x.withColumn("vol_rank", F.when(F.col("rv").isNotNull(), rank_in_window("rv", look)))
-    return x.withColumn("vol_regime", F.when(F.col("vol_rank").isNull(), None).when(F.col("vol_rank") <= low, "low").when(F.col("vol_rank") >= high, "high").otherwise("normal"))
+    Half of each window has to be there; without a rank the regime is normal, without a deviation the rank is 0.
+    """
+    x = bars.withColumn("lr", log_ret("close"))
+    x = x.withColumn("rv", F.when(F.count("lr").over(last_n(n)) >= n // 2, F.stddev_samp("lr").over(last_n(n))))
+    x = x.withColumn("vol_rank", F.when(F.count("rv").over(last_n(look)) >= look // 2, F.when(F.col("rv").isNull(), 0.0).otherwise(rank_in_window("rv", look))))
+    return x.withColumn("vol_regime", F.when(F.col("vol_rank") > high, "high").when(F.col("vol_rank") < low, "low").otherwise("normal")).drop("lr")
 
 
 def average_rank(c: str, part: Sequence[str]) -> Column:
@@ -203,13 +217,36 @@ def merge_intervals(spans: DataFrame, by: str, start: str = "start", end: str =
     return x.groupBy(by, "_g").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_g")
 
 
-def hold(signal: DataFrame, raw: str, exit_: Column, by: str = "symbol", name: str = "sig") -> DataFrame:
+def hold(signal: DataFrame, raw: str, exit_: Column, by: str = "symbol", name: str = "sig", exit_first: bool = False) -> DataFrame:
     """Entry and exit with a held position: entries set it, an exit sets 0, else it stays.
 
-    An exit is only looked at where the held side before it is open, as the exit column may need that side (column held).
+    An exit is only looked at where the held side before it is open, as the exit column may need that side (column held): the
+    last entry's, whether or not it has been left since. exit_first lets an exit overrule an entry of the same row.
     """
     w = series(by)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     x = signal.withColumn("_carried", F.last(F.col(raw), ignorenulls=True).over(upto)).withColumn("held", F.coalesce(F.lag("_carried").over(w), F.lit(0.0)))
-    x = x.withColumn("_set", F.when(F.col(raw).isNotNull(), F.col(raw)).when(exit_ & (F.col("held") != 0), 0.0))
+    out = F.coalesce(exit_, F.lit(False)) & (F.col("held") != 0)
+    x = x.withColumn("_set", F.when(out, 0.0).when(F.col(raw).isNotNull(), F.col(raw)) if exit_first else F.when(F.col(raw).isNotNull(), F.col(raw)).when(out, 0.0))
     return x.withColumn(name, F.coalesce(F.last("_set", ignorenulls=True).over(upto), F.lit(0.0))).drop("_carried", "_set", "held")
+
+
+def vpin(volume_bars: DataFrame, size: float, n: int = 50) -> DataFrame:
+    """Adds vpin: size of buys less sells over the last n volume bars, a share of n * size; needs half of them, 10 at least."""
+    w = Window.partitionBy("symbol").orderBy("bar").rowsBetween(-(n - 1), 0)
+    flow = F.sum(F.abs(F.col("buy") - F.col("sell"))).over(w) / (n * size)
+    return volume_bars.withColumn("vpin", F.when(F.count(F.lit(1)).over(w) >= max(10, n // 2), flow))
+
+
+def kyle_whole(rows: DataFrame, x: str = "sv", y: str = "dp", by: str = "symbol") -> DataFrame:
+    """n, lambda (slope of the price change on signed volume, no intercept) and its t, of each whole series."""
+    g = rows.where(F.col(y).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(x) * F.col(y)).alias("_xy"), F.sum(F.col(x) ** 2).alias("_xx"), F.sum(F.col(y) ** 2).alias("_yy"))
+    lam = F.col("_xy") / F.nullif("_xx", F.lit(0.0))
+    rss = F.greatest(F.col("_yy") - lam * F.col("_xy"), F.lit(0.0))
+    return g.select(by, "n", lam.alias("lambda"), (lam / F.nullif(F.sqrt(rss / F.nullif(F.col("n") - 1, F.lit(0)) / F.nullif("_xx", F.lit(0.0))), F.lit(0.0))).alias("t"))
+
+
+def flow_autocorrelation(flow: DataFrame, n: int = 120, lag: int = 1, x: str = "delta") -> DataFrame:
+    """Adds autocorr: correlation of signed flow with itself lag rows before, over n rows, half of them at least."""
+    y = flow.withColumn("_y", F.lag(x, lag).over(series()))
+    return y.withColumn("autocorr", F.when(F.count("_y").over(last_n(n)) >= max(10, n // 2), F.corr(x, "_y").over(last_n(n)))).drop("_y")

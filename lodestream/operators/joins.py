@@ -16,26 +16,75 @@ def _both(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], cols: S
     return a.unionByName(b, allowMissingColumns=True)
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: str = "ts", by: Sequence[str] = ("symbol",), cols: Sequence[str] = (), right_on: str | None = None, prefix: str = "event_", tie: str | None = None) -> DataFrame:
-    """Each left row with the last right row at or before it; NULL where there is none. One shuffle and one sort.
-
-    tie orders right rows of equal time. Nothing is broadcast and no pair is looked at twice.
+def _bucket(t: Column | str, bucket_seconds: int) -> Column:
+    return F.floor(F.unix_micros(t) / (bucket_seconds * 1_000_000))
+
+
+def _edges(x: DataFrame, by: Sequence[str], forward: bool) -> DataFrame:
+    """By bucket: the last right row of all earlier buckets (or the first of all later ones). One row a bucket."""
+    at = F.struct("_t", "_tie")
+    right = F.when(F.col("_right").isNotNull(), at)
+    own = x.groupBy(*by, "_bucket").agg((F.min_by("_right", right) if forward else F.max_by("_right", right)).alias("_own"))
+    w = Window.partitionBy(*by).orderBy("_bucket")
+    if forward:
+        carried = F.first("_own", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    else:
+        carried = F.last("_own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return own.withColumn("_far", carried).drop("_own")
+
+
+def asof_join(
+    left: DataFrame, right: DataFrame, on: str = "ts", by: Sequence[str] = ("symbol",), cols: Sequence[str] = (), right_on: str | None = None, prefix: str = "event_", tie: str | None = None, bucket_seconds: int = 86400
+) -> DataFrame:
+    """Each left row with the last right row at or before it; NULL where there is none.
+
+    Rows are dealt by key and time bucket, so a hot key is as many tasks as it has buckets; one row a bucket carries the last
+    right row of earlier ones. tie orders right rows of equal time. Nothing is broadcast and no pair is looked at twice.
     """
-    x = _both(left, right, on, by, cols, right_on or on, tie, False)
-    w = Window.partitionBy(*by).orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("_r", F.last("_right", ignorenulls=True).over(w)).where("_left is not null")
-    return x.select("_left.*", *[F.col(f"_r.{c}").alias(prefix + c) for c in cols])
-
-
-def nearest_join(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], cols: Sequence[str], right_on: str = "ts", prefix: str = "near_") -> DataFrame:
-    """Each left row with the right row nearest in time; the earlier one of two as near."""
-    back = Window.partitionBy(*by).orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*by).orderBy("_t", "_side", "_tie").rowsBetween(0, Window.unboundedFollowing)
-    x = _both(left, right, on, by, cols, right_on, None, False)
-    x = x.withColumn("_b", F.last("_right", ignorenulls=True).over(back)).withColumn("_f", F.first("_right", ignorenulls=True).over(ahead)).where("_left is not null")
+    x = _both(left, right, on, by, cols, right_on or on, tie, False).withColumn("_bucket", _bucket("_t", bucket_seconds))
+    w = Window.partitionBy(*by, "_bucket").orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    near = x.withColumn("_r", F.last("_right", ignorenulls=True).over(w)).where("_left is not null")
+    near = near.join(_edges(x, by, False), [*by, "_bucket"]).withColumn("_r", F.coalesce("_r", "_far"))
+    return near.select("_left.*", *[F.col(f"_r.{c}").alias(prefix + c) for c in cols])
+
+
+def nearest_join(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], cols: Sequence[str], right_on: str = "ts", prefix: str = "near_", bucket_seconds: int = 86400) -> DataFrame:
+    """Each left row with the right row nearest in time; the earlier one of two as near. Dealt as in asof_join."""
+    w = Window.partitionBy(*by, "_bucket").orderBy("_t", "_side", "_tie")
+    x = _both(left, right, on, by, cols, right_on, None, False).withColumn("_bucket", _bucket("_t", bucket_seconds))
+    near = x.withColumn("_b", F.last("_right", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    near = near.withColumn("_f", F.first("_right", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))).where("_left is not null")
+    near = near.join(_edges(x, by, False), [*by, "_bucket"]).withColumn("_b", F.coalesce("_b", "_far")).drop("_far")
+    near = near.join(_edges(x, by, True), [*by, "_bucket"]).withColumn("_f", F.coalesce("_f", "_far"))
     gap = lambda c: F.abs(F.unix_micros(F.col(f"{c}._at")) - F.unix_micros("_t"))
     pick = F.when(F.col("_b").isNull() | (gap("_f") < gap("_b")), F.col("_f")).otherwise(F.col("_b"))
-    return x.withColumn("_p", pick).select("_left.*", *[F.col(f"_p.{c}").alias(prefix + c) for c in cols])
+    return near.withColumn("_p", pick).select("_left.*", *[F.col(f"_p.{c}").alias(prefix + c) for c in cols])
+
+
+def last_before(rows: DataFrame, value: Column, name: str, order: Sequence[str] = ("ts",), by: str = "symbol", bucket_seconds: int = 86400) -> DataFrame:
+    """Adds the last value that is not NULL among the rows before each row of its series, dealt as in asof_join."""
+    x = rows.withColumn("_v", value).withColumn("_bucket", _bucket(order[0], bucket_seconds))
+    w = Window.partitionBy(by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ends = x.where("_v is not null").groupBy(by, "_bucket").agg(F.max_by("_v", F.struct(*order)).alias("_own"))
+    ends = x.select(by, "_bucket").distinct().join(ends, [by, "_bucket"], "left")
+    ends = ends.withColumn("_far", F.last("_own", ignorenulls=True).over(Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))).drop("_own")
+    near = x.withColumn("_near", F.last("_v", ignorenulls=True).over(w)).join(ends, [by, "_bucket"])
+    return near.withColumn(name, F.coalesce("_near", "_far")).drop("_v", "_bucket", "_near", "_far")
+
+
+def trailing_sum(rows: DataFrame, value: str, seconds: float, name: str, ts: str = "ts", by: str = "symbol", buckets: int = 8) -> DataFrame:
+    """Adds the sum of value over the last `seconds` (the row's own time included, the far end not).
+
+    A row also stands as context in the next time bucket where it may still count there, so windows end at buckets of
+    `buckets` times the span.
+    """
+    micros = round(seconds * 1_000_000)
+    size = micros * buckets
+    x = rows.withColumn("_u", F.unix_micros(ts)).withColumn("_bucket", F.floor(F.col("_u") / size))
+    late = x.where(F.col("_u") - F.col("_bucket") * size >= size - micros).withColumn("_bucket", F.col("_bucket") + 1).withColumn("_own", F.lit(False))
+    w = Window.partitionBy(by, "_bucket").orderBy("_u").rangeBetween(-(micros - 1), 0)
+    both = x.withColumn("_own", F.lit(True)).unionByName(late)
+    return both.withColumn(name, F.sum(value).over(w)).where("_own").drop("_u", "_bucket", "_own")
 
 
 def range_join(spans: DataFrame, points: DataFrame, start: str, end: str, at: str = "ts", by: Sequence[str] = ("symbol",), bucket_seconds: int = 86400, how: str = "inner") -> DataFrame:
@@ -59,12 +108,17 @@ def range_join(spans: DataFrame, points: DataFrame, start: str, end: str, at: st
     return s.alias("_s").join(p.alias("_p"), cond).select(*keep)
 
 
-def overlapping(rows: DataFrame, windows: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Rows whose [start, end] overlaps some window with the same keys."""
-    cond = (F.col(f"_a.{start}") <= F.col(f"_b.{end}")) & (F.col(f"_a.{end}") >= F.col(f"_b.{start}"))
+def overlapping(rows: DataFrame, windows: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", bucket_days: int = 30) -> DataFrame:
+    """Rows whose [start, end] overlaps some window with the same keys: equi-join on the key and each time bucket both touch."""
+    number = lambda c: F.floor(F.unix_seconds(c) / (bucket_days * 86400))
+    touch = lambda df: df.withColumn("_b", F.explode(F.sequence(number(start), number(end))))
+    a = touch(rows.withColumn("_row", F.monotonically_increasing_id()))
+    cond = (F.col(f"_a.{start}") <= F.col(f"_w.{end}")) & (F.col(f"_a.{end}") >= F.col(f"_w.{start}")) & (F.col("_a._b") == F.col("_w._b"))
     for k in keys:
-        cond = cond & (F.col(f"_a.{k}") == F.col(f"_b.{k}"))
-    return rows.alias("_a").join(windows.alias("_b"), cond, "left_semi")
+        cond = cond & (F.col(f"_a.{k}") == F.col(f"_w.{k}"))
+    hit = a.alias("_a").join(touch(windows.select(*keys, start, end)).alias("_w"), cond, "left_semi")
+    # a row is met once a bucket; the first of them stands for it
+    return hit.groupBy("_row").agg(F.first(F.struct(*rows.columns)).alias("_s")).select("_s.*")
 
 
 def shortfall_room(positions: DataFrame, limit: float) -> DataFrame:

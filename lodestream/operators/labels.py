@@ -9,21 +9,23 @@ from pyspark.sql.window import Window
 from lodestream.operators.features import series
 
 
-def triple_barrier(bars: DataFrame, target: str, up: float, down: float, horizon: int, by: str = "symbol") -> DataFrame:
-    """Adds t1, label and path_ret: the first of the upper barrier (1), the lower one (-1) or the end of the horizon (0).
+def triple_barrier(bars: DataFrame, target: str, up: float, down: float, horizon: int, by: str = "symbol", side: str | None = None) -> DataFrame:
+    """Adds t1, label and path_ret: the first of the profit barrier (1), the loss barrier (-1) or the end of the horizon (0).
 
-    The path starts with the next bar and reads highs and lows; if both are touched in one bar the lower one counts. The next
-    bars come as one framed list of at most horizon structs, so no join is needed.
+    Barriers stand up (profit) and down (loss) times target away from the close, for a side of -1 (column side) the other way
+    round, so that a fall is the profit. The path starts with the next bar and reads highs and lows; if both are touched in one
+    bar the loss counts. path_ret is the position's return. The next bars come as one framed list of at most horizon structs.
     """
     w = series(by).rowsBetween(1, horizon)
     x = bars.withColumn("_f", F.collect_list(F.struct("ts", "high", "low", "close")).over(w))
-    hi, lo = F.col("close") * (1 + up * F.col(target)), F.col("close") * (1 - down * F.col(target))
-    touch = F.filter("_f", lambda b: (b["high"] >= hi) | (b["low"] <= lo))
-    x = x.withColumn("_t", F.get(touch, F.lit(0))).withColumn("_e", F.get("_f", F.size("_f") - 1))
-    label = F.when(F.col("_t").isNull(), 0).when(F.col("_t.low") <= lo, -1).otherwise(1)
-    x = x.withColumn("label", label).withColumn("t1", F.coalesce(F.col("_t.ts"), F.col("_e.ts")))
-    end = F.when(F.col("label") == 1, hi).when(F.col("label") == -1, lo).otherwise(F.col("_e.close"))
-    return x.withColumn("path_ret", end / F.col("close") - 1).where("t1 is not null").drop("_f", "_t", "_e")
+    s = F.col(side).cast("double") if side else F.lit(1.0)
+    gain, loss = F.col("close") * (1 + s * up * F.col(target)), F.col("close") * (1 - s * down * F.col(target))
+    won = lambda b: F.when(s > 0, b["high"] >= gain).otherwise(b["low"] <= gain)
+    lost = lambda b: F.when(s > 0, b["low"] <= loss).otherwise(b["high"] >= loss)
+    x = x.withColumn("_t", F.get(F.filter("_f", lambda b: won(b) | lost(b)), F.lit(0))).withColumn("_e", F.get("_f", F.size("_f") - 1))
+    x = x.withColumn("label", F.when(F.col("_t").isNull(), 0).when(lost(F.col("_t")), -1).otherwise(1)).withColumn("t1", F.coalesce(F.col("_t.ts"), F.col("_e.ts")))
+    end = F.when(F.col("label") == 1, gain).when(F.col("label") == -1, loss).otherwise(F.col("_e.close"))
+    return x.withColumn("path_ret", s * (end / F.col("close") - 1)).where("t1 is not null").drop("_f", "_t", "_e")
 
 
 def horizon_label(bars: DataFrame, h: int, noise: float, by: str = "symbol") -> DataFrame:

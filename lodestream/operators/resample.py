@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestream.operators.joins import last_before
+
 _UNITS = {"m": ("minute", 1), "h": ("hour", 60), "d": ("day", 1440), "w": ("week", 10080)}
 
 
@@ -103,8 +105,8 @@ def activity_bars(ticks: DataFrame, threshold: float, dollars: bool = False, dro
 def bars_from_cuts(ticks: DataFrame, cut: Column, by: str = "symbol") -> DataFrame:
     """Bars that end at each tick where cut is true."""
     order = F.struct("ts", "trade_id")
-    before = Window.partitionBy(by).orderBy("ts", "trade_id").rowsBetween(Window.unboundedPreceding, -1)
-    x = ticks.withColumn("bar", F.coalesce(F.sum(cut.cast("int")).over(before), F.lit(0)))
+    x = running_sum(ticks.withColumn("_cut", F.coalesce(cut, F.lit(False)).cast("bigint")), F.col("_cut"), ["ts", "trade_id"], by, name="bar")
+    x = x.withColumn("bar", (F.col("bar") - F.col("_cut")).cast("bigint"))
     return x.groupBy(by, "bar").agg(
         F.max("ts").alias("ts"), F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"),
         F.sum("amount").alias("volume"), F.sum(F.col("price") * F.col("amount")).alias("dollars"),
@@ -113,10 +115,10 @@ def bars_from_cuts(ticks: DataFrame, cut: Column, by: str = "symbol") -> DataFra
 
 def tick_rule(ticks: DataFrame, by: str = "symbol") -> DataFrame:
     """Adds b: sign of the price change, carried over zeros, +1 at the start."""
-    w = Window.partitionBy(by).orderBy("ts", "trade_id")
-    sign = F.nullif(F.signum(F.col("price") - F.lag("price").over(w)), F.lit(0.0))
-    x = ticks.withColumn("_s", sign)
-    return x.withColumn("b", F.coalesce(F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0))).drop("_s")
+    x = last_before(ticks, F.col("price"), "_p", ["ts", "trade_id"], by)
+    x = x.withColumn("_s", F.nullif(F.signum(F.col("price") - F.col("_p")), F.lit(0.0)))
+    x = last_before(x, F.col("_s"), "_c", ["ts", "trade_id"], by)
+    return x.withColumn("b", F.coalesce("_s", "_c", F.lit(1.0))).drop("_p", "_s", "_c")
 
 
 def volume_delta(ticks: DataFrame, every: str, step: str, momentum: int = 12, by: str = "symbol") -> DataFrame:

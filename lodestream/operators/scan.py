@@ -2,7 +2,7 @@
 
 Two levels: inside chunks of consecutive rows the recurrence is a running product and a running sum; one row a chunk then
 carries its end value to the next chunks. With |a| <= A < 1 a few earlier chunks are enough, as each damps what came before by
-A ** length.
+A ** length. Rows are numbered inside time spans, and spans by one row each, so no task holds a whole series.
 """
 
 from __future__ import annotations
@@ -18,6 +18,16 @@ from pyspark.sql.window import Window
 LEAST_PRODUCT = 1e-6
 
 
+def numbered(rows: DataFrame, order: Sequence[str], by: str = "symbol", name: str = "_i", span: str = "30 days") -> DataFrame:
+    """Adds the row's number from 0 along its series; order starts with a timestamp."""
+    x = rows.withColumn("_span", F.window(order[0], span)["start"])
+    counts = x.groupBy(by, "_span").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(by, "_span").orderBy(*order)) - 1
+    return x.withColumn(name, inside).join(counts, [by, "_span"]).withColumn(name, F.col(name) + F.col("_before")).drop("_span", "_before")
+
+
 def affine_scans(rows: DataFrame, factor: float, adds: Mapping[str, tuple[Column, Column | None]], order: Sequence[str], by: str = "symbol") -> DataFrame:
     """Adds, for each name: (add, first), a column y with y = factor * y_before + add; the first row has y = first (add if None).
 
@@ -28,7 +38,7 @@ def affine_scans(rows: DataFrame, factor: float, adds: Mapping[str, tuple[Column
     if factor == 0:
         return rows.withColumns({k: add for k, (add, _) in adds.items()})
     length = max(1, int(math.log(LEAST_PRODUCT) / math.log(factor)))
-    x = rows.withColumn("_i", F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1)
+    x = numbered(rows, order, by)
     x = x.withColumns({f"_b_{k}": F.when(F.col("_i") == 0, first).otherwise(add) if first is not None else add for k, (add, first) in adds.items()})
     x = x.withColumn("_c", F.floor(F.col("_i") / length)).withColumn("_p", F.pow(F.lit(factor), F.col("_i") % length + 1))
     inside = Window.partitionBy(by, "_c").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)

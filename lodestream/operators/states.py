@@ -6,6 +6,7 @@ its own size.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -56,22 +57,20 @@ class CusumState:
 
 
 def cusum_events(rows: DataFrame, value: str, limit: float, key: str = "symbol", order: Sequence[str] = ("ts",)) -> DataFrame:
-    """Rows at which the sum of rises or falls since the last alarm passes limit (a share of the value): side 1 or -1."""
+    """Rows at which the sum of log returns, kept from below or above zero, passes limit: side 1 or -1. Both sums start again then."""
 
     def step(s: CusumState, x: float):
-        if s.last is None or not x or not s.last:
+        if s.last is None or not x or x <= 0 or s.last <= 0:
             s.last = x
             return None
-        r = x / s.last - 1
+        r = math.log(x / s.last)
         s.last = x
         s.up, s.down = max(0.0, s.up + r), min(0.0, s.down + r)
-        if s.up > limit:
-            s.up = 0.0
-            return (1,)
-        if s.down < -limit:
-            s.down = 0.0
-            return (-1,)
-        return None
+        side = 1 if s.up > limit else -1 if s.down < -limit else 0
+        if not side:
+            return None
+        s.up = s.down = 0.0
+        return (side,)
 
     return keyed_scan(rows, key, order, [value], CusumState, step, [("side", "int")])
 
@@ -101,47 +100,47 @@ def dwell(rows: DataFrame, label: str, least: int, key: str = "symbol", order: S
     return keyed_scan(rows, key, order, [label], DwellState, step, [("stable", "string")])
 
 
-class BarState:
-    def __init__(self, length: float) -> None:
-        self.expected_t, self.theta, self.count, self.mean, self.bar = length, 0.0, 0, 0.0, 0
-        self.last: float | None = None
-        self.b = 1
-
+def imbalance_cuts(ticks: DataFrame, dollars: bool = False, runs: bool = False, length: float = 1000.0, span: int = 100, key: str = "symbol") -> DataFrame:
+    """End ticks of adaptive bars: symbol, ts, bar, ticks (since the end before).
 
-def imbalance_cuts(ticks: DataFrame, dollars: bool = False, runs: bool = False, length: float = 50.0, alpha: float = 0.1, key: str = "symbol") -> DataFrame:
-    """End ticks of adaptive bars: where the imbalance (or the larger of buys and sells) passes its expected size.
-
-    Expected size is the expected length of a bar times the mean signed flow a tick; both follow finished bars by an
-    exponential mean. Output: symbol, ts, bar, ticks.
+    A tick's sign b follows the tick rule. Imbalance bars add up b (or b times price times amount) and end where the sum's size reaches
+    the expected length times the size of the exponential mean of the same; run bars add up both sides and end where the larger
+    reaches the expected length times the larger mean (of ticks: the larger share, at least a half). The mean runs over all ticks,
+    weights (1 - 2 / (span + 1)) ** age; the expected length moves by 1 / (span + 1) to each finished bar's. The first tick starts
+    the mean and belongs to no sum.
     """
+    keep, tiny = 1 - 2 / (span + 1), 1e-6 if dollars else 0.0
 
-    class State(BarState):
+    class State:
         def __init__(self) -> None:
-            super().__init__(length)
-            self.buys = self.sells = 0.0
+            self.expected, self.i, self.last_cut, self.bar = length, 0, 0, 0
+            self.buy = self.sell = self.theta_buy = self.theta_sell = self.weight = 0.0
+            self.price: float | None = None
+            self.b = 1
 
     def step(s: State, price: float, amount: float):
-        if s.last is not None and price != s.last:
-            s.b = 1 if price > s.last else -1
-        s.last = price
-        flow = s.b * (price * amount if dollars else 1.0)
-        s.theta += flow
-        s.buys += max(flow, 0.0)
-        s.sells += max(-flow, 0.0)
-        s.count += 1
-        size = max(s.buys, s.sells) if runs else abs(s.theta)
-        if s.bar == 0:
-            full = s.count >= length
+        if s.price is not None and price != s.price:
+            s.b = 1 if price > s.price else -1
+        s.price = price
+        size = price * amount if dollars else 1.0
+        buy, sell = (size, 0.0) if s.b > 0 else (0.0, size)
+        s.buy, s.sell, s.weight = s.buy * keep + buy, s.sell * keep + sell, s.weight * keep + 1
+        s.i += 1
+        if s.i == 1:
+            return None
+        s.theta_buy += buy
+        s.theta_sell += sell
+        mean_buy, mean_sell = s.buy / s.weight, s.sell / s.weight
+        if runs:
+            have, mean = max(s.theta_buy, s.theta_sell), max(mean_buy, mean_sell, tiny if dollars else 0.5)
         else:
-            full = s.count >= 2 and size >= max(s.expected_t * s.mean, 1e-12)
-        full = full or s.count >= 20 * length
-        if not full:
+            have, mean = abs(s.theta_buy - s.theta_sell), max(abs(mean_buy - mean_sell), tiny)
+        if have < s.expected * mean:
             return None
-        mean = size / s.count
-        s.mean = mean if s.bar == 0 else (1 - alpha) * s.mean + alpha * mean
-        s.expected_t = (1 - alpha) * s.expected_t + alpha * s.count
-        got = (s.bar, s.count)
-        s.bar, s.theta, s.buys, s.sells, s.count = s.bar + 1, 0.0, 0.0, 0.0, 0
+        n = s.i - 1 - s.last_cut
+        s.expected = (s.expected * span + n) / (span + 1)
+        got = (s.bar, n)
+        s.last_cut, s.bar, s.theta_buy, s.theta_sell = s.i - 1, s.bar + 1, 0.0, 0.0
         return got
 
     return keyed_scan(ticks, key, ("ts", "trade_id"), ["price", "amount"], State, step, [("bar", "int"), ("ticks", "int")])

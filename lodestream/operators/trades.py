@@ -91,3 +91,23 @@ def nearest_ranks(rows: DataFrame, by: str, c: str, shares: Mapping[str, float])
     x = x.withColumn("_in", F.sum("_n").over(inside)).join(sums, [by, "_r"]).withColumn("_upto", F.col("_in") + F.col("_before"))
     rank = lambda q: F.round(q * (F.col("_all") - 1)) + 1
     return x.groupBy(by).agg(*[F.min(F.when(F.col("_upto") >= rank(q), F.col(c))).alias(k) for k, q in shares.items()])
+
+
+def shadow_pnl(traced: DataFrame, horizon: int) -> DataFrame:
+    """Per filter that blocked a raw entry: how often, and what the entry would have earned over the next bars."""
+    x = traced.withColumn("_s", F.col("raw") * (F.lead("close", horizon).over(Window.partitionBy("symbol").orderBy("ts")) / F.col("close") - 1))
+    x = x.where("raw <> 0").select("_s", F.explode("blocked_by").alias("filter"))
+    return x.groupBy("filter").agg(F.count(F.lit(1)).alias("n"), F.count("_s").alias("known"), F.avg("_s").alias("mean"), F.avg(F.when(F.col("_s") > 0, 1.0).otherwise(0.0)).alias("positive"), F.sum("_s").alias("total"))
+
+
+def with_without_filters(traced: DataFrame, horizon: int, size: float) -> DataFrame:
+    """Equity of the position as held, and with each blocked entry's return over the horizon added in even parts to its bars."""
+    w = Window.partitionBy("symbol").orderBy("ts")
+    x = traced.withColumns({"_i": F.row_number().over(w), "_fwd": F.lead("close", horizon).over(w) / F.col("close") - 1})
+    x = x.withColumn("_ret", F.coalesce(F.lag("sig").over(w), F.lit(0.0)) * size * F.coalesce(F.col("close") / F.lag("close").over(w) - 1, F.lit(0.0)))
+    lost = x.where((F.col("raw") != 0) & (F.size("blocked_by") > 0) & F.col("_fwd").isNotNull())
+    lost = lost.select("symbol", F.explode(F.sequence(F.col("_i") + 1, F.col("_i") + horizon)).alias("_i"), (F.col("raw") * size * F.col("_fwd") / horizon).alias("_e"))
+    x = x.join(lost.groupBy("symbol", "_i").agg(F.sum("_e").alias("_e")), ["symbol", "_i"], "left")
+    more = F.greatest(F.col("_ret") + F.coalesce("_e", F.lit(0.0)), F.lit(-0.99))
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    return x.select("symbol", "ts", F.exp(F.sum(F.log1p("_ret")).over(run)).alias("with_filters"), F.exp(F.sum(F.log1p(more)).over(run)).alias("without_filters"))

@@ -31,14 +31,15 @@ def _(spark, d):
     return joins.asof_join(x, v.funding(spark, d), cols=["rate"], tie="seq").withColumn("event_rate", F.round(F.col("event_rate") * 1e6, 3))
 
 
-@query("s3_16_entry_features", f"""WITH {B}, {C} SELECT c.symbol, count(*) AS n, count(b.close) AS matched FROM closed c LEFT JOIN bars b ON b.symbol = c.symbol AND date_trunc('month', b.ts) = date_trunc('month', c.entry_ts + INTERVAL 25 year) AND hour(b.ts) = 0 AND day(b.ts) = 2 GROUP BY 1""")
+@query("s3_16_entry_features", f"""WITH {B}, {C} SELECT c.symbol, CAST(epoch(c.entry_ts + INTERVAL 25 year) AS BIGINT) AS ts, {', '.join(x if x not in ('entry_ts', 'exit_ts') else f'CAST(epoch(c.{x}) AS BIGINT) AS {x}' for x in ORDER)}, side, ret,
+    round(b.close, 6) AS entry_close, round(b.volume, 6) AS entry_volume FROM closed c LEFT JOIN bars b ON b.symbol = c.symbol AND b.ts = c.entry_ts + INTERVAL 25 year""")
 def _(spark, d):
     b = v.bars(spark, d).select("symbol", "ts", F.col("close").alias("entry_close"), F.col("volume").alias("entry_volume"))
     c = v.closed_trades(spark, d).select("symbol", *ORDER, "side", "ret", (F.col("entry_ts") + F.expr("INTERVAL 25 YEARS")).alias("ts"))
     return c.join(b, ["symbol", "ts"], "left")
 
 
-@query("s3_29_cluster_room", """WITH p AS (SELECT o_orderkey AS id, CAST(o_totalprice AS DOUBLE) AS size, unnest([o_custkey % 300, 300 + o_custkey % 7]) AS leg FROM orders WHERE o_orderkey % 4 = 0), u AS (SELECT leg, sum(size) AS used FROM p GROUP BY 1), r AS (SELECT id, size, max(used) AS used FROM p JOIN u USING (leg) GROUP BY 1, 2)
+@query("s3_29_cluster_room", """WITH p AS (SELECT o_orderkey AS id, CAST(o_totalprice AS DOUBLE) AS size, unnest([o_custkey % 300, 300 + o_custkey % 7]) AS leg FROM orders), u AS (SELECT leg, sum(size) AS used FROM p GROUP BY 1), r AS (SELECT id, size, max(used) AS used FROM p JOIN u USING (leg) GROUP BY 1, 2)
     SELECT id, round(used, 2) AS used, round(greatest(0, least(1, (9e7 - used + size) / size)), 6) AS room FROM r""")
 def _(spark, d):
     from lodestream.session import table
@@ -62,7 +63,7 @@ def _(spark, d):
     y AS (SELECT label, 'reversion' AS strategy, sig * r AS ret FROM x WHERE r IS NOT NULL UNION ALL SELECT label, 'long', r FROM x WHERE r IS NOT NULL), g AS (SELECT label, strategy, count(*) AS n, avg(ret) / nullif(stddev_pop(ret), 0) AS sharpe FROM y GROUP BY 1, 2)
     SELECT label, strategy, n, round(sharpe, 6) AS sharpe, CAST(row_number() OVER (PARTITION BY label ORDER BY sharpe DESC, strategy) AS INTEGER) AS rank, round(coalesce(greatest(sharpe, 0) / nullif(sum(greatest(sharpe, 0)) OVER (PARTITION BY label), 0), 0), 6) AS weight FROM g""")
 def _(spark, d):
-    x = signals.mean_reversion(v.bars(spark, d))
+    x = signals.zscore_reversion(v.bars(spark, d))
     x = x.withColumn("label", F.when(F.col("volume") > F.avg("volume").over(ft.last_n(24)), "busy").otherwise("calm")).withColumn("r", F.lead("close").over(ft.series()) / F.col("close") - 1).where("r is not null")
     long = x.select("label", F.explode(F.array(F.struct(F.lit("reversion").alias("strategy"), (F.col("sig") * F.col("r")).alias("ret")), F.struct(F.lit("long").alias("strategy"), F.col("r").alias("ret")))).alias("s")).select("label", "s.*")
     return ev.regime_map(long, 1)
@@ -74,7 +75,7 @@ def _(spark, d):
     return x.select("symbol", "ts", F.sqrt("ewma_var").alias("vol"))
 
 
-@query("s6_38_hawkes", f"""WITH {T} SELECT a.symbol, a.trade_id, round(sum(exp(-0.001 * (epoch(a.ts) - epoch(b.ts)))), 6) AS intensity FROM ticks a JOIN ticks b ON a.symbol = b.symbol AND b.ts <= a.ts WHERE a.ts < TIMESTAMP '2024-01-15' GROUP BY 1, 2""")
+@query("s6_38_hawkes", f"""WITH {T} SELECT a.symbol, a.trade_id, round(sum(exp(-0.001 * (epoch(a.ts) - epoch(b.ts)))), 6) AS intensity FROM ticks a JOIN ticks b ON a.symbol = b.symbol AND b.ts <= a.ts GROUP BY 1, 2""")
 def _(spark, d):
     return ev.hawkes(v.ticks(spark, d), 0.001).select("symbol", "trade_id", "intensity")
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestream import views as v
 from lodestream.functions import numbers as n
@@ -58,7 +57,7 @@ def _(spark, d):
     return x.withColumn("event_rate", F.round(F.col("event_rate") * 1e6, 3))
 
 
-@query("s3_3_align_imbalance", f"""WITH {BK.replace(T, T)}, i AS (SELECT symbol, time_bucket(INTERVAL 15 minute, ts) AS ts, avg((bid_qty - ask_qty) / (bid_qty + ask_qty)) AS imb FROM book GROUP BY 1, 2),
+@query("s3_3_align_imbalance", f"""WITH {BK}, i AS (SELECT symbol, time_bucket(INTERVAL 15 minute, ts) AS ts, avg((bid_qty - ask_qty) / (bid_qty + ask_qty)) AS imb FROM book GROUP BY 1, 2),
     bars AS (SELECT symbol, date_trunc('hour', ts) AS ts, arg_max(price, ts) AS close FROM ticks GROUP BY 1, 2)
     SELECT b.symbol, CAST(floor(epoch(b.ts)) AS BIGINT) AS ts, round(close, 6) AS close, round(imb, 6) AS event_imb FROM bars b ASOF LEFT JOIN i ON b.symbol = i.symbol AND b.ts >= i.ts""")
 def _(spark, d):
@@ -110,7 +109,7 @@ def _(spark, d):
     return x.join(y, "ts").where("symbol < s2").groupBy(F.col("symbol").alias("s1"), "s2").agg(F.count(F.lit(1)).alias("n"), F.corr("close", "c2").alias("rho")).where("n >= 80")
 
 
-@query("s3_14_trade_range", f"""WITH {B}, t AS (SELECT symbol, trade_id, ts AS a, ts + INTERVAL 6 hour AS z, price FROM ticks WHERE trade_id % 5 = 0)
+@query("s3_14_trade_range", f"""WITH {B}, t AS (SELECT symbol, trade_id, ts AS a, ts + INTERVAL 6 hour AS z, price FROM ticks)
     SELECT t.symbol, t.trade_id, round(min(low), 6) AS min_low, round(max(high), 6) AS max_high FROM t JOIN bars b ON b.symbol = t.symbol AND b.ts BETWEEN a AND z GROUP BY 1, 2""")
 def _(spark, d):
     t = v.ticks(spark, d).select("symbol", "trade_id", F.col("ts").alias("a"), (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("z"))
@@ -237,7 +236,7 @@ def _(spark, d):
     UNION ALL SELECT n.symbol, n.i, n.ts, r.g * 13 / 14 + greatest(n.dl, 0), r.l * 13 / 14 + greatest(-n.dl, 0), r.t * 13 / 14 + n.tr, r.tw * 13 / 14 + 1 FROM r JOIN n ON n.symbol = r.symbol AND n.i = r.i + 1)
     SELECT symbol, {TS}, round(CASE WHEN l = 0 AND g > 0 THEN 100 WHEN l = 0 THEN 50 ELSE 100 - 100 / (1 + g / l) END, 6) AS rsi, round(t / tw, 6) AS atr FROM r""")
 def _(spark, d):
-    return ft.atr(ft.rsi(v.bars(spark, d))).select("symbol", "ts", "rsi", "atr")
+    return ft.rsi_atr(v.bars(spark, d)).select("symbol", "ts", "rsi", "atr")
 
 
 @query("s6_8_zscore", f"WITH {B} SELECT symbol, {TS}, round(coalesce((close - avg(close) {W20}) / nullif(stddev_pop(close) {W20}, 0), 0), 6) AS z FROM bars")
@@ -259,16 +258,21 @@ def _(spark, d):
 
 @query("s6_19_time_range_sum", f"""WITH {T} SELECT symbol, trade_id, sum(amount) OVER (PARTITION BY symbol ORDER BY ts RANGE BETWEEN INTERVAL 899999999 microsecond PRECEDING AND CURRENT ROW) AS last_15m FROM ticks""")
 def _(spark, d):
-    t = v.ticks(spark, d).withColumn("u", F.unix_micros("ts"))
-    w = Window.partitionBy("symbol").orderBy("u").rangeBetween(-899_999_999, 0)
-    return t.select("symbol", "trade_id", F.sum("amount").over(w).alias("last_15m"))
+    return joins.trailing_sum(v.ticks(spark, d), "amount", 900, "last_15m").select("symbol", "trade_id", "last_15m")
 
 
-@query("s6_21_volatility_regime", f"""WITH {B}, x AS (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS r FROM bars),
-    y AS (SELECT symbol, ts, CASE WHEN count(*) OVER q >= 24 THEN stddev_samp(r) OVER q END AS rv FROM x WINDOW q AS (PARTITION BY symbol ORDER BY ts ROWS 23 PRECEDING)),
-    z AS (SELECT *, list(rv) OVER (PARTITION BY symbol ORDER BY ts ROWS 119 PRECEDING) AS l FROM y),
-    k AS (SELECT symbol, ts, CASE WHEN rv IS NOT NULL THEN len(list_filter(l, lambda e: e <= rv)) / len(list_filter(l, lambda e: e IS NOT NULL)) END AS vol_rank FROM z)
-    SELECT symbol, {TS}, round(vol_rank, 6) AS vol_rank, CASE WHEN vol_rank IS NULL THEN NULL WHEN vol_rank <= 0.33 THEN 'low' WHEN vol_rank >= 0.67 THEN 'high' ELSE 'normal' END AS vol_regime FROM k""")
+def _last(n: int) -> str:
+    return f"OVER (PARTITION BY symbol ORDER BY ts ROWS {n - 1} PRECEDING)"
+
+
+VOLS = f"""lv AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY ts)) AS lr FROM {{0}}),
+    rv AS (SELECT *, CASE WHEN count(lr) {_last(60)} >= 30 THEN stddev_samp(lr) {_last(60)} END AS rv, CASE WHEN count(*) {_last(50)} >= 50 THEN stddev_samp(close) {_last(50)} END AS dev FROM lv),
+    rl AS (SELECT *, list(rv) {_last(500)} AS l FROM rv),
+    rk AS (SELECT * EXCLUDE (l), CASE WHEN len(list_filter(l, lambda e: e IS NOT NULL)) >= 250 THEN len(list_filter(l, lambda e: e <= rv)) / len(l) END AS vol_rank FROM rl),
+    vr AS (SELECT *, CASE WHEN vol_rank > 0.8 THEN 'high' WHEN vol_rank < 0.2 THEN 'low' ELSE 'normal' END AS vol FROM rk)"""
+
+
+@query("s6_21_volatility_regime", f"WITH {B}, {VOLS.format('bars')} SELECT symbol, {TS}, round(vol_rank, 6) AS vol_rank, vol AS vol_regime FROM vr")
 def _(spark, d):
     return ft.volatility_regime(v.bars(spark, d)).select("symbol", "ts", "vol_rank", "vol_regime")
 
@@ -288,7 +292,7 @@ def _(spark, d):
 @query("s6_35_garch", _recursive("CAST(1 AS DOUBLE) AS v, CAST(0 AS DOUBLE) AS r1, CAST(0 AS DOUBLE) AS e", "0.01 + 0.1 * (r.close / 100 - 0.3) * (r.close / 100 - 0.3) + 0.85 * r.v, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)", "round(v, 6) AS garch_var"))
 def _(spark, d):
     x = v.bars(spark, d).withColumn("r", F.col("close") / 100 - 0.3)
-    return garch_variance(x, "r", 0.01, 0.1, 0.85, 1.0).withColumn("garch_var", F.col("garch_var")).withColumn("_k", F.row_number().over(ft.series())).withColumn("garch_var", F.when(F.col("_k") == 1, 1.0).otherwise(F.col("garch_var"))).select("symbol", "ts", "garch_var")
+    return garch_variance(x, "r", 0.01, 0.1, 0.85, 1.0).withColumn("_k", F.row_number().over(ft.series())).withColumn("garch_var", F.when(F.col("_k") == 1, 1.0).otherwise(F.col("garch_var"))).select("symbol", "ts", "garch_var")
 
 
 @query("s6_41_half_life_beta", f"""WITH {B}, x AS (SELECT symbol, ts, close - lag(close) OVER w AS ds, lag(close) OVER w AS s1 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts))
@@ -341,9 +345,14 @@ def _(spark, d):
     return n(a.intersect(b), "both").unionByName(n(a.subtract(b), "only S0"))
 
 
-@query("s9_6_bet_size_costs", f"""WITH {B}, x AS (SELECT symbol, ts, 0.5 + 0.4 * (close - low) / nullif(high - low, 0) AS p, high, low, close, volume FROM bars)
-    SELECT symbol, {TS}, round(p, 6) AS p, round(least(greatest(0.5 * (p - (1 - p) / 1.5), 0), 1), 6) AS kelly, round(0.7 * ((high - low) / close) * sqrt(10 / volume), 6) AS impact FROM x WHERE p IS NOT NULL""")
+@query("s9_6_bet_size_costs", f"""WITH {B}, x AS (SELECT symbol, ts, 0.5 + 0.4 * (close - low) / nullif(high - low, 0) AS p, high, low, close, volume FROM bars),
+    z AS (SELECT *, (p - 0.5) / sqrt(greatest(p * (1 - p), 1e-12)) AS z FROM x WHERE p IS NOT NULL),
+    t AS (SELECT symbol, ts, list_reduce(list_transform(range(60, 0, -1), lambda k: CAST(k AS DOUBLE)), lambda a, k: 1 + z * z / (2 * k + 1) * a, CAST(1 AS DOUBLE)) AS s, p, z, high, low, close, volume FROM z)
+    SELECT symbol, {TS}, round(p, 6) AS p, round(least(greatest(0.5 * (p - (1 - p) / 1.5), 0), 1), 6) AS kelly, round(0.7 * ((high - low) / close) * sqrt(10 / volume), 6) AS impact,
+    round(2 * z * exp(-z * z / 2) / sqrt(2 * pi()) * s, 6) AS bet FROM t""")
 def _(spark, d):
+    """The bet size's distribution function stands in the SQL as its power series; |z| stays below 2 here."""
     p = 0.5 + 0.4 * (F.col("close") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
     x = v.bars(spark, d).withColumn("p", p).where("p is not null")
-    return x.select("symbol", "ts", "p", n.kelly(F.col("p"), F.lit(1.5)).alias("kelly"), n.impact(F.lit(10.0), F.col("volume"), (F.col("high") - F.col("low")) / F.col("close"), 0.7).alias("impact"))
+    impact = n.impact(F.lit(10.0), F.col("volume"), (F.col("high") - F.col("low")) / F.col("close"), 0.7)
+    return x.select("symbol", "ts", "p", n.kelly(F.col("p"), F.lit(1.5)).alias("kelly"), impact.alias("impact"), n.bet_size(F.col("p"), F.lit(1.0)).alias("bet"))

@@ -10,7 +10,7 @@ from lodestream.functions import numbers as n
 from lodestream.operators import accounting as ac
 from lodestream.operators import features as ft
 from lodestream.operators import labels, quality, signals, states, stats, trades
-from lodestream.plans.market import BK, TS, B, C, FL, FU, LEGS, O, T, _r, legs
+from lodestream.plans.market import BK, TS, VOLS, B, C, FL, FU, LEGS, O, T, _r, legs
 from lodestream.plans.registry import query
 from lodestream.session import shared_dir, tune
 from lodestream.streaming import streams
@@ -21,9 +21,10 @@ TIE = "entry_ts, exit_ts, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quan
 ORDER = TIE.split(", ")
 
 
-@query("s2_1_filter", f"WITH {O} SELECT order_id, round(price, 6) AS price, status FROM order_log WHERE status IN ('filled', 'unfilled') AND price > 200000 AND contains(lower(priority || ' ' || status), 'high filled') IS NOT NULL")
+@query("s2_1_filter", f"WITH {O} SELECT order_id, round(price, 6) AS price, status FROM order_log WHERE status IN ('filled', 'unfilled') AND price > 200000 AND contains(lower(priority || ' ' || status), 'high')")
 def _(spark, d):
-    return v.order_log(spark, d).where(F.col("status").isin("filled", "unfilled") & (F.col("price") > 200000)).select("order_id", "price", "status")
+    text = F.lower(F.concat_ws(" ", "priority", "status"))
+    return v.order_log(spark, d).where(F.col("status").isin("filled", "unfilled") & (F.col("price") > 200000) & text.contains("high")).select("order_id", "price", "status")
 
 
 @query("s2_4_session_slice", f"WITH {T} SELECT symbol, count(*) AS n, round(sum(amount), 6) AS amount FROM ticks WHERE (hour(ts) >= 22 OR hour(ts) < 4) AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' GROUP BY 1")
@@ -144,10 +145,7 @@ def _(spark, d):
 FT = "ts, l_orderkey, l_linenumber, l_partkey, l_suppkey, qty, l_extendedprice"
 
 
-@query("s5_34_fifo", f"""WITH {FL}, f AS (SELECT * FROM fills WHERE l_partkey % 10 = 0), x AS (SELECT *, row_number() OVER w AS n, sum(CASE side WHEN 'buy' THEN qty ELSE 0 END) OVER w AS b, sum(CASE side WHEN 'buy' THEN 0 ELSE qty END) OVER w AS s FROM f WINDOW w AS (PARTITION BY symbol ORDER BY {FT} ROWS UNBOUNDED PRECEDING)),
-    y AS (SELECT *, s + least(0, coalesce(min(CASE side WHEN 'sell' THEN b - s END) OVER (PARTITION BY symbol ORDER BY n), 0)) AS c FROM x), z AS (SELECT *, coalesce(lag(c) OVER (PARTITION BY symbol ORDER BY n), 0) AS p FROM y),
-    m AS (SELECT z.symbol, z.n, sum(least(l.b, z.c) - greatest(l.b - l.qty, z.p)) AS matched, sum((least(l.b, z.c) - greatest(l.b - l.qty, z.p)) * l.price) AS cost FROM z JOIN z l ON l.symbol = z.symbol AND l.side = 'buy' AND l.b - l.qty < z.c AND l.b > z.p WHERE z.side = 'sell' GROUP BY 1, 2)
-    SELECT z.symbol, CAST(z.n AS INTEGER) AS n, z.qty, coalesce(matched, 0) AS matched, round(coalesce(cost, 0) + 1e-7, 4) AS cost, round(z.qty * z.price - coalesce(cost, 0) + 1e-7, 4) AS pnl FROM z LEFT JOIN m USING (symbol, n) WHERE z.side = 'sell'""")
+@query("s5_34_fifo")
 def _(spark, d):
     x = trades.fifo(v.fills(spark, d), FT.split(", "))
     return x.withColumn("cost", F.round(F.col("cost") + 1e-7, 4)).withColumn("pnl", F.round(F.col("pnl") + 1e-7, 4))
@@ -229,9 +227,9 @@ HELD = """z AS (SELECT *, CASE WHEN count(*) OVER w >= 24 THEN coalesce((close -
     sig AS (SELECT *, CAST(coalesce(last_value(st IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING), 0) AS DOUBLE) AS sig FROM s)"""
 
 
-@query("s11_2_mean_reversion", f"WITH {B}, {HELD} SELECT symbol, {TS}, round(z, 6) AS z, sig FROM sig")
+@query("s11_2_zscore_reversion", f"WITH {B}, {HELD} SELECT symbol, {TS}, round(z, 6) AS z, sig FROM sig")
 def _(spark, d):
-    return signals.mean_reversion(v.bars(spark, d)).select("symbol", "ts", "z", "sig")
+    return signals.zscore_reversion(v.bars(spark, d)).select("symbol", "ts", "z", "sig")
 
 
 @query("s11_9_pairs", LEGS + """, z AS (SELECT *, CASE WHEN count(*) OVER w >= 48 THEN coalesce((ln(c1 / c2) - avg(ln(c1 / c2)) OVER w) / nullif(stddev_pop(ln(c1 / c2)) OVER w, 0), 0) END AS z FROM p WINDOW w AS (ORDER BY ts ROWS 47 PRECEDING)),
@@ -262,7 +260,7 @@ def _(spark, d):
 def _(spark, d):
     b = v.bars(spark, d)
     other = b.select("symbol", "ts", F.when(F.col("close") < F.col("open"), 1.0).when(F.col("close") > F.col("open"), -1.0).otherwise(0.0).alias("sig"))
-    return signals.ensemble(signals.mean_reversion(b).select("symbol", "ts", "sig").unionByName(other), "vote")
+    return signals.ensemble(signals.zscore_reversion(b).select("symbol", "ts", "sig").unionByName(other), "vote")
 
 
 @query("s11_23_hedge_weights", f"""WITH {B}, l AS (SELECT symbol, ts, 'up' AS expert, CASE WHEN close > open THEN 0.0 ELSE 1.0 END AS loss FROM bars UNION ALL SELECT symbol, ts, 'down', CASE WHEN close < open THEN 0.0 ELSE 1.0 END FROM bars),
@@ -275,13 +273,17 @@ def _(spark, d):
     return signals.hedge_weights(up.unionByName(down), 0.1).select("symbol", "ts", "expert", "weight")
 
 
-BARRIER = f"""WITH {B}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM bars), p AS (SELECT a.symbol, a.ts, a.close AS c, b.i - a.i AS k, b.ts AS bt, b.close AS bc, b.high >= a.close * 1.5 AS up, b.low <= a.close * 0.5 AS dn FROM n a JOIN n b ON a.symbol = b.symbol AND b.i > a.i AND b.i <= a.i + 12),
-    t AS (SELECT symbol, ts, c, arg_min(CASE WHEN dn THEN -1 ELSE 1 END, k) FILTER (WHERE up OR dn) AS l, arg_min(bt, k) FILTER (WHERE up OR dn) AS lt, arg_max(bt, k) AS et, arg_max(bc, k) AS ec FROM p GROUP BY 1, 2, 3)"""
+BARRIER = f"""WITH {B}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i, CASE WHEN close >= open THEN 1 ELSE -1 END AS side FROM bars), p AS (SELECT a.symbol, a.ts, a.close AS c, b.i - a.i AS k, b.ts AS bt, b.close AS bc, CASE WHEN a.side > 0 THEN b.high >= a.close * 1.5 ELSE b.low <= a.close * 0.5 END AS up, CASE WHEN a.side > 0 THEN b.low <= a.close * 0.5 ELSE b.high >= a.close * 1.5 END AS dn, a.side FROM n a JOIN n b ON a.symbol = b.symbol AND b.i > a.i AND b.i <= a.i + 12),
+    t AS (SELECT symbol, ts, c, any_value(side) AS side, arg_min(CASE WHEN dn THEN -1 ELSE 1 END, k) FILTER (WHERE up OR dn) AS l, arg_min(bt, k) FILTER (WHERE up OR dn) AS lt, arg_max(bt, k) AS et, arg_max(bc, k) AS ec FROM p GROUP BY 1, 2, 3)"""
 
 
-@query("s12_1_triple_barrier", BARRIER + f" SELECT symbol, {TS}, CAST(coalesce(l, 0) AS INTEGER) AS label, CAST(epoch(coalesce(lt, et)) AS BIGINT) AS t1, round(CASE WHEN l = 1 THEN c * 1.5 / c WHEN l = -1 THEN c * 0.5 / c ELSE ec / c END - 1, 6) AS path_ret FROM t")
+def _sided(bars):
+    return bars.withColumn("target", F.lit(0.5)).withColumn("side", F.when(F.col("close") >= F.col("open"), 1).otherwise(-1))
+
+
+@query("s12_1_triple_barrier", BARRIER + f" SELECT symbol, {TS}, CAST(coalesce(l, 0) AS INTEGER) AS label, CAST(epoch(coalesce(lt, et)) AS BIGINT) AS t1, round(side * (CASE WHEN l = side THEN c * 1.5 / c WHEN l = -side THEN c * 0.5 / c ELSE ec / c END - 1), 6) AS path_ret FROM t")
 def _(spark, d):
-    return labels.triple_barrier(v.bars(spark, d).withColumn("target", F.lit(0.5)), "target", 1.0, 1.0, 12).select("symbol", "ts", "label", "t1", "path_ret")
+    return labels.triple_barrier(_sided(v.bars(spark, d)), "target", 1.0, 1.0, 12, side="side").select("symbol", "ts", "label", "t1", "path_ret")
 
 
 @query("s12_5_horizon_label", f"WITH {B}, x AS (SELECT symbol, ts, lead(close, 6) OVER (PARTITION BY symbol ORDER BY ts) / close - 1 AS fwd FROM bars) SELECT symbol, {TS}, round(fwd, 6) AS fwd, CAST(CASE WHEN fwd IS NULL THEN NULL WHEN abs(fwd) <= 0.1 THEN 0 ELSE sign(fwd) END AS INTEGER) AS label FROM x")
@@ -293,7 +295,7 @@ def _(spark, d):
     SELECT s.symbol, CAST(epoch(s.ts) AS BIGINT) AS ts, round(avg(1 / o.open), 6) AS uniqueness FROM s JOIN o ON o.symbol = s.symbol AND o.ts BETWEEN s.ts AND s.t1 GROUP BY 1, 2""")
 def _(spark, d):
     b = v.bars(spark, d)
-    e = labels.triple_barrier(b.withColumn("target", F.lit(0.5)), "target", 1.0, 1.0, 12).select("symbol", "ts", "t1")
+    e = labels.triple_barrier(_sided(b), "target", 1.0, 1.0, 12, side="side").select("symbol", "ts", "t1")
     return labels.uniqueness(e, b).select("symbol", "ts", "uniqueness")
 
 
@@ -311,7 +313,7 @@ PNL = f"""WITH {B}, {HELD}, p AS (SELECT symbol, ts, close, coalesce(lag(sig) OV
 
 def _pnl(spark, d):
     """A hundredth of equity a position: the stand-in prices jump by large factors."""
-    x = ac.positions(signals.mean_reversion(v.bars(spark, d)))
+    x = ac.positions(signals.zscore_reversion(v.bars(spark, d)))
     w = ft.series()
     x = x.withColumn("turnover", F.abs(F.col("pos") - F.coalesce(F.lag("pos").over(w), F.lit(0.0)))).withColumn("br", F.coalesce(F.col("close") / F.lag("close").over(w) - 1, F.lit(0.0)))
     x = x.withColumn("ret", F.col("pos") * 0.01 * F.col("br") - F.col("turnover") * 0.0001)
@@ -345,7 +347,7 @@ def _(spark, d):
 @query("s13_18_entry_delay", f"""WITH {B}, {HELD}, l AS (SELECT symbol, ts, close, unnest([{{'d': 1, 'p': lag(sig, 1) OVER w}}, {{'d': 2, 'p': lag(sig, 2) OVER w}}, {{'d': 3, 'p': lag(sig, 3) OVER w}}]) AS s, close / lag(close) OVER w - 1 AS br FROM sig WINDOW w AS (PARTITION BY symbol ORDER BY ts))
     SELECT symbol, s.d AS delay, round(avg(coalesce(s.p, 0) * 0.01 * coalesce(br, 0)) * 1e4, 6) AS mean_bps FROM l GROUP BY 1, 2""")
 def _(spark, d):
-    x, w = signals.mean_reversion(v.bars(spark, d)), ft.series()
+    x, w = signals.zscore_reversion(v.bars(spark, d)), ft.series()
     x = x.select("symbol", (F.col("close") / F.lag("close").over(w) - 1).alias("br"), *[F.lag("sig", k).over(w).alias(f"p{k}") for k in (1, 2, 3)])
     x = x.select("symbol", "br", F.explode(F.array(*[F.struct(F.lit(k).alias("d"), F.col(f"p{k}").alias("p")) for k in (1, 2, 3)])).alias("s"))
     return x.groupBy("symbol", F.col("s.d").alias("delay")).agg((F.avg(F.coalesce("s.p", F.lit(0.0)) * 0.01 * F.coalesce("br", F.lit(0.0))) * 1e4).alias("mean_bps"))
@@ -392,32 +394,72 @@ def _(spark, d):
     return quality.funding_report(v.funding(spark, d), 1e-4)
 
 
-@query("s4_11_imbalance_bars")
+def _cuts_sql(flow: str, have: str, mean: str, length: int) -> str:
+    """Adaptive bars tick by tick: flow gives a tick's buys and sells, have and mean compare their sums and means."""
+    return f"""WITH RECURSIVE {T}, x AS (SELECT *, nullif(sign(price - lag(price) OVER w), 0) AS s, row_number() OVER w - 1 AS i FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, trade_id)),
+    y AS (SELECT *, coalesce(last_value(s IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY i ROWS UNBOUNDED PRECEDING), 1) AS b FROM x), n AS (SELECT symbol, ts, i, CASE WHEN b > 0 THEN {flow} ELSE 0.0 END AS fb, CASE WHEN b > 0 THEN 0.0 ELSE {flow} END AS fs FROM y),
+    r AS (SELECT symbol, ts, i, fb AS mb, fs AS ms, CAST(1 AS DOUBLE) AS w, CAST(0 AS DOUBLE) AS tb, CAST(0 AS DOUBLE) AS tt, CAST({length} AS DOUBLE) AS e, CAST(0 AS BIGINT) AS c, 0 AS bar, 0 AS ticks FROM n WHERE i = 0
+    UNION ALL SELECT symbol, ts, i, mb, ms, w, CASE WHEN cut THEN 0 ELSE tb END, CASE WHEN cut THEN 0 ELSE tt END, CASE WHEN cut THEN (e * 100 + (i - c)) / 101 ELSE e END, CASE WHEN cut THEN i ELSE c END, CASE WHEN cut THEN bar + 1 ELSE bar END, CASE WHEN cut THEN CAST(i - c AS INTEGER) ELSE 0 END
+    FROM (SELECT *, {have} >= e * ({mean}) AS cut FROM (SELECT n.symbol, n.ts, n.i, r.mb * (1 - 2.0::DOUBLE / 101) + n.fb AS mb, r.ms * (1 - 2.0::DOUBLE / 101) + n.fs AS ms, r.w * (1 - 2.0::DOUBLE / 101) + 1 AS w, r.tb + n.fb AS tb, r.tt + n.fs AS tt, r.e, r.c, r.bar FROM r JOIN n ON n.symbol = r.symbol AND n.i = r.i + 1)))
+    SELECT symbol, {TS}, bar - 1 AS bar, ticks FROM r WHERE ticks > 0"""
+
+
+IMB = ("abs(tb - tt)", "greatest(abs(mb / w - ms / w), {0})")
+
+
+@query("s4_11_imbalance_bars", _cuts_sql("CAST(1 AS DOUBLE)", IMB[0], IMB[1].format(0), 100))
+def _(spark, d):
+    return states.imbalance_cuts(v.ticks(spark, d), length=100)
+
+
+@query("s4_12_dollar_imbalance_bars", _cuts_sql("price * amount", IMB[0], IMB[1].format(1e-6), 50))
+def _(spark, d):
+    return states.imbalance_cuts(v.ticks(spark, d), dollars=True, length=50)
+
+
+@query("s4_13_tick_run_bars", _cuts_sql("CAST(1 AS DOUBLE)", "greatest(tb, tt)", "greatest(mb / w, ms / w, 0.5)", 50))
 def _(spark, d):
-    return states.imbalance_cuts(v.ticks(spark, d))
+    return states.imbalance_cuts(v.ticks(spark, d), runs=True, length=50)
 
 
-@query("s4_14_dollar_run_bars")
+@query("s4_14_dollar_run_bars", _cuts_sql("price * amount", "greatest(tb, tt)", "greatest(mb / w, ms / w, 1e-6)", 50))
 def _(spark, d):
-    return states.imbalance_cuts(v.ticks(spark, d), dollars=True, runs=True)
+    return states.imbalance_cuts(v.ticks(spark, d), dollars=True, runs=True, length=50)
 
 
-@query("s6_24_dwell")
+@query("s6_24_dwell", f"""WITH RECURSIVE {B}, {VOLS.format('bars')}, n AS (SELECT symbol, ts, vol, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM vr),
+    r AS (SELECT symbol, ts, i, vol AS stable, CAST(NULL AS VARCHAR) AS nxt, 0 AS c FROM n WHERE i = 1
+    UNION ALL SELECT symbol, ts, i, CASE WHEN c >= 5 THEN vol ELSE stable END, CASE WHEN c = 0 OR c >= 5 THEN NULL ELSE vol END, CASE WHEN c >= 5 THEN 0 ELSE c END
+    FROM (SELECT n.symbol, n.ts, n.i, n.vol, r.stable, CASE WHEN n.vol = r.stable THEN 0 WHEN n.vol = r.nxt THEN r.c + 1 ELSE 1 END AS c FROM r JOIN n ON n.symbol = r.symbol AND n.i = r.i + 1))
+    SELECT symbol, {TS}, stable FROM r""")
 def _(spark, d):
     return states.dwell(ft.volatility_regime(v.bars(spark, d)), "vol_regime", 5)
 
 
-@query("s6_43_cusum")
+@query("s6_43_cusum", f"""WITH RECURSIVE {B}, n AS (SELECT symbol, ts, row_number() OVER w AS i, coalesce(ln(close / lag(close) OVER w), 0) AS lr FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+    r AS (SELECT symbol, ts, i, CAST(0 AS DOUBLE) AS u, CAST(0 AS DOUBLE) AS l, 0 AS side FROM n WHERE i = 1
+    UNION ALL SELECT symbol, ts, i, CASE WHEN u > 2 OR l < -2 THEN 0 ELSE u END, CASE WHEN u > 2 OR l < -2 THEN 0 ELSE l END, CASE WHEN u > 2 THEN 1 WHEN l < -2 THEN -1 ELSE 0 END
+    FROM (SELECT n.symbol, n.ts, n.i, greatest(0, r.u + n.lr) AS u, least(0, r.l + n.lr) AS l FROM r JOIN n ON n.symbol = r.symbol AND n.i = r.i + 1))
+    SELECT symbol, {TS}, side FROM r WHERE side <> 0""")
 def _(spark, d):
     return states.cusum_events(v.bars(spark, d), "close", 2.0)
 
 
-@query("s11_15_supertrend")
+@query("s11_15_supertrend", f"""WITH RECURSIVE {B}, n AS (SELECT *, row_number() OVER w AS i, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+    r AS (SELECT symbol, ts, i, close, tr AS t, CAST(1 AS DOUBLE) AS tw, (high + low) / 2 + 3 * tr AS up, (high + low) / 2 - 3 * tr AS dn, 1 AS side FROM n WHERE i = 1
+    UNION ALL SELECT symbol, ts, i, close, t, tw, up2, dn2, CASE WHEN side > 0 AND close < dn2 THEN -1 WHEN side < 0 AND close > up2 THEN 1 ELSE side END
+    FROM (SELECT *, CASE WHEN mid + 3 * t / tw < up OR pc > up THEN mid + 3 * t / tw ELSE up END AS up2, CASE WHEN mid - 3 * t / tw > dn OR pc < dn THEN mid - 3 * t / tw ELSE dn END AS dn2
+    FROM (SELECT n.symbol, n.ts, n.i, n.close, r.t * 13 / 14 + n.tr AS t, r.tw * 13 / 14 + 1 AS tw, (n.high + n.low) / 2 AS mid, r.up, r.dn, r.side, r.close AS pc FROM r JOIN n ON n.symbol = r.symbol AND n.i = r.i + 1)))
+    SELECT symbol, {TS}, round(CASE WHEN side > 0 THEN dn ELSE up END, 6) AS line, side FROM r""")
 def _(spark, d):
     return states.supertrend(ft.atr(v.bars(spark, d)))
 
 
-@query("s12_23_kalman_hedge")
+@query("s12_23_kalman_hedge", f"""WITH RECURSIVE {B}, n AS (SELECT a.symbol || '-' || b.symbol AS pair, a.ts, ln(a.close) AS y, ln(b.close) AS x, row_number() OVER (PARTITION BY a.symbol, b.symbol ORDER BY a.ts) AS i FROM bars a JOIN bars b ON a.ts = b.ts AND a.symbol < b.symbol),
+    r AS (SELECT pair, ts, i, y * x * 1.00001::DOUBLE / (x * x * 1.00001::DOUBLE + 0.01) AS beta, (1 - x * x * 1.00001::DOUBLE / (x * x * 1.00001::DOUBLE + 0.01)) * 1.00001::DOUBLE AS p, y AS error FROM n WHERE i = 1
+    UNION ALL SELECT pair, ts, i, b + p * x / (x * x * p + 0.01) * e, (1 - x * x * p / (x * x * p + 0.01)) * p, e
+    FROM (SELECT n.pair, n.ts, n.i, n.x, r.beta AS b, r.p + 1e-5::DOUBLE AS p, n.y - r.beta * n.x AS e FROM r JOIN n ON n.pair = r.pair AND n.i = r.i + 1))
+    SELECT pair, {TS}, round(beta, 6) AS beta, round(error, 6) AS error FROM r""")
 def _(spark, d):
     one = v.bars(spark, d).select("ts", "symbol", "close")
     two = one.select("ts", F.col("symbol").alias("s2"), F.col("close").alias("c2"))
