@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from lodestream.operators.scan import ema, wilders
+from lodestream.operators.scan import ema_spec, wilders
 
 
 def series(by: str = "symbol", order: Sequence[str] = ("ts",)) -> WindowSpec:
@@ -73,12 +73,12 @@ def rsi(bars: DataFrame, n: int = 14, name: str = "rsi") -> DataFrame:
     return x.withColumn(name, F.when((F.col("_l") == 0) & (F.col("_g") > 0), 100.0).otherwise(F.coalesce(value, F.lit(50.0)))).drop("_d", "_g", "_l")
 
 
-def rsi_atr(bars: DataFrame, n: int = 14) -> DataFrame:
-    """Adds rsi and atr of one length from one scan."""
+def rsi_atr(bars: DataFrame, n: int = 14, emas: Sequence[int] = ()) -> DataFrame:
+    """Adds rsi and atr of one length, and ema_<span> of the closes, from one scan."""
     d = F.col("close") - F.lag("close").over(series())
     x = bars.withColumns({"_d": d, "_tr": true_range()})
     side = lambda c: F.when(F.col("_d").isNotNull(), F.greatest(c, F.lit(0.0)))
-    x = wilders(x, {"_g": side(F.col("_d")), "_l": side(-F.col("_d")), "atr": F.col("_tr")}, n)
+    x = wilders(x, {"_g": side(F.col("_d")), "_l": side(-F.col("_d")), "atr": F.col("_tr")}, n, more={f"ema_{k}": ema_spec("close", k) for k in emas})
     value = 100 - 100 / (1 + F.col("_g") / F.nullif("_l", F.lit(0.0)))
     return x.withColumn("rsi", F.when((F.col("_l") == 0) & (F.col("_g") > 0), 100.0).otherwise(F.coalesce(value, F.lit(50.0)))).drop("_d", "_g", "_l", "_tr")
 
@@ -89,9 +89,7 @@ def atr(bars: DataFrame, n: int = 14, name: str = "atr") -> DataFrame:
 
 def feature_table(bars: DataFrame, bars_a_year: float = 24 * 365) -> DataFrame:
     """rsi, ema_9/21/50, atr, Bollinger bands and width, vwap, vol, ret_1, ret_5, vol_ratio of every bar."""
-    x = rsi_atr(bars)
-    for span in (9, 21, 50):
-        x = ema(x, "close", span)
+    x = rsi_atr(bars, emas=(9, 21, 50))
     lo, mid, hi = bollinger("close", 20, 2.0)
     x = x.withColumn("lr", log_ret("close")).withColumns({"bb_low": lo, "bb_mid": mid, "bb_high": hi, "vwap": vwap(20), "vol": realised_vol(20, bars_a_year), "ret_1": ret("close"), "ret_5": ret("close", 5)})
     return x.withColumn("bb_width", (F.col("bb_high") - F.col("bb_low")) / F.nullif("bb_mid", F.lit(0.0))).withColumn("vol_ratio", F.col("volume") / F.nullif(sma("volume", 20), F.lit(0.0))).drop("lr")

@@ -15,7 +15,8 @@ TREND_THRESHOLD = 0.35
 
 def trend_strength(bars: DataFrame, fast: int = 9, slow: int = 50) -> DataFrame:
     """Adds ema_<fast>, ema_<slow> and strength: their distance over the deviation of the last slow closes, at most 1."""
-    x = ema(ema(bars, "close", fast), "close", slow)
+    missing = [n for n in (fast, slow) if f"ema_{n}" not in bars.columns]
+    x = ema(bars, "close", *missing) if missing else bars
     dev = ft.full(F.stddev_samp("close").over(ft.last_n(slow)), slow)
     gap = F.abs(F.col(f"ema_{fast}") - F.col(f"ema_{slow}"))
     return x.withColumn("strength", F.least(F.lit(1.0), F.coalesce(gap / F.nullif(dev, F.lit(0.0)), F.lit(0.0))))

@@ -46,7 +46,7 @@ def mean_reversion(
     Out at the middle of the bands, or beyond it by stop_atr ranges on the losing side. traced adds raw (the entry before
     filters) and blocked_by.
     """
-    x = rg.trend_strength(ft.rsi_atr(bars))
+    x = rg.trend_strength(ft.rsi_atr(bars, emas=(9, 50)))
     x = ft.volatility_regime(x)
     lo, mid, hi = (ft.full(c, n) for c in ft.bollinger("close", n, 2.0))
     x = x.withColumns({"_lo": lo, "mid": mid, "_hi": hi})

@@ -228,7 +228,7 @@ def _recursive(select_first: str, step: str, out: str) -> str:
 
 @query("s6_2_ema", _recursive("close AS e9, close AS e50", "r.e9 * 0.8 + n.close * 0.2, r.e50 * (1 - 2.0 / 51) + n.close * 2.0 / 51", "round(e9, 6) AS ema_9, round(e50, 6) AS ema_50"))
 def _(spark, d):
-    return ema(ema(v.bars(spark, d), "close", 9), "close", 50).select("symbol", "ts", "ema_9", "ema_50")
+    return ema(v.bars(spark, d), "close", 9, 50).select("symbol", "ts", "ema_9", "ema_50")
 
 
 @query("s6_3_rsi_atr", f"""WITH RECURSIVE {B}, n AS (SELECT *, row_number() OVER w AS i, close - lag(close) OVER w AS dl, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)),

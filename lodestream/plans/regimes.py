@@ -203,8 +203,8 @@ def _(spark, d):
 
 
 @query("s11_24_hedge_by_regime", RETS + f""", ll AS (SELECT symbol, ts, i, label, unnest([{{'s': 'follow', 'l': CASE WHEN ret < 0 THEN 1.0 ELSE 0.0 END}}, {{'s': 'revert', 'l': CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END}}]) AS x FROM rt),
-    cm AS (SELECT *, count(*) OVER w AS n, coalesce(sum(x.l) OVER w, 0) AS own, coalesce(sum(x.l) OVER g, 0) AS glob FROM ll WINDOW w AS (PARTITION BY symbol, label, x.s ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), g AS (PARTITION BY symbol, x.s ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-    us AS (SELECT *, CASE WHEN n >= 20 THEN own ELSE glob END AS c FROM cm), ee AS (SELECT *, exp(-0.1 * (c - min(c) OVER (PARTITION BY symbol, i))) AS e FROM us)
+    cm AS (SELECT *, count(*) OVER w AS n, coalesce(sum(x.l) OVER w, 0) AS own, coalesce(sum(x.l) OVER g, 0) AS every FROM ll WINDOW w AS (PARTITION BY symbol, label, x.s ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), g AS (PARTITION BY symbol, x.s ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    us AS (SELECT *, CASE WHEN n >= 20 THEN own ELSE every END AS c FROM cm), ee AS (SELECT *, exp(-0.1 * (c - min(c) OVER (PARTITION BY symbol, i))) AS e FROM us)
     SELECT symbol, {TS}, x.s AS expert, round(e / sum(e) OVER (PARTITION BY symbol, i), 6) AS weight FROM ee""")
 def _(spark, d):
     x = _rets(spark, d)
