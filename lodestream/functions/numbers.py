@@ -93,3 +93,50 @@ def quantile_bins(rows: DataFrame, c: str, q: int, by: list[str] | None = None,
     inner = F.slice("_e", 2, F.greatest(F.size("_e") - 2, F.lit(0)))
     x = rows.join(edges, by) if by else rows.join(F.broadcast(edges))
     return x.withColumn(name, F.when(F.col(c).isNotNull(), F.size(F.filter(inner, lambda e: e < F.col(c))))).drop("_e")
+
+
+def confident(side: Column, p: Column, least: float) -> Column:
+    """The side where the probability is at least so large, else 0."""
+    return F.when(p >= least, side).otherwise(0)
+
+
+def age_text(then: Column, now: Column) -> Column:
+    """Whole hours between two times as text, from two days on as days and hours."""
+    h = F.floor((F.unix_micros(now) - F.unix_micros(then)) / 3_600_000_000)
+    return F.when(h >= 48, F.concat(F.floor(h / 24).cast("string"), F.lit("d "), (h % 24).cast("string"), F.lit("h"))).otherwise(F.concat(h.cast("string"), F.lit("h")))
+
+
+def fingerprint(*names: str) -> Column:
+    """Hash of the named columns as JSON, names in order."""
+    return F.sha2(F.to_json(F.struct(*sorted(names))), 256)
+
+
+def money(x: Column, places: int) -> Column:
+    """An amount as a decimal with fixed places."""
+    return x.cast(f"decimal(18,{places})")
+
+
+def taker_cost(fee: float, slippage_bps: float, volatility: Column) -> Column:
+    """Fee and slippage a side; slippage grows with volatility above 1."""
+    return F.lit(fee) + slippage_bps / 1e4 * F.greatest(F.lit(1.0), volatility)
+
+
+def kelly_variance(mean: Column, variance: Column, share: float, most: float) -> Column:
+    """Part of mean / variance, between 0 and most."""
+    return F.least(F.lit(most), F.greatest(F.lit(0.0), share * (mean / F.nullif(variance, F.lit(0.0)))))
+
+
+def scaled_size(base: Column, stress: Column, least: float) -> Column:
+    """A size lowered by half of the stress (0 to 1), to a least share of it."""
+    return base * F.greatest(F.lit(least), 1 - 0.5 * stress)
+
+
+def excursions(price: Column, high: Column, low: Column, short: Column) -> tuple[Column, Column]:
+    """Largest favourable and adverse move as shares of the entry price, 0 at least."""
+    up, down = high / price - 1, 1 - low / price
+    floor = lambda x: F.greatest(F.lit(0.0), x)
+    return floor(F.when(short, down).otherwise(up)), floor(F.when(short, up).otherwise(down))
+
+
+def hours_to_bars(hours: Column, bar_hours: float) -> Column:
+    return F.ceil(hours / bar_hours)

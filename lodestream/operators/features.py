@@ -248,3 +248,27 @@ def flow_autocorrelation(flow: DataFrame, n: int = 120, lag: int = 1, x: str = "
     """Adds autocorr: correlation of signed flow with itself lag rows before, over n rows, half of them at least."""
     y = flow.withColumn("_y", F.lag(x, lag).over(series()))
     return y.withColumn("autocorr", F.when(F.count("_y").over(last_n(n)) >= max(10, n // 2), F.corr(x, "_y").over(last_n(n)))).drop("_y")
+
+
+def coverage(rows: DataFrame, start: str, end: str, least: float, by: str = "symbol") -> DataFrame:
+    """share of the period between a series' first and last row, and whether that is enough."""
+    a, z = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
+    span = F.unix_micros(F.least(F.max("ts"), z)) - F.unix_micros(F.greatest(F.min("ts"), a))
+    x = rows.groupBy(by).agg((F.greatest(F.lit(0), span) / (F.unix_micros(z) - F.unix_micros(a))).alias("share"))
+    return x.withColumn("covered", F.col("share") >= least)
+
+
+def missing_windows(rows: DataFrame, start: str, end: str, step_seconds: int, by: str = "symbol") -> DataFrame:
+    """(by, start, end) of what a series lacks in the period [start, end), its edges included."""
+    a, z = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
+    edges = rows.select(by).distinct().select(by, F.explode(F.array(F.timestamp_seconds(F.unix_seconds(a) - step_seconds), z)).alias("ts"))
+    return gaps(rows.where((F.col("ts") >= a) & (F.col("ts") < z)).select(by, "ts").unionByName(edges), step_seconds, by, 1.0).drop("missing")
+
+
+def snapshot_quality(book: DataFrame, by: str = "symbol") -> DataFrame:
+    """rows, span in seconds, rows an hour, largest gap and number of repeated times of each series."""
+    from lodestream.operators.joins import last_before
+
+    x = last_before(book, F.unix_micros("ts"), "_p", ["ts", "seq"], by).withColumn("_g", (F.unix_micros("ts") - F.col("_p")) / 1e6)
+    span = (F.max(F.unix_micros("ts")) - F.min(F.unix_micros("ts"))) / 1e6
+    return x.groupBy(by).agg(F.count(F.lit(1)).alias("rows"), span.alias("span"), (F.count(F.lit(1)) / F.nullif(span, F.lit(0.0)) * 3600).alias("per_hour"), F.max("_g").alias("max_gap"), F.count_if(F.col("_g") == 0).alias("duplicates"))

@@ -127,3 +127,8 @@ def shortfall_room(positions: DataFrame, limit: float) -> DataFrame:
     used = leg.groupBy("leg").agg(F.sum("size").alias("used"))
     room = leg.join(used, "leg").groupBy("id", "size").agg(F.max("used").alias("used"))
     return room.select("id", "used", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (limit - F.col("used") + F.col("size")) / F.col("size"))).alias("room"))
+
+
+def not_in_journal(fills: DataFrame, journal: DataFrame, key: str, journal_key: str) -> DataFrame:
+    """Fills whose key the journal does not hold."""
+    return fills.join(journal.select(F.col(journal_key).alias(key)).distinct(), key, "left_anti")

@@ -130,3 +130,23 @@ def volume_delta(ticks: DataFrame, every: str, step: str, momentum: int = 12, by
     full = span.join(have, [by, "ts"], "left").fillna(0.0, ["delta", "volume", "buys"])
     full = full.withColumn("cvd", F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return full.withColumn("momentum", F.col("cvd") - F.lag("cvd", momentum).over(w)).withColumn("buy_ratio", F.col("buys") / F.nullif("volume", F.lit(0.0))).drop("buys")
+
+
+def closed(bars: DataFrame, every: str, now: Column) -> DataFrame:
+    """Bars that have ended."""
+    return bars.where(F.col("ts") + F.expr(f"INTERVAL {every}") <= now)
+
+
+def resample_series(rows: DataFrame, value: str, every: str, tie: str, by: str = "symbol") -> DataFrame:
+    """last, mean and sum of a value per bucket; empty buckets are left out."""
+    x = rows.groupBy(by, F.window("ts", every).alias("w")).agg(F.max_by(value, F.struct("ts", tie)).alias("last"), F.avg(value).alias("mean"), F.sum(value).alias("sum"))
+    return x.select(by, F.col("w.start").alias("ts"), "last", "mean", "sum")
+
+
+def hourly_ratios(rows: DataFrame, value: str, tie: str = "trade_id", by: str = "symbol") -> DataFrame:
+    """n, Sharpe and Sortino (not annualised) of hourly changes of a value."""
+    h = resample_series(rows, value, "1 hour", tie, by)
+    r = h.select(by, (F.col("last") / F.lag("last").over(Window.partitionBy(by).orderBy("ts")) - 1).alias("r"))
+    down = F.sqrt(F.avg(F.least(F.col("r"), F.lit(0.0)) ** 2))
+    # least skips NULL: the first hour has no change
+    return r.where("r is not null").groupBy(by).agg(F.count("r").alias("n"), (F.avg("r") / F.nullif(F.stddev_pop("r"), F.lit(0.0))).alias("sharpe_hourly"), (F.avg("r") / F.nullif(down, F.lit(0.0))).alias("sortino_hourly"))

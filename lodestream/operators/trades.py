@@ -111,3 +111,37 @@ def with_without_filters(traced: DataFrame, horizon: int, size: float) -> DataFr
     more = F.greatest(F.col("_ret") + F.coalesce("_e", F.lit(0.0)), F.lit(-0.99))
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     return x.select("symbol", "ts", F.exp(F.sum(F.log1p("_ret")).over(run)).alias("with_filters"), F.exp(F.sum(F.log1p(more)).over(run)).alias("without_filters"))
+
+
+def normalised(fills: DataFrame, orders: DataFrame) -> DataFrame:
+    """Fills with their order's status (unknown without one), filled quantity and reference price."""
+    o = orders.select(F.col("order_id").alias("l_orderkey"), "status", F.col("price").alias("_op"))
+    x = fills.join(o, "l_orderkey", "left")
+    return x.withColumns({"filled": F.when(F.col("status") == "filled", F.col("qty")).otherwise(0.0), "ref_price": F.coalesce("_op", "price"), "status": F.coalesce("status", F.lit("unknown"))}).drop("_op")
+
+
+def compared(rows: DataFrame, columns: Mapping[str, Column], bars_a_year: float) -> DataFrame:
+    """n, mean, Sharpe and win rate of several return columns, one row each."""
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("strategy"), c.alias("r")) for k, c in columns.items()])).alias("_x")).select("_x.*")
+    return long.groupBy("strategy").agg(F.count("r").alias("n"), (F.avg("r") * 1e4).alias("mean_bps"), (F.avg("r") / F.nullif(F.stddev_pop("r"), F.lit(0.0)) * F.sqrt(F.lit(float(bars_a_year)))).alias("sharpe"), F.avg((F.col("r") > 0).cast("double")).alias("win_rate"))
+
+
+def fill_stats(orders: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Orders by status, and the share filled of those that were filled or not."""
+    n = lambda *s: F.count_if(F.col("status").isin(*s))
+    return orders.groupBy(*by).agg(n("filled").alias("filled"), n("unfilled").alias("unfilled"), n("cancelled").alias("cancelled"), (n("filled") / F.nullif(n("filled", "unfilled"), F.lit(0))).alias("fill_rate"))
+
+
+def slippage(records: DataFrame, kind: str = "kind", bps: str = "bps") -> DataFrame:
+    """n and median of all records and of each kind."""
+    every = records.withColumn(kind, F.explode(F.array(F.lit("all"), F.col(kind))))
+    return every.groupBy(kind).agg(F.count(F.lit(1)).alias("n"), F.percentile(bps, 0.5).alias("median_bps"))
+
+
+def chase_costs(events: DataFrame, budget: float, by: str = "symbol") -> DataFrame:
+    """n, upper median of the extra cost and whether it breaks the budget, from counts by value."""
+    counts = events.groupBy(by, "extra").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(by)
+    upto = F.sum("_c").over(w.orderBy("extra"))
+    x = counts.withColumns({"_u": upto, "n": F.sum("_c").over(w)}).where(F.col("_u") >= F.floor(F.col("n") / 2) + 1)
+    return x.groupBy(by).agg(F.max("n").alias("n"), F.min("extra").alias("upper_median")).withColumn("breach", F.col("upper_median") > budget)

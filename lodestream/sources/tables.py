@@ -161,3 +161,27 @@ def file_audit(spark: SparkSession, root: str, pattern: str = "*.parquet") -> Da
     """Rows of each file under a tree whose name fits the pattern."""
     df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).parquet(root)
     return df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def recent(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+    """The last n rows of each key; a report, ranks are cut before the shuffle."""
+    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    return df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
+
+
+def concatenated(*frames: DataFrame) -> DataFrame:
+    """All rows of frames with different columns; what one lacks is NULL."""
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def even_sample(df: DataFrame, n: int, by: str = "symbol") -> DataFrame:
+    """n evenly spaced rows inside each series, for spot checks."""
+    from lodestream.operators.scan import numbered
+
+    counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    x = numbered(df, ["ts"], by).join(counts, by)
+    places = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda j: F.floor((F.col("_n") - 1) * j / (n + 1)))
+    return x.where(F.array_contains(places, F.col("_i"))).drop("_i", "_n")

@@ -86,3 +86,30 @@ ORDER_LOG = """order_log AS (SELECT o_orderkey AS order_id, o_custkey AS account
     CASE o_orderstatus WHEN 'F' THEN 'filled' WHEN 'O' THEN 'unfilled' ELSE 'cancelled' END AS status, o_orderpriority AS priority, o_totalprice AS price FROM orders)"""
 FILLS = """fills AS (SELECT 'S' || CAST(l_suppkey % 8 AS VARCHAR) AS symbol, CAST(l_shipdate AS TIMESTAMP) AS ts, CASE WHEN l_linestatus = 'O' THEN 'buy' ELSE 'sell' END AS side,
     l_quantity AS qty, l_extendedprice / l_quantity AS price, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem)"""
+
+
+def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of a sweep: (strategy, symbol, interval, mode, days) with metrics of the trades that closed in it; text columns s_sharpe and blocked."""
+    li, o = table(tune(spark), sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    j = li.join(o, li.l_orderkey == o.o_orderkey).where("l_shipdate > o_orderdate")
+    pick = lambda n, *names: F.element_at(F.array(*map(F.lit, names)), (n + 1).cast("int"))
+    t = j.select(
+        pick(F.col("l_linenumber") % 3, "zscore", "pairs_arb", "carry").alias("strategy"), F.concat(F.lit("s"), F.col("l_suppkey") % 8, F.lit("usdt")).alias("symbol"),
+        pick(F.col("l_partkey") % 3, "5m", "1h", "4h").alias("interval"), F.when(F.col("l_returnflag") == "R", "walkforward").otherwise("backtest").alias("mode"), (F.lit(20) + F.col("l_suppkey") % 3 * 20).cast("int").alias("days"),
+        F.round(F.col("l_discount") - F.col("l_tax"), 2).alias("ret"), (F.col("l_orderkey") % 3 == 0).alias("oos"), "l_quantity",
+    )
+    ratio = F.avg("ret") / F.nullif(F.stddev_samp("ret"), F.lit(0.0))
+    oos = F.when(F.col("oos"), F.col("ret"))
+    m = t.groupBy("strategy", "symbol", "interval", "mode", "days").agg(
+        F.count(F.lit(1)).alias("n_trades"), F.count(oos).alias("n_trades_oos"), F.round(ratio * 10, 6).alias("sharpe"), F.round(F.avg(oos) / F.nullif(F.stddev_samp(oos), F.lit(0.0)) * 10, 6).alias("avg_oos_sharpe"),
+        F.round(F.avg((oos > 0).cast("double")), 6).alias("oos_positive_frac"), F.round(F.sum("ret"), 6).alias("total_return"),
+        F.round(F.sum(F.greatest("ret", F.lit(0.0))) / F.nullif(-F.sum(F.least("ret", F.lit(0.0))), F.lit(0.0)), 6).alias("profit_factor"), F.round(F.avg("l_quantity"), 6).alias("q"),
+    )
+    return m.withColumn("status", F.when(F.col("n_trades") % 17 == 0, "error").otherwise("ok")).withColumn("s_sharpe", F.when(F.col("n_trades") % 5 == 0, "n/a").otherwise(F.col("sharpe").cast("string")))
+
+
+SWEEP = """sweep AS (SELECT *, CASE WHEN n_trades % 17 = 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN n_trades % 5 = 0 THEN 'n/a' ELSE CAST(sharpe AS VARCHAR) END AS s_sharpe FROM (
+    SELECT ['zscore', 'pairs_arb', 'carry'][l_linenumber % 3 + 1] AS strategy, 's' || (l_suppkey % 8) || 'usdt' AS symbol, ['5m', '1h', '4h'][l_partkey % 3 + 1] AS interval, CASE WHEN l_returnflag = 'R' THEN 'walkforward' ELSE 'backtest' END AS mode, CAST(20 + l_suppkey % 3 * 20 AS INTEGER) AS days,
+    count(*) AS n_trades, count(oos) AS n_trades_oos, round(avg(ret) / nullif(stddev_samp(ret), 0) * 10, 6) AS sharpe, round(avg(oos) / nullif(stddev_samp(oos), 0) * 10, 6) AS avg_oos_sharpe, round(avg(CASE WHEN oos > 0 THEN 1.0 WHEN oos IS NOT NULL THEN 0 END), 6) AS oos_positive_frac,
+    round(sum(ret), 6) AS total_return, round(sum(greatest(ret, 0)) / nullif(-sum(least(ret, 0)), 0), 6) AS profit_factor, round(avg(l_quantity), 6) AS q
+    FROM (SELECT *, CASE WHEN l_orderkey % 3 = 0 THEN ret END AS oos FROM (SELECT *, round(l_discount - l_tax, 2) AS ret FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate > o_orderdate)) GROUP BY 1, 2, 3, 4, 5))"""
