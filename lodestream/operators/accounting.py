@@ -131,3 +131,68 @@ def risk_contributions(panel: DataFrame, weights: DataFrame, by: str = "symbol",
     wi, wj = weights.select(F.col(by).alias("i"), F.col("weight").alias("wi")), weights.select(F.col(by).alias("j"), F.col("weight").alias("wj"))
     x = cov.join(wi, "i").join(wj, "j").groupBy("i").agg(F.sum(F.col("wi") * F.col("wj") * F.col("cov")).alias("contribution"))
     return x.select(F.col("i").alias(by), "contribution")
+
+
+def funded_returns(rows: DataFrame, fee: float, slippage: float, by: str = "symbol") -> DataFrame:
+    """Adds ret: position times return, less cost that grows with the bar's range, less funding paid on the position (column rate, NULL for none)."""
+    w = series(by)
+    turnover = F.abs(F.col("pos") - F.coalesce(F.lag("pos").over(w), F.lit(0.0)))
+    move = F.coalesce(F.col("close") / F.lag("close").over(w) - 1, F.lit(0.0))
+    cost = turnover * (fee + slippage * F.greatest(F.lit(1.0), (F.col("high") - F.col("low")) / F.col("close")))
+    return rows.withColumn("ret", F.col("pos") * move - cost - F.col("pos") * F.coalesce("rate", F.lit(0.0)))
+
+
+def stop_exits(rows: DataFrame, stop: float, target: float, by: str = "symbol") -> DataFrame:
+    """Positions closed at the first touch of a stop or target price, both shares of the close the run was decided at; a tie is the stop.
+
+    Adds exit_ret, the return to the exit price, on that bar; pos is 0 after it until the run ends.
+    """
+    w = series(by)
+    x = runs(rows, "pos", by, "_run").withColumn("_pc", F.lag("close").over(w))
+    run = Window.partitionBy(by, "_run")
+    x = x.withColumn("_entry", F.first("_pc").over(run.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)))
+    long = F.col("pos") > 0
+    level = lambda share: F.col("_entry") * F.when(long, 1 + share).otherwise(1 - share)
+    st, tp = level(-stop), level(target)
+    hit_st = F.when(long, F.col("low") <= st).otherwise(F.col("high") >= st)
+    hit_tp = F.when(long, F.col("high") >= tp).otherwise(F.col("low") <= tp)
+    x = x.withColumns({"_st": F.coalesce(hit_st & (F.col("pos") != 0), F.lit(False)), "_tp": F.coalesce(hit_tp & (F.col("pos") != 0), F.lit(False))})
+    x = x.withColumn("_hit", F.min(F.when(F.col("_st") | F.col("_tp"), F.col("ts"))).over(run))
+    price = F.when(F.col("_st"), st).otherwise(tp)
+    x = x.withColumn("exit_ret", F.when(F.col("ts") == F.col("_hit"), F.signum("pos") * (price / F.col("_pc") - 1)))
+    return x.withColumn("pos", F.when(F.col("ts") > F.col("_hit"), 0.0).otherwise(F.col("pos"))).drop("_run", "_pc", "_entry", "_st", "_tp", "_hit")
+
+
+def delta_neutral(rows: DataFrame, fee: float, by: str = "symbol") -> DataFrame:
+    """Adds ret of a basis position (column basis): its fall, plus funding received, less cost of two legs."""
+    w = series(by)
+    move = F.coalesce(F.col("basis") - F.lag("basis").over(w), F.lit(0.0))
+    turnover = F.abs(F.col("pos") - F.coalesce(F.lag("pos").over(w), F.lit(0.0)))
+    return rows.withColumn("ret", -F.col("pos") * move + F.col("pos") * F.coalesce("rate", F.lit(0.0)) - turnover * 2 * fee)
+
+
+def portfolio(rows: DataFrame, weights: DataFrame, by: str, ret: str) -> DataFrame:
+    """Return of each time: weighted sum over the series that have one; a missing series adds nothing."""
+    return rows.join(weights, by).groupBy("ts").agg(F.count(ret).alias("n"), F.sum(F.coalesce(ret, F.lit(0.0)) * F.col("weight")).alias("ret"))
+
+
+def buy_and_hold(bars: DataFrame, bars_a_year: float, by: str = "symbol") -> DataFrame:
+    """n and Sharpe of holding one unit, entered a bar late."""
+    w = series(by)
+    x = bars.withColumn("_r", F.coalesce(F.col("close") / F.lag("close").over(w) - 1, F.lit(0.0))).withColumn("_l", F.coalesce(F.lag("_r").over(w), F.lit(0.0)))
+    return x.groupBy(by).agg(F.count(F.lit(1)).alias("n"), (F.avg("_l") / F.nullif(F.stddev_pop("_l"), F.lit(0.0)) * math.sqrt(bars_a_year)).alias("sharpe"))
+
+
+def cost_concentration(rows: DataFrame, cost: float, best: int, by: str = "symbol") -> DataFrame:
+    """Total result as it is, with costs doubled, and of the trades without the best ones."""
+    base = rows.groupBy(by).agg(F.sum("ret").alias("total"), F.count(F.lit(1)).alias("n"), F.sum("turnover").alias("_t"))
+    trades = run_trades(rows, by).withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("ret"), "run"))).where(F.col("_k") > best)
+    left = trades.groupBy(by).agg(F.sum("ret").alias("total"), F.count(F.lit(1)).alias("n"))
+    row = lambda df, name, total: df.select(by, F.lit(name).alias("scenario"), total.alias("total"), "n")
+    return row(base, "baseline", F.col("total")).unionByName(row(base, "costs doubled", F.col("total") - F.col("_t") * cost)).unionByName(row(left, "without best", F.col("total")))
+
+
+def simple_pbo(sharpes: DataFrame, c: str, threshold: float, by: str = "symbol") -> DataFrame:
+    """Chance that the best of as many draws as there are Sharpes lies below the threshold, scaled by the number of trials; the closed form of a bootstrap."""
+    x = sharpes.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(c) < threshold).cast("double")).alias("_s"))
+    return x.select(by, "n", F.least(F.lit(1.0), F.pow("_s", F.col("n")) * F.log2(F.greatest(F.col("n"), F.lit(2))) / 5).alias("pbo"))

@@ -98,8 +98,8 @@ def walk_forward_classifier(rows: DataFrame, features: Sequence[str], label: str
     return x.sparkSession.read.schema(out.schema).parquet(path)
 
 
-def hawkes(events: DataFrame, beta: float, by: str = "symbol", order: Sequence[str] = ("ts",)) -> DataFrame:
-    """Adds intensity: sum over events so far of exp(-beta * seconds since). Two levels: inside chunks of time, and one decayed value a chunk.
+def hawkes(events: DataFrame, beta: float, by: str = "symbol", order: Sequence[str] = ("ts",), mark: str | None = None, name: str = "intensity") -> DataFrame:
+    """Adds intensity (or name): sum over events so far of exp(-beta * seconds since), times their mark if one is given. Two levels: inside chunks of time, and one decayed value a chunk.
 
     Inside a chunk times are measured from its start, so that no exponent grows beyond the chunk's length.
     """
@@ -107,10 +107,11 @@ def hawkes(events: DataFrame, beta: float, by: str = "symbol", order: Sequence[s
     t = F.unix_micros("ts") / 1e6
     x = events.withColumn("_c", F.floor(t / length)).withColumn("_d", t - F.floor(t / length) * length)
     w = Window.partitionBy(by, "_c").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("_in", F.sum(F.exp(beta * F.col("_d"))).over(w))
-    ends = x.groupBy(by, "_c").agg((F.sum(F.exp(beta * F.col("_d"))) * F.exp(F.lit(-beta * length))).alias("_e"))
+    each = F.exp(beta * F.col("_d")) * (F.col(mark) if mark else F.lit(1.0))
+    x = x.withColumn("_in", F.sum(each).over(w))
+    ends = x.groupBy(by, "_c").agg((F.sum(each) * F.exp(F.lit(-beta * length))).alias("_e"))
     # two chunks back the weight is below exp(-20)
     one, two = ends.select(by, (F.col("_c") + 1).alias("_c"), F.col("_e").alias("_e1")), ends.select(by, (F.col("_c") + 2).alias("_c"), (F.col("_e") * F.exp(F.lit(-beta * length))).alias("_e2"))
     x = x.join(one, [by, "_c"], "left").join(two, [by, "_c"], "left")
     total = F.col("_in") + F.coalesce("_e1", F.lit(0.0)) + F.coalesce("_e2", F.lit(0.0))
-    return x.withColumn("intensity", total * F.exp(-beta * F.col("_d"))).drop("_c", "_d", "_in", "_e1", "_e2")
+    return x.withColumn(name, total * F.exp(-beta * F.col("_d"))).drop("_c", "_d", "_in", "_e1", "_e2")

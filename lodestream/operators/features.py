@@ -272,3 +272,42 @@ def snapshot_quality(book: DataFrame, by: str = "symbol") -> DataFrame:
     x = last_before(book, F.unix_micros("ts"), "_p", ["ts", "seq"], by).withColumn("_g", (F.unix_micros("ts") - F.col("_p")) / 1e6)
     span = (F.max(F.unix_micros("ts")) - F.min(F.unix_micros("ts"))) / 1e6
     return x.groupBy(by).agg(F.count(F.lit(1)).alias("rows"), span.alias("span"), (F.count(F.lit(1)) / F.nullif(span, F.lit(0.0)) * 3600).alias("per_hour"), F.max("_g").alias("max_gap"), F.count_if(F.col("_g") == 0).alias("duplicates"))
+
+
+def depth_imbalance(bids: str, asks: str, levels: int = 5, scheme: str = "linear") -> Column:
+    """Weighted bid less ask quantity over their sum, from arrays of level quantities; deeper levels weigh less but for uniform."""
+    weight = {"uniform": lambda i: 1.0, "linear": lambda i: float(levels - i), "sqrt": lambda i: 1 / math.sqrt(i + 1), "harmonic": lambda i: 1 / (i + 1)}[scheme]
+    side = lambda c: sum((F.coalesce(F.get(F.col(c), F.lit(i)), F.lit(0.0)) * weight(i) for i in range(levels)), F.lit(0.0))
+    b, a = side(bids), side(asks)
+    return F.coalesce((b - a) / F.nullif(b + a, F.lit(0.0)), F.lit(0.0))
+
+
+def rolling_beta(rows: DataFrame, n: int, y: str = "y", x: str = "x") -> DataFrame:
+    """Adds beta: slope of y on x over n rows; where x does not vary, the last one known."""
+    w = last_n(n)
+    slope = F.covar_pop(y, x).over(w) / F.nullif(F.var_pop(x).over(w), F.lit(0.0))
+    out = rows.withColumn("_b", full(slope, n))
+    return out.withColumn("beta", F.last("_b", ignorenulls=True).over(series().rowsBetween(Window.unboundedPreceding, 0))).drop("_b")
+
+
+def side_intensity(ticks: DataFrame, beta: float) -> DataFrame:
+    """Adds imbalance of buying and selling intensity, each a sum of exp(-beta * age in seconds) over the ticks so far."""
+    from lodestream.operators.evaluation import hawkes
+
+    both = hawkes(ticks.withColumn("_mark", F.when(F.col("side") == "buy", 1.0).otherwise(0.0)), beta, mark="_mark", name="_buy", order=("ts", "trade_id"))
+    both = hawkes(both, beta, name="_all", order=("ts", "trade_id"))
+    return both.withColumn("imbalance", (2 * F.col("_buy") - F.col("_all")) / F.nullif("_all", F.lit(0.0))).drop("_mark", "_buy", "_all")
+
+
+def markout(book: DataFrame) -> DataFrame:
+    """Adds markout_bps: move of the mid price to the next quote on the side of the larger quantity."""
+    mid = (F.col("bid") + F.col("ask")) / 2
+    nxt = F.lead(mid).over(Window.partitionBy("symbol").orderBy("ts", "seq"))
+    return book.withColumn("markout_bps", F.when(F.col("bid_qty") > F.col("ask_qty"), 1).otherwise(-1) * (nxt / mid - 1) * 1e4)
+
+
+def var_halt(rows: DataFrame, ret: str, n: int, q: float, limit: float) -> DataFrame:
+    """Adds var_<q in percent> of the last n returns (half of them at least) and halt: whether it is worse than the limit."""
+    name = f"var_{round(q * 100)}"
+    x = rows.withColumn(name, F.when(F.count(ret).over(last_n(n)) >= n // 2, F.percentile(ret, F.lit(q)).over(last_n(n))))
+    return x.withColumn("halt", F.coalesce(F.col(name) < -limit, F.lit(False)))

@@ -220,3 +220,16 @@ def contextual_hedge(losses: DataFrame, eta: float, least: int, by: str = "symbo
     g = Window.partitionBy(by, "ts")
     x = x.withColumn("_e", F.exp(-eta * (F.col("_c") - F.min("_c").over(g))))
     return x.withColumn("weight", F.col("_e") / F.sum("_e").over(g)).drop("_n", "_own", "_all", "_c", "_e")
+
+
+def time_stop(rows: DataFrame, spread: str, factor: float, n: int, by: str = "symbol") -> DataFrame:
+    """Signals set to 0 once held longer than factor half-lives of the spread, estimated on the n rows before."""
+    w = ft.series(by)
+    x = rows.withColumn("_s1", F.lag(spread).over(w)).withColumn("_ds", F.col(spread) - F.col("_s1"))
+    before = w.rowsBetween(-n, -1)
+    cov, var = F.covar_pop("_ds", "_s1").over(before), F.var_pop("_s1").over(before)
+    x = x.withColumn("_hl", F.when((F.count("_ds").over(before) >= n // 2) & (cov < 0), -F.ln(F.lit(2.0)) * var / cov))
+    x = x.withColumn("_run", F.sum(F.when(F.col("sig") == 0, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    held = F.sum(F.when(F.col("sig") != 0, 1).otherwise(0)).over(Window.partitionBy(by, "_run").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
+    x = x.withColumn("_held", held)
+    return x.withColumn("sig", F.when(F.col("_held") > factor * F.col("_hl"), 0.0).otherwise(F.col("sig"))).drop("_s1", "_ds", "_hl", "_run", "_held")

@@ -189,3 +189,47 @@ def kalman_hedge(pairs: DataFrame, q: float = 1e-5, r: float = 1e-2, key: str =
         return (s.beta, e)
 
     return keyed_scan(pairs, key, ("ts",), ["y", "x"], KalmanState, step, [("beta", "double"), ("error", "double")])
+
+
+def kalman_level(rows: DataFrame, value: str, q: float, r: float, key: str = "symbol") -> DataFrame:
+    """Level of a series by a Kalman filter of a random walk (variance q) seen with noise (variance r), started at 0 with variance 1."""
+
+    def step(s: KalmanState, z: float):
+        p = s.p + q
+        g = p / (p + r)
+        s.beta, s.p = s.beta + g * (z - s.beta), (1 - g) * p
+        return (s.beta,)
+
+    return keyed_scan(rows, key, ("ts",), [value], KalmanState, step, [("level", "double")])
+
+
+class OverlayState:
+    def __init__(self) -> None:
+        self.pos, self.held, self.today, self.day = 0.0, 0, 0, None
+
+
+def overlay(rows: DataFrame, want: str, least_hold: int, most_a_day: int, key: str = "symbol") -> DataFrame:
+    """A wanted position under rules: no turn before least_hold bars (flat is always allowed), at most so many entries a UTC day."""
+
+    def step(s: OverlayState, target: float, day: int):
+        if day != s.day:
+            s.day, s.today = day, 0
+        turn = target != 0 and s.pos != 0 and (target > 0) != (s.pos > 0)
+        if s.pos != 0 and s.held < least_hold:
+            if target == 0:
+                s.pos, s.held = 0.0, 0
+            else:
+                s.pos, s.held = s.pos if turn else target, s.held + 1
+            return (s.pos,)
+        opens = turn or (s.pos == 0 and target != 0)
+        if opens and s.today >= most_a_day:
+            s.held += s.pos != 0
+        elif opens:
+            s.pos, s.held, s.today = target, 1, s.today + 1
+        elif target == 0:
+            s.pos, s.held = 0.0, 0
+        else:
+            s.pos, s.held = target, s.held + 1
+        return (s.pos,)
+
+    return keyed_scan(rows.withColumn("_day", F.unix_date(F.to_date("ts"))), key, ("ts",), [want, "_day"], OverlayState, step, [("pos", "double")])

@@ -124,3 +124,9 @@ def bootstrap_sharpe(rows: DataFrame, ret: str, draws: int, block: int, seed: in
     walk = walk.withColumn("_i", F.pmod(F.pmod(F.xxhash64(F.lit(seed), "_b", "_s", F.lit("row")), F.col("_n")) + F.col("_k") - F.col("_s"), F.col("_n")))
     each = walk.join(x, [by, "_i"]).groupBy(by, "_b").agg((F.avg("_r") / F.nullif(F.stddev_pop("_r"), F.lit(0.0))).alias("_sr"))
     return each.groupBy(by).agg(F.percentile("_sr", F.lit(0.05)).alias("low"), F.percentile("_sr", F.lit(0.5)).alias("mid"), F.percentile("_sr", F.lit(0.95)).alias("high"))
+
+
+def quantiles_mad(rows: DataFrame, c: str, by: Sequence[str]) -> DataFrame:
+    """median, p10, p90 and median absolute deviation of each group."""
+    g = rows.groupBy(*by).agg(F.percentile(c, 0.5).alias("median"), F.percentile(c, 0.1).alias("p10"), F.percentile(c, 0.9).alias("p90"))
+    return rows.join(g, list(by)).groupBy(*by, "median", "p10", "p90").agg(F.percentile(F.abs(F.col(c) - F.col("median")), 0.5).alias("mad"))

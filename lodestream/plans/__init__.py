@@ -1,6 +1,6 @@
 """Registered queries over the input tables."""
 
-from lodestream.plans import evaluation, market, regimes, research, tables  # noqa: F401
+from lodestream.plans import evaluation, market, models, regimes, research, tables  # noqa: F401
 from lodestream.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
