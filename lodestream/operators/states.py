@@ -100,15 +100,8 @@ def dwell(rows: DataFrame, label: str, least: int, key: str = "symbol", order: S
     return keyed_scan(rows, key, order, [label], DwellState, step, [("stable", "string")])
 
 
-def imbalance_cuts(ticks: DataFrame, dollars: bool = False, runs: bool = False, length: float = 1000.0, span: int = 100, key: str = "symbol") -> DataFrame:
-    """End ticks of adaptive bars: symbol, ts, bar, ticks (since the end before).
-
-    A tick's sign b follows the tick rule. Imbalance bars add up b (or b times price times amount) and end where the sum's size reaches
-    the expected length times the size of the exponential mean of the same; run bars add up both sides and end where the larger
-    reaches the expected length times the larger mean (of ticks: the larger share, at least a half). The mean runs over all ticks,
-    weights (1 - 2 / (span + 1)) ** age; the expected length moves by 1 / (span + 1) to each finished bar's. The first tick starts
-    the mean and belongs to no sum.
-    """
+def imbalance_machine(dollars: bool = False, runs: bool = False, length: float = 1000.0, span: int = 100) -> tuple[Callable[[], object], Callable]:
+    """Start and step of adaptive bars; a step takes price and amount."""
     keep, tiny = 1 - 2 / (span + 1), 1e-6 if dollars else 0.0
 
     class State:
@@ -143,7 +136,20 @@ def imbalance_cuts(ticks: DataFrame, dollars: bool = False, runs: bool = False,
         s.last_cut, s.bar, s.theta_buy, s.theta_sell = s.i - 1, s.bar + 1, 0.0, 0.0
         return got
 
-    return keyed_scan(ticks, key, ("ts", "trade_id"), ["price", "amount"], State, step, [("bar", "int"), ("ticks", "int")])
+    return State, step
+
+
+def imbalance_cuts(ticks: DataFrame, dollars: bool = False, runs: bool = False, length: float = 1000.0, span: int = 100, key: str = "symbol") -> DataFrame:
+    """End ticks of adaptive bars: symbol, ts, bar, ticks (since the end before).
+
+    A tick's sign b follows the tick rule. Imbalance bars add up b (or b times price times amount) and end where the sum's size reaches
+    the expected length times the size of the exponential mean of the same; run bars add up both sides and end where the larger
+    reaches the expected length times the larger mean (of ticks: the larger share, at least a half). The mean runs over all ticks,
+    weights (1 - 2 / (span + 1)) ** age; the expected length moves by 1 / (span + 1) to each finished bar's. The first tick starts
+    the mean and belongs to no sum.
+    """
+    start, step = imbalance_machine(dollars, runs, length, span)
+    return keyed_scan(ticks, key, ("ts", "trade_id"), ["price", "amount"], start, step, [("bar", "int"), ("ticks", "int")])
 
 
 class TrendState:
@@ -191,8 +197,8 @@ def kalman_hedge(pairs: DataFrame, q: float = 1e-5, r: float = 1e-2, key: str =
     return keyed_scan(pairs, key, ("ts",), ["y", "x"], KalmanState, step, [("beta", "double"), ("error", "double")])
 
 
-def kalman_level(rows: DataFrame, value: str, q: float, r: float, key: str = "symbol") -> DataFrame:
-    """Level of a series by a Kalman filter of a random walk (variance q) seen with noise (variance r), started at 0 with variance 1."""
+def level_step(q: float, r: float) -> Callable:
+    """Step of a Kalman filter of a random walk (variance q) seen with noise (variance r); starts at 0 with variance 1."""
 
     def step(s: KalmanState, z: float):
         p = s.p + q
@@ -200,7 +206,38 @@ def kalman_level(rows: DataFrame, value: str, q: float, r: float, key: str = "sy
         s.beta, s.p = s.beta + g * (z - s.beta), (1 - g) * p
         return (s.beta,)
 
-    return keyed_scan(rows, key, ("ts",), [value], KalmanState, step, [("level", "double")])
+    return step
+
+
+def kalman_level(rows: DataFrame, value: str, q: float, r: float, key: str = "symbol") -> DataFrame:
+    """Level of each series by level_step."""
+    return keyed_scan(rows, key, ("ts",), [value], KalmanState, level_step(q, r), [("level", "double")])
+
+
+class HedgeState:
+    def __init__(self) -> None:
+        self.last: float | None = None
+        self.side = 0
+        self.follow = self.revert = 0.0
+
+
+def hedge_step(eta: float) -> Callable:
+    """Weight of an expert that follows the last price change against one that goes the other way: exp(-eta * losses so far), normalised.
+
+    A loss is a change against the expert's side; the weight that is given was known before the tick.
+    """
+
+    def step(s: HedgeState, price: float):
+        weight = 1 / (1 + math.exp(-eta * (s.revert - s.follow)))
+        if s.last is not None:
+            side = (price > s.last) - (price < s.last)
+            s.follow += side * s.side < 0
+            s.revert += side * s.side > 0
+            s.side = side or s.side
+        s.last = price
+        return (weight,)
+
+    return step
 
 
 class OverlayState:

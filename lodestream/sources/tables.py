@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from lodestream.session import exists, settle
+
 _D, _S, _L, _TS = T.DoubleType(), T.StringType(), T.LongType(), T.TimestampType()
 
 
@@ -30,7 +32,11 @@ def query_parquet(spark: SparkSession, sql: str, views: Mapping[str, str], args:
     """Any SQL over Parquet files, given as view name -> path, with named parameters."""
     for name, path in views.items():
         spark.read.parquet(path).createOrReplaceTempView(name)
-    return spark.sql(sql, args=dict(args or {}))
+    try:
+        return spark.sql(sql, args=dict(args or {}))  # resolved here, so the views can go
+    finally:
+        for name in views:
+            spark.catalog.dropTempView(name)
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -102,17 +108,12 @@ def append_days(df: DataFrame, root: str, key: Sequence[str] = ("symbol", "ts"),
     """Append rows to day partitions, keeping the last row of each key there."""
     spark = df.sparkSession
     df = df.withColumn("date", F.to_date("ts"))
-    try:
-        old = spark.read.parquet(root).join(df.select("date").distinct(), "date", "left_semi")
-        both = latest(old.unionByName(df, allowMissingColumns=True), [*key], [*order])
-        from lodestream.session import settle
-
-        both = settle(both, "days")  # the partitions read are the ones replaced
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
-            raise
-        both = latest(df, [*key], [*order])
-    write_partitioned(both, root, ["date"])
+    if not exists(spark, root):
+        write_partitioned(latest(df, [*key], [*order]), root, ["date"])
+        return
+    old = spark.read.parquet(root).join(df.select("date").distinct(), "date", "left_semi")
+    both = latest(old.unionByName(df, allowMissingColumns=True), [*key], [*order])
+    write_partitioned(settle(both, "days"), root, ["date"])  # the partitions read are the ones replaced
 
 
 def add_columns(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
@@ -185,3 +186,111 @@ def even_sample(df: DataFrame, n: int, by: str = "symbol") -> DataFrame:
     x = numbered(df, ["ts"], by).join(counts, by)
     places = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda j: F.floor((F.col("_n") - 1) * j / (n + 1)))
     return x.where(F.array_contains(places, F.col("_i"))).drop("_i", "_n")
+
+
+FUNDING = _schema(symbol=_S, ts=_TS, seq=_L, rate=_D)
+INTEREST = _schema(symbol=_S, ts=_TS, oi=_D)
+LIQUIDATIONS = _schema(symbol=_S, ts=_TS, side=_S, price=_D, qty=_D)
+BOOK = _schema(symbol=_S, ts=_TS, seq=_L, bid=_D, ask=_D, bid_qty=_D, ask_qty=_D)
+EQUITY = _schema(ts=_TS, equity=_D)
+
+
+def read_series(spark: SparkSession, root: str, schema: T.StructType, symbol: str | None = None) -> DataFrame:
+    """Funding, open interest, liquidations or books: the schema's columns, in a folder that may be partitioned by symbol."""
+    df = spark.read.parquet(root)
+    return conform(df.where(F.col("symbol") == symbol) if symbol else df, schema)
+
+
+def read_liquidation_dump(spark: SparkSession, path: str, symbol: str) -> DataFrame:
+    """Liquidation dumps in CSV, with or without a header line: time in ms, side, price, quantity."""
+    raw = _schema(time=_S, side=_S, price=_S, qty=_S)
+    df = spark.read.schema(raw).csv(path).where(F.expr("try_cast(time as bigint)").isNotNull())
+    return df.select(F.lit(symbol).alias("symbol"), F.timestamp_millis(F.col("time").cast("bigint")).alias("ts"), F.lower("side").alias("side"), F.col("price").cast("double").alias("price"), F.col("qty").cast("double").alias("qty"))
+
+
+def save_trades(df: DataFrame, root: str, strict: bool = True) -> DataFrame:
+    """Write trades by symbol; with strict, values that cannot be refuse the write. Returns the report."""
+    from lodestream.operators.quality import trade_report
+
+    report = trade_report(df)
+    bad = report.where((F.col("bad") > 0) | (F.col("no_side") > 0))
+    if strict and not bad.isEmpty():
+        raise ValueError("trades with critical defects: " + str([tuple(r) for r in bad.limit(5).collect()]))
+    write_partitioned(df, root, ["symbol"])
+    return report
+
+
+def save_funding(df: DataFrame, root: str, most: float, strict: bool = True) -> DataFrame:
+    """Write funding by symbol; with strict, missing rates and rates beyond the limit refuse the write. Returns the report."""
+    from lodestream.operators.quality import funding_report
+
+    report = funding_report(df, most)
+    bad = report.where((F.col("missing") > 0) | (F.col("beyond") > 0))
+    if strict and not bad.isEmpty():
+        raise ValueError("funding with critical defects: " + str([tuple(r) for r in bad.limit(5).collect()]))
+    write_partitioned(df, root, ["symbol"])
+    return report
+
+
+def inventory_kpis(states: DataFrame) -> DataFrame:
+    """Number of series by state."""
+    n = lambda s: F.count_if(F.col("state") == s).alias(s)
+    return states.agg(F.count(F.lit(1)).alias("series"), n("fresh"), n("aging"), n("stale"))
+
+
+def ensure_bars(bars: DataFrame, source: str, target: str, days: int) -> DataFrame:
+    """Bars of the target interval, derived from the source where they differ, of the last days of each symbol."""
+    from lodestream.operators.resample import check_target, coarsen, interval_minutes
+
+    check_target(source, target)
+    x = bars if source == target else coarsen(bars, f"{interval_minutes(target)} minutes", whole=f"{interval_minutes(source)} MINUTE")
+    last = x.groupBy("symbol").agg(F.max("ts").alias("_last"))
+    return x.join(last, "symbol").where(F.col("ts") > F.col("_last") - F.expr(f"INTERVAL {days} DAYS")).drop("_last")
+
+
+def load_symbol(frames: Mapping[str, DataFrame], symbol: str) -> dict[str, DataFrame]:
+    """Each frame's rows of one symbol, not read yet."""
+    return {k: df.where(F.col("symbol") == symbol) for k, df in frames.items()}
+
+
+def save_report(df: DataFrame, path: str, order: Sequence[str], top: int = 20) -> str:
+    """Write a table as CSV with a header; returns its first rows in order as a markdown table."""
+    df.write.mode("overwrite").option("header", "true").csv(path)
+    rows = df.orderBy(*order).limit(top).collect()
+    lines = ["| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
+    return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows])
+
+
+def read_report(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A CSV table with a header, typed by the schema."""
+    return spark.read.schema(schema).option("header", "true").csv(path)
+
+
+def count_trials(ledger: DataFrame, strategy: str | None = None, symbol: str | None = None, purpose: str | None = None) -> DataFrame:
+    """Trials recorded under the filters that are given."""
+    for name, value in (("strategy", strategy), ("symbol", symbol), ("purpose", purpose)):
+        if value is not None:
+            ledger = ledger.where(F.col(name) == value)
+    return ledger.agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum("n_trials"), F.lit(0)).alias("trials"))
+
+
+def read_audits(spark: SparkSession, root: str) -> DataFrame:
+    """All JSON-lines and CSV audit files under a tree, as one table of text columns; a column that a file lacks is NULL."""
+    read = lambda pattern: spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    return read("*.json*").option("primitivesAsString", "true").json(root).unionByName(read("*.csv").option("header", "true").csv(root), allowMissingColumns=True)
+
+
+def save_artefacts(root: str, run_id: str, **frames: DataFrame) -> None:
+    """One table an artefact, partitioned by run_id; a run written again replaces its own rows."""
+    for name, df in frames.items():
+        write_partitioned(df.withColumn("run_id", F.lit(run_id)), f"{root}/{name}", ["run_id"])
+
+
+def load_artefact(spark: SparkSession, root: str, name: str, run_id: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/{name}").where(F.col("run_id").cast("string") == run_id).drop("run_id")
+
+
+def migrate(spark: SparkSession, url: str, names: Sequence[str], root: str, low: str, high: str, partitions: int) -> None:
+    """Database tables to Parquet, by symbol."""
+    for name in names:
+        write_partitioned(read_jdbc(spark, url, name, low, high, partitions), f"{root}/{name}", ["symbol"])

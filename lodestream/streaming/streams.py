@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestream.session import shared_dir
 
@@ -97,3 +100,27 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
 def run_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], name: str) -> None:
     path = f"{shared_dir(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
     stream.writeStream.foreachBatch(write).option("checkpointLocation", path).trigger(availableNow=True).start().awaitTermination()
+
+
+def keyed_states(stream: DataFrame, key: str, order: Sequence[str], cols: Sequence[str], start: Callable[[], object], step: Callable, out: Sequence[tuple[str, str]]) -> DataFrame:
+    """A state machine by key over a stream, as operators.states.keyed_scan is over a table: the state is kept between batches.
+
+    Rows of a key are taken in order within a batch, and batches as they come. Output: key, the first order column and the columns of
+    out, for each row whose step gives something.
+    """
+    kinds = {"double": "float64", "int": "int32", "bigint": "int64", "string": "object"}
+
+    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        machine = start()
+        if state.exists:
+            machine.__dict__.update(pickle.loads(state.get[0]))
+        rows = pd.concat(list(frames)).sort_values(list(order))
+        found = [(t, got) for t, *values in zip(rows[order[0]], *[rows[c] for c in cols], strict=True) if (got := step(machine, *values)) is not None]
+        state.update((pickle.dumps(machine.__dict__),))
+        data = {key: [k[0]] * len(found), order[0]: [t for t, _ in found]}
+        data |= {n: pd.Series([got[j] for _, got in found], dtype=kinds[t]) for j, (n, t) in enumerate(out)}
+        yield pd.DataFrame(data)
+
+    ddl = f"{key} string, {order[0]} timestamp, " + ", ".join(f"{n} {t}" for n, t in out)
+    wanted = stream.select(key, *order, *[c for c in cols if c not in order])
+    return wanted.groupBy(key).applyInPandasWithState(run, ddl, "state binary", "append", GroupStateTimeout.NoTimeout)
