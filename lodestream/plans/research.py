@@ -145,7 +145,10 @@ def _(spark, d):
 FT = "ts, l_orderkey, l_linenumber, l_partkey, l_suppkey, qty, l_extendedprice"
 
 
-@query("s5_34_fifo")
+@query("s5_34_fifo", f"""WITH {FL}, x AS (SELECT *, row_number() OVER w AS n, sum(CASE side WHEN 'buy' THEN qty ELSE 0 END) OVER w AS b, sum(CASE side WHEN 'buy' THEN 0 ELSE qty END) OVER w AS s FROM fills WINDOW w AS (PARTITION BY symbol ORDER BY {FT} ROWS UNBOUNDED PRECEDING)),
+    y AS (SELECT *, s + least(0, coalesce(min(CASE side WHEN 'sell' THEN b - s END) OVER (PARTITION BY symbol ORDER BY n), 0)) AS c FROM x), z AS (SELECT *, coalesce(lag(c) OVER (PARTITION BY symbol ORDER BY n), 0) AS p FROM y),
+    m AS (SELECT z.symbol, z.n, sum(least(l.b, z.c) - greatest(l.b - l.qty, z.p)) AS matched, sum((least(l.b, z.c) - greatest(l.b - l.qty, z.p)) * l.price) AS cost FROM z JOIN z l ON l.symbol = z.symbol AND l.side = 'buy' AND l.b - l.qty < z.c AND l.b > z.p WHERE z.side = 'sell' GROUP BY 1, 2)
+    SELECT z.symbol, CAST(z.n AS INTEGER) AS n, z.qty, coalesce(matched, 0) AS matched, round(coalesce(cost, 0) + 1e-7, 4) AS cost, round(z.qty * z.price - coalesce(cost, 0) + 1e-7, 4) AS pnl FROM z LEFT JOIN m USING (symbol, n) WHERE z.side = 'sell'""")
 def _(spark, d):
     x = trades.fifo(v.fills(spark, d), FT.split(", "))
     return x.withColumn("cost", F.round(F.col("cost") + 1e-7, 4)).withColumn("pnl", F.round(F.col("pnl") + 1e-7, 4))

@@ -83,14 +83,11 @@ def test_cusum_dwell_against_loops(spark):
     up = down = 0.0
     want = []
     for i in range(1, len(x)):
-        r = x[i] / x[i - 1] - 1
+        r = math.log(x[i] / x[i - 1])
         up, down = max(0.0, up + r), min(0.0, down + r)
-        if up > 0.02:
-            up = 0.0
-            want.append((i, 1))
-        elif down < -0.02:
-            down = 0.0
-            want.append((i, -1))
+        if up > 0.02 or down < -0.02:
+            want.append((i, 1 if up > 0.02 else -1))
+            up = down = 0.0
     got = [((r.ts - T0).total_seconds() // 3600, r.side) for r in states.cusum_events(bars(spark, x), "close", 0.02).orderBy("ts").collect()]
     assert got == want and len(want) > 5
     labels_ = ["a", "b", "a", "b", "b", "b", "a", None, "a", "a", "a"]
