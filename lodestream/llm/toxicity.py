@@ -104,10 +104,12 @@ class LexiconTrie:
             cut = [n * j // (d + 1) for j in range(d + 2)]
             parts = [e.text[a:b] for a, b in zip(cut, cut[1:], strict=False)]
             halves.add(parts[0])
-            ends.update(f"{re.escape(p)}.*" for p in parts[1:])
+            ends.update(f"{re.escape(p)}.*" for p in (parts[1:] if e.stem else parts[1:-1]))
+            if not e.stem:
+                ends.add(f"{re.escape(parts[-1])}$")
         begin = "|".join(map(re.escape, sorted(halves)))
         firsts = "".join(sorted({re.escape(e.text[0]) for e in self.entries if edits(e.text)}))
-        end = f"[{firsts}].*(?:{'|'.join(sorted(ends))})$" if ends else "(?!)"
+        end = f"[{firsts}].*(?:{'|'.join(sorted(ends))})" if ends else "(?!)"
         #: Only words that this finds can match; it spares the walk for most.
         self.may = re.compile(f"(?:{begin or '(?!)'})|{end}", re.S).match
 
@@ -300,7 +302,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Tox
     a, b = F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")
     weight = F.log((F.col("a") + 0.5) / (sizes[1] + 1)) - F.log((F.col("b") + 0.5) / (sizes[0] + 1))
     share = sizes[1] / (sizes[0] + sizes[1])
-    counted = settle(rows.select("toxic", "text").mapInArrow(terms, "toxic int, term string").groupBy("term").agg(a, b), "terms")
+    counted = settle(rows.select("toxic", "text").mapInArrow(terms, "toxic int, term string").groupBy("term").agg(a, b).where((F.col("a") + F.col("b") >= MIN_DOCUMENTS) | F.col("term").isin(["=" + w for w in SEEDS])), "terms")
     # so many terms are tried that some stand out by chance: the log-likelihood ratio has to outweigh their number
     n = F.col("a") + F.col("b")
     part = lambda x, q: F.when(x > 0, x * F.log(x / (n * q))).otherwise(0.0)
