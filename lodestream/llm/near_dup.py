@@ -118,10 +118,11 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, th bigint, n_shingles bigint, sig binary, first array<int>, second array<int>")
 
 
-def _cell_edges(rows: DataFrame, most: int = HOT) -> DataFrame:
+def _cell_edges(rows: DataFrame, most: int = HOT, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """Edges from each representative to the smallest one in its table cells; a row: rep, key (first subkey), second."""
     hot = rows.groupBy("key").count().where(F.col("count") > most).select("key", F.ceil(F.col("count") / most).alias("parts"))
-    marked = rows.join(hot, "key", "left")
+    hot = settle(hot, "hot")  # one row in more than `most` of the keyed rows
+    marked = rows.join(F.broadcast(hot) if hot.count() <= broadcast_ids else hot, "key", "left")
     cells = lambda df: df.select(*[c for c in df.columns if c != "second"], F.posexplode("second").alias("j", "cell"))
     cold = marked.where("parts is null").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
     cold = cells(cold.select("key", "rep", "second")).withColumn("leader", F.min("rep").over(Window.partitionBy("key", "j", "cell")))
@@ -259,7 +260,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     classes = sigs.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.first("first").alias("first"), F.first("second").alias("second"))
     classes = settle(classes.select("sig", F.col("rep.doc_id").alias("rep"), F.col("rep.th").alias("th"), "first", "second"), "classes")
     keyed = classes.select("rep", "second", F.posexplode("first").alias("i", "k")).select("rep", "second", F.xxhash64("i", "k").alias("key"))
-    family = connected_components(_cell_edges(keyed, hot), "rep", "leader").select(F.col("id").alias("rep"), F.col("component").alias("family"))
+    family = connected_components(_cell_edges(keyed, hot, broadcast_ids), "rep", "leader").select(F.col("id").alias("rep"), F.col("component").alias("family"))
     members = settle(classes.select("rep", "th").join(family, "rep"), "families")
     sets = settle(_sets(docs, members, width, broadcast_ids), "sets")
     labels = connected_components(_all_links(sets, percent)).select(F.col("id").alias("rep"), "component")
