@@ -4,7 +4,8 @@ The lexicon starts from a few common insults (SEEDS) and is learned from labelle
 words), whose share of toxic documents stands out and which together cover the toxic documents of a bounded sample several times;
 a seed that harmless rows use is dropped. It is kept in a trie. A word is
 looked up by walking the trie together with the Levenshtein automaton of the word: one edit is allowed for entries of 5 to 7
-letters and two beyond, none for shorter ones, and the first letter stays; a stem is matched by the nearest beginning of the word.
+letters and two beyond, none for shorter ones, and the first letter stays. Learned stems and seeds that no toxic row of the sample
+uses are matched exactly, as other words lie too near them; an entry given as a fuzzy stem is matched by the nearest beginning of a word.
 Spellings within that distance that harmless rows of the sample use are learned as exceptions.
 
 A hit counts less inside a quotation: between quotation marks, or near a reporting word, within WINDOW words to either
@@ -65,6 +66,12 @@ class Entry:
     text: str
     stem: bool
     weight: float
+    #: Whether misspellings count, too.
+    fuzzy: bool = True
+
+    @property
+    def edits(self) -> int:
+        return edits(self.text) if self.fuzzy else 0
 
 
 def edits(entry: str) -> int:
@@ -83,7 +90,7 @@ class LexiconTrie:
 
     def __init__(self, entries: Sequence[Entry], exceptions: frozenset[str] = frozenset()):
         self.entries, self.exceptions = list(entries), exceptions
-        self.most = max((edits(e.text) for e in self.entries), default=0)
+        self.most = max((e.edits for e in self.entries), default=0)
         self.root = _Node()
         halves: set[str] = set()
         ends: set[str] = set()
@@ -95,7 +102,7 @@ class LexiconTrie:
                 node.stem = k
             else:
                 node.word = k
-            d = edits(e.text)
+            d = e.edits
             if not d:
                 halves.add(e.text)
                 continue
@@ -108,7 +115,7 @@ class LexiconTrie:
             if not e.stem:
                 ends.add(f"{re.escape(parts[-1])}$")
         begin = "|".join(map(re.escape, sorted(halves)))
-        firsts = "".join(sorted({re.escape(e.text[0]) for e in self.entries if edits(e.text)}))
+        firsts = "".join(sorted({re.escape(e.text[0]) for e in self.entries if e.edits}))
         end = f"[{firsts}].*(?:{'|'.join(sorted(ends))})" if ends else "(?!)"
         #: Only words that this finds can match; it spares the walk for most.
         self.may = re.compile(f"(?:{begin or '(?!)'})|{end}", re.S).match
@@ -135,9 +142,9 @@ class LexiconTrie:
         stack = [(self.root.next[word[0]], list(range(len(tail) + 1)))]
         while stack:
             node, row = stack.pop()
-            if node.word >= 0 and row[-1] <= edits(self.entries[node.word].text) and row[-1] < best[1]:
+            if node.word >= 0 and row[-1] <= self.entries[node.word].edits and row[-1] < best[1]:
                 best = (node.word, row[-1])
-            if node.stem >= 0 and (d := min(row)) <= edits(self.entries[node.stem].text) and d < best[1]:
+            if node.stem >= 0 and (d := min(row)) <= self.entries[node.stem].edits and d < best[1]:
                 best = (node.stem, d)
             for c, child in node.next.items():
                 new = [row[0] + 1]
@@ -322,13 +329,13 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Tox
 
     incidence = sorted((r.toxic, r.ks) for r in rows.select("toxic", "text").mapInArrow(marked, "toxic int, ks array<int>").collect())
     picked = choose(incidence, names) if names else []
-    entries = [Entry(names[k][1:], names[k][0] == "^", min(3.0, found[k].w / 2)) for k in picked]
+    entries = [Entry(names[k][1:], names[k][0] == "^", min(3.0, found[k].w / 2), names[k][0] != "^") for k in picked]
     seen = {r.term[1:]: (r.a, r.b) for r in counted.where(F.col("term").isin(["=" + w for w in SEEDS])).collect()}
     for w in sorted(set(SEEDS) - {e.text for e in entries if not e.stem}):
         toxic, plain_ = seen.get(w, (0, 0))
         odds_ = float(np.log((toxic + SEED_TOXIC) / (sizes[1] + SEED_TOXIC)) - np.log((plain_ + SEED_PLAIN) / (sizes[0] + 1)))
         if plain_ == 0 or odds_ > LEAST_ODDS:
-            entries.append(Entry(w, False, min(3.0, max(odds_, LEAST_ODDS) / 2)))
+            entries.append(Entry(w, False, min(3.0, max(odds_, LEAST_ODDS) / 2), toxic > 0))
     entries = tuple(entries)
 
     plain = ToxicityModel(entries, frozenset(), 0.0, 0.0, True)

@@ -54,9 +54,9 @@ def test_scores_of_a_table_against_plain(spark, sf):
                     best = min(best, (-1 - len(e.text), e.weight))
             if best[0] == 99 and len(w) >= 4 and w not in model.exceptions:
                 for e in model.entries:
-                    if tx.edits(e.text) and e.text[0] == w[0] and abs(len(e.text) - len(w)) <= (99 if e.stem else 2):
+                    if e.edits and e.text[0] == w[0] and abs(len(e.text) - len(w)) <= (99 if e.stem else 2):
                         d = min(distance(w[1:n], e.text[1:]) for n in (range(1, len(w) + 1) if e.stem else (len(w),)))
-                        if d <= tx.edits(e.text) and d < best[0]:
+                        if d <= e.edits and d < best[0]:
                             best = (d, e.weight * tx.FUZZY**d)
             memo[w] = best[1] if best[0] < 99 else 0.0
         return memo[w]
