@@ -60,12 +60,18 @@ def hierarchical_parity(cov: np.ndarray) -> np.ndarray:
 
 
 def solve_weights(cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both kinds of weights; series without variance get none, all the same if none varies."""
+    """Both kinds of weights; series without variance get none, all the same if none varies.
+
+    Covariances over different rows may not form a covariance matrix; too small eigenvalues are then raised.
+    """
     dev = np.sqrt(np.maximum(np.diag(cov), 0))
     live = dev > max(dev.max() * 1e-10, 1e-12)
     if not live.any():
         return np.full(len(cov), 1 / len(cov)), np.full(len(cov), 1 / len(cov))
     own = cov[np.ix_(live, live)] + np.eye(live.sum()) * 1e-10
+    values, vectors = np.linalg.eigh(own)
+    if values[0] < 1e-8 * values[-1]:
+        own = vectors @ np.diag(np.maximum(values, 1e-8 * values[-1])) @ vectors.T
     out = np.zeros((2, len(cov)))
     out[:, live] = equal_risk(own), hierarchical_parity(own)
     return out[0], out[1]

@@ -206,7 +206,7 @@ def importance(train: DataFrame, test: DataFrame, features: Sequence[str], label
         base = base - F.col(f"_b{i}") * (F.col(f"_x{i}") - F.col(f"_m{i}"))
     x = x.withColumn("_e", base)
     e = [F.col("_e") - F.col(f"_b{i}") * (F.col(f"_o{i}") - F.col(f"_x{i}")) for i in k]
-    each = F.array(*[F.struct(F.lit(a).alias("feature"), (F.corr(f"_x{i}", "_y") ** 2).alias("single"), (F.avg(e[i] ** 2) - F.avg(F.col("_e") ** 2)).alias("permuted")) for i, a in enumerate(features)])
+    each = F.array(*[F.struct(F.lit(a).alias("feature"), (F.covar_pop(f"_x{i}", "_y") ** 2 / F.nullif(F.var_pop(f"_x{i}") * F.var_pop("_y"), F.lit(0.0))).alias("single"), (F.avg(e[i] ** 2) - F.avg(F.col("_e") ** 2)).alias("permuted")) for i, a in enumerate(features)])
     return x.groupBy(by).agg(each.alias("_a")).select(by, F.explode("_a").alias("_a")).select(by, "_a.*")
 
 

@@ -110,11 +110,11 @@ def _(spark, d):
 
 
 IMP = FWD + """, tr AS (SELECT symbol, var_pop(range) AS aa, covar_pop(range, body) AS ab, var_pop(body) AS bb, covar_pop(range, r) AS ay, covar_pop(body, r) AS bt, avg(r) AS my, avg(range) AS ma, avg(body) AS mb FROM y WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1),
-    co AS (SELECT *, (ay * bb - bt * ab) / (aa * bb - ab * ab) AS b0, (aa * bt - ab * ay) / (aa * bb - ab * ab) AS b1 FROM tr), te AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM y WHERE ts >= TIMESTAMP '2024-01-15'),
+    co AS (SELECT *, (ay * bb - bt * ab) / nullif(aa * bb - ab * ab, 0) AS b0, (aa * bt - ab * ay) / nullif(aa * bb - ab * ab, 0) AS b1 FROM tr), te AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM y WHERE ts >= TIMESTAMP '2024-01-15'),
     pe AS (SELECT t.symbol, t.range, t.body, t.r, o.range AS ora, o.body AS obo, t.r - my - b0 * (t.range - ma) - b1 * (t.body - mb) AS e, b0, b1 FROM te t JOIN te o ON o.symbol = t.symbol AND o.i = (t.i * 7919 + 13) % t.n JOIN co ON co.symbol = t.symbol)"""
 
 
-@query("s12_17_importance", IMP + """ SELECT symbol, 'range' AS feature, round(corr(range, r) ** 2, 6) AS single, round(avg((e - b0 * (ora - range)) ** 2) - avg(e ** 2), 4) AS permuted FROM pe GROUP BY 1 UNION ALL SELECT symbol, 'body', round(corr(body, r) ** 2, 6), round(avg((e - b1 * (obo - body)) ** 2) - avg(e ** 2), 4) FROM pe GROUP BY 1""")
+@query("s12_17_importance", IMP + """ SELECT symbol, 'range' AS feature, round(covar_pop(range, r) ** 2 / nullif(var_pop(range) * var_pop(r), 0), 6) AS single, round(avg((e - b0 * (ora - range)) ** 2) - avg(e ** 2), 4) AS permuted FROM pe GROUP BY 1 UNION ALL SELECT symbol, 'body', round(covar_pop(body, r) ** 2 / nullif(var_pop(body) * var_pop(r), 0), 6), round(avg((e - b1 * (obo - body)) ** 2) - avg(e ** 2), 4) FROM pe GROUP BY 1""")
 def _(spark, d):
     x = _fwd(spark, d).where("r is not null")
     out = search.importance(x.where("ts < '2024-01-15'"), x.where("ts >= '2024-01-15'"), ["range", "body"], "r")
