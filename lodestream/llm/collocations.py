@@ -366,7 +366,7 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(tune(spark), sf_dir, "documents"))
 
 
-OP12_SQL = """WITH pieces AS (SELECT lang, list_filter(string_split_regex(piece, '[ \\t]+'), x -> x <> '') AS w FROM (SELECT coalesce(lang, 'und') AS lang,
+OP12_SQL = """WITH pieces AS (SELECT lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') AS w FROM (SELECT coalesce(lang, 'und') AS lang,
     unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\n\\x0b\\x0c\\r]')) AS piece FROM documents)),
   total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
   grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, range(1, 5) AS t(k) WHERE len(w) >= k)),
