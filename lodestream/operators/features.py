@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from lodestream.operators.scan import ema_spec, wilders
+from lodestream.operators.windows import rolling_rank
 
 
 def series(by: str = "symbol", order: Sequence[str] = ("ts",)) -> WindowSpec:
@@ -131,12 +132,6 @@ def kyle_rolling(n: int, x: str = "sv", y: str = "dp") -> tuple[Column, Column]:
     return lam, lam / F.nullif(F.sqrt(rss / F.nullif(m - 1, F.lit(0)) / F.nullif(xx, F.lit(0.0))), F.lit(0.0))
 
 
-def rank_in_window(c: str, n: int) -> Column:
-    """Share of the last n rows whose value is at most the current one; rows without a value are never so."""
-    values = F.collect_list(c).over(last_n(n))
-    return F.size(F.filter(values, lambda v: v <= F.col(c))) / F.count(F.lit(1)).over(last_n(n))
-
-
 def volatility_regime(bars: DataFrame, n: int = 60, look: int = 500, low: float = 0.2, high: float = 0.8) -> DataFrame:
     """Adds vol_rank and vol_regime (low, normal, high): where the deviation of the last n log returns ranks among the last look ones.
 
@@ -144,7 +139,8 @@ def volatility_regime(bars: DataFrame, n: int = 60, look: int = 500, low: float
     """
     x = bars.withColumn("lr", log_ret("close"))
     x = x.withColumn("rv", F.when(F.count("lr").over(last_n(n)) >= n // 2, F.stddev_samp("lr").over(last_n(n))))
-    x = x.withColumn("vol_rank", F.when(F.count("rv").over(last_n(look)) >= look // 2, F.when(F.col("rv").isNull(), 0.0).otherwise(rank_in_window("rv", look))))
+    x = rolling_rank(x.withColumn("_there", F.count("rv").over(last_n(look))), "rv", look, "vol_rank")
+    x = x.withColumn("vol_rank", F.when(F.col("_there") >= look // 2, F.col("vol_rank"))).drop("_there")
     return x.withColumn("vol_regime", F.when(F.col("vol_rank") > high, "high").when(F.col("vol_rank") < low, "low").otherwise("normal")).drop("lr")
 
 
