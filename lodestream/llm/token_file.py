@@ -20,6 +20,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ from lodestream.session import shared_dir, table, tune
 BLOCK_IDS = 1 << 16
 LEVEL = 3
 CACHE_WORDS = 500_000
+WORDS_AT_ONCE = 500
 
 _PART = pa.struct([("doc_no", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("offset", pa.int64()), ("total", pa.int64())])
 _CHUNK = pa.schema(
@@ -58,6 +60,22 @@ class WordEncoder:
         self.other = re.compile("[^\\t-\\r -~À-ÖØ-öø-ÿ]|<[|]").search
         self.find = re.compile(rf"[{letters}]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\t-\r {letters}0-9]+").findall
         self.known: dict[str, bytes] = {}
+        size = self.library.get_vocab_size()
+        self.final = np.array([(self.library.id_to_token(k) or "").endswith("</w>") for k in range(size)])
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word: many words are one text for the library, cut again after tokens that end a word."""
+        out: list[bytes] = []
+        groups = [words[at : at + WORDS_AT_ONCE] for at in range(0, len(words), WORDS_AT_ONCE)]
+        for own, e in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.final[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            if len(ends) == len(own) and ends[-1] == len(raw):
+                out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            else:  # not each word ends in one such token
+                out += self.whole(own)
+        return out
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -66,13 +84,13 @@ class WordEncoder:
         out: list[bytes] = []
         for at in range(0, len(texts), 200):
             cut = [None if self.other(t) else self.find(t.lower()) for t in texts[at : at + 200]]
-            used = set().union(*[c for c in cut if c])
-            new = [w for w in used if w not in self.known]
+            seen = self.known.__contains__
+            new = list(set().union(*[filterfalse(seen, c) for c in cut if c]))
             if len(self.known) + len(new) > CACHE_WORDS:
                 self.known.clear()
-                new = list(used)
+                new = list(set().union(*[c for c in cut if c]))
             if new:
-                self.known.update(zip(new, self.whole(new), strict=True))
+                self.known.update(zip(new, self.words(new), strict=True))
             get = self.known.__getitem__
             for t, c in zip(texts[at : at + 200], cut, strict=True):
                 out.append(self.whole([t])[0] if c is None else b"".join(map(get, c)))
