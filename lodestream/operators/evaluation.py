@@ -1,16 +1,13 @@
-"""Evaluation tables over runs: capacity, stress, regime maps, limits, walk-forward models."""
+"""Evaluation tables over runs: capacity, stress, regime maps, limits."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestream.session import settle, shared_dir
-
 
 def sharpe(c: str) -> Column:
     return F.avg(c) / F.nullif(F.stddev_pop(c), F.lit(0.0)) * F.sqrt(F.count(F.lit(1)))
@@ -67,37 +64,6 @@ def exposure(positions: DataFrame, equity: float, leverage: float, share: float)
     return x.withColumn("broken", (F.col("leverage") > leverage) | (F.coalesce("top_share", F.lit(0.0)) > share)).drop("largest")
 
 
-def walk_forward_classifier(rows: DataFrame, features: Sequence[str], label: str, train: int, test: int, purge: int, windows: int | None = None, by: str = "symbol") -> DataFrame:
-    """Out-of-sample probabilities of a logistic model fitted anew for each window; rows: by, ts, window, p.
-
-    Rows of all series share one model a window; windows are independent, each fit is a Spark job. Without windows there are as
-    many as the longest series needs, the last one shorter than test if need be, so each row after the first train rows is
-    predicted once, also if it has no label. Predictions are added to a table window by window. Where the training rows have one label only, its share, 0 or 1, is the probability.
-    """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    x = rows.dropna(subset=list(features)).withColumn("_i", F.row_number().over(Window.partitionBy(by).orderBy("ts")) - 1)
-    x = settle(VectorAssembler(inputCols=list(features), outputCol="_x").transform(x).withColumn("_y", F.col(label).cast("double")).select(by, "ts", "_i", "_x", "_y"), "walk-forward")
-    if windows is None:
-        windows = max(0, -(-((x.agg(F.max("_i")).first()[0] or 0) + 1 - train) // test))
-    out, path = x.where("false").select(by, "ts", F.lit(0).alias("window"), F.lit(0.0).alias("p")), f"{shared_dir(x.sparkSession)}/predictions-{uuid.uuid4().hex}"
-    out.write.parquet(path)
-    for k in range(windows):
-        at = k * test
-        fit = x.where((F.col("_i") >= at) & (F.col("_i") < at + train - purge) & F.col("_y").isNotNull())
-        late = x.where((F.col("_i") >= at + train) & (F.col("_i") < at + train + test))
-        known = [r[0] for r in fit.select("_y").distinct().collect()]
-        if len(known) < 2:
-            new = late.select(by, "ts", F.lit(k).alias("window"), F.lit(known[0] if known else None).cast("double").alias("p"))
-        else:
-            model = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=0.01, maxIter=30).fit(fit)
-            new = model.transform(late).select(by, "ts", F.lit(k).alias("window"), vector_to_array("probability")[1].alias("p"))
-        new.write.mode("append").parquet(path)
-    return x.sparkSession.read.schema(out.schema).parquet(path)
-
-
 def hawkes(events: DataFrame, beta: float, by: str = "symbol", order: Sequence[str] = ("ts",), mark: str | None = None, name: str = "intensity") -> DataFrame:
     """Adds intensity (or name): sum over events so far of exp(-beta * seconds since), times their mark if one is given. Two levels: inside chunks of time, and one decayed value a chunk.
 

@@ -142,13 +142,6 @@ def _(spark, d):
     return ev.exposure(v.bars(spark, d).withColumn("notional", F.col("close") * F.col("volume")), 10000.0, 2.0, 0.6).withColumn("gross", F.round("gross", 4))
 
 
-@query("s12_13_walk_forward_classifier")
-def _(spark, d):
-    x = v.bars(spark, d).withColumn("r1", ft.ret("close")).withColumn("z", ft.zscore("close", 24)).withColumn("vr", F.col("volume") / F.nullif(ft.sma("volume", 20), F.lit(0.0)))
-    x = x.withColumn("y", (F.lead("close").over(ft.series()) > F.col("close")).cast("int"))
-    return ev.walk_forward_classifier(x, ["r1", "z", "vr"], "y", 240, 120, 2)
-
-
 @query("s10_7_stream_sliding", f"""WITH {T}, m AS (SELECT max(ts) AS z FROM ticks), w AS (SELECT symbol, amount, unnest(generate_series(time_bucket(INTERVAL 30 minute, ts) + INTERVAL 30 minute, time_bucket(INTERVAL 30 minute, ts) + INTERVAL 60 minute, INTERVAL 30 minute)) AS ts FROM ticks)
     SELECT symbol, {TS}, round(sum(amount), 6) AS total FROM w, m WHERE w.ts <= z - INTERVAL 10 minute GROUP BY symbol, w.ts""".replace("epoch(ts)", "epoch(w.ts)"))
 def _(spark, d):

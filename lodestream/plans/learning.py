@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from lodestream import views as v
 from lodestream.operators import features as ft
 from lodestream.operators import hidden as hd
+from lodestream.operators import learning as ln
 from lodestream.operators import signals as sg
-from lodestream.operators import windows as wi
 from lodestream.plans.registry import query
 
 
@@ -27,3 +27,47 @@ def _(spark, d):
     bars = v.bars(spark, d)
     rows = sg.mean_reversion(bars).select("symbol", "ts", "close", "sig")
     return hd.gate(rows, hd.regimes(hd.observations(bars), train=240, test=60)).select("symbol", "ts", "sig", "calm", "gated")
+
+
+FEATURES = ("rsi", "bb_width", "vol", "ret_1", "ret_5", "vol_ratio", "gap")
+
+
+def _dataset(spark, d):
+    """Bars with features, the sign of the next six hours' return as label, and when it is known."""
+    w = ft.series()
+    x = ft.feature_table(v.bars(spark, d)).withColumns({"gap": F.col("ema_9") / F.col("ema_50") - 1, "fwd": F.lead("close").over(w) / F.col("close") - 1, "t1": F.lead("ts", 6).over(w), "_f": F.lead("close", 6).over(w)})
+    return x.dropna(subset=["t1", *FEATURES]).withColumn("label", F.when(F.col("_f") > F.col("close"), 1).otherwise(-1)).select("symbol", "ts", "t1", "label", "fwd", *FEATURES)
+
+
+@query("s12_13_walk_forward_classifier")
+def _(spark, d):
+    w = ft.series()
+    x = v.bars(spark, d).withColumn("r1", ft.ret("close")).withColumn("z", ft.zscore("close", 24)).withColumn("vr", F.col("volume") / F.nullif(ft.sma("volume", 20), F.lit(0.0)))
+    x = x.withColumn("y", (F.lead("close").over(w) > F.col("close")).cast("int")).dropna(subset=["r1", "z", "vr"])
+    return ln.walk_forward(x, ["r1", "z", "vr"], "y", 240, 120, 2)
+
+
+@query("s12_14_meta_labels")
+def _(spark, d):
+    return ln.meta_labels(_dataset(spark, d), FEATURES, "label", 300, 100, forward="fwd", fee=0.001)
+
+
+@query("s11_19_model_signal")
+def _(spark, d):
+    return ln.model_signal(ln.meta_labels(_dataset(spark, d), FEATURES, "label", 300, 100), "p_meta", "side", step=0.1)
+
+
+@query("s12_17_tree_importance")
+def _(spark, d):
+    return ln.importance(ln.fold_scores(_dataset(spark, d), FEATURES, "label", 400))
+
+
+@query("s12_19_clustered_importance")
+def _(spark, d):
+    return ln.clustered(ln.fold_scores(_dataset(spark, d), FEATURES, "label", 400))
+
+
+@query("s12_18_component_agreement")
+def _(spark, d):
+    x = _dataset(spark, d)
+    return ln.component_agreement(x, ln.importance(ln.fold_scores(x, FEATURES, "label", 400)), FEATURES)

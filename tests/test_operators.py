@@ -201,19 +201,6 @@ def test_hawkes_against_loop(spark):
     assert max(abs(a - b) for a, b in zip(got, want, strict=True)) < 1e-4
 
 
-def test_classifier_predicts_all_rows_after_the_first_training_part(spark):
-    from lodestream.operators import evaluation
-
-    rng = random.Random(9)
-    rows = [(s, T0 + timedelta(hours=i), rng.gauss(0, 1), None if i == 174 else int(i < 90 and rng.random() < 0.5)) for s, count in (("A", 175), ("B", 60), ("C", 40)) for i in range(count)]
-    df = spark.createDataFrame(rows, "symbol string, ts timestamp, x double, y int")
-    got = evaluation.walk_forward_classifier(df, ["x"], "y", 40, 20, 2).collect()
-    want = {(s, t): int((t - T0).total_seconds() // 3600 - 40) // 20 for s, t, _, _ in rows if t >= T0 + timedelta(hours=40)}
-    assert len(got) == len(want) == 155 and {(r.symbol, r.ts): r.window for r in got} == want
-    assert all(0 <= r.p <= 1 for r in got) and {r.p for r in got if r.window > 4} == {0.0}
-    assert evaluation.walk_forward_classifier(df.where("symbol = 'C'"), ["x"], "y", 40, 20, 2).count() == 0
-
-
 def test_nearest_ranks_against_sorted_list(spark):
     rng = random.Random(4)
     of = {"a": [float(rng.randint(0, 300)) for _ in range(3001)], "b": [rng.gauss(0, 1) for _ in range(1000)], "c": [5.0], "d": [1.0, 2.0]}
