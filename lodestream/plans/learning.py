@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestream import views as v
+from lodestream.operators import baskets as bk
 from lodestream.operators import features as ft
 from lodestream.operators import hidden as hd
 from lodestream.operators import learning as ln
 from lodestream.operators import signals as sg
+from lodestream.operators import volatility as vo
 from lodestream.plans.registry import query
 
 
@@ -71,3 +73,27 @@ def _(spark, d):
 def _(spark, d):
     x = _dataset(spark, d)
     return ln.component_agreement(x, ln.importance(ln.fold_scores(x, FEATURES, "label", 400)), FEATURES)
+
+
+@query("s12_22_exponential_garch")
+def _(spark, d):
+    x = v.bars(spark, d).withColumn("r", ft.log_ret("close"))
+    return vo.exponential_garch(x, "r", 240, 60).select("symbol", "ts", "window", "vol")
+
+
+def _baskets(spark, d):
+    """Baskets of three neighbouring symbols, eight of them."""
+    names = v.bars(spark, d).select("symbol").distinct()
+    first = names.select(F.col("symbol").alias("basket"), F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("k"))
+    return first.select("basket", F.concat(F.lit("S"), (F.substring("basket", 2, 9).cast("int") + F.col("k")) % 8).alias("symbol"))
+
+
+@query("s11_18_sparse_baskets")
+def _(spark, d):
+    panel = bk.panels(v.bars(spark, d), _baskets(spark, d))
+    return bk.spreads(panel, 60, 2).select("basket", "ts", "window", F.transform("weights", lambda w: F.round(w, 6)).alias("weights"), "spread", "half_life")
+
+
+@query("s11_18_basket_positions")
+def _(spark, d):
+    return bk.positions(bk.spreads(bk.panels(v.bars(spark, d), _baskets(spark, d)), 60, 2), 60, enter=1.5)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestream import views as v
+from lodestream.functions import numbers
+from lodestream.functions import unit_roots as roots
 from lodestream.operators import accounting, joins, pairs, resample
 from lodestream.operators import features as ft
 from lodestream.plans.market import TS, B, _last
@@ -32,12 +34,28 @@ def _(spark, d):
     return pairs.legs_present(v.bars(spark, d))
 
 
+def _phi(x: str) -> str:
+    """The normal distribution function in SQL: rational below seven deviations, one tail term of a fraction beyond."""
+    a = f"abs({x})"
+    up, down = (" + ".join(f"{c!r} * pow({a}, {len(cs) - 1 - k})" for k, c in enumerate(cs)) for cs in (numbers._TAIL_UP, numbers._TAIL_DOWN))
+    tail = f"exp(-{a} * {a} / 2) * CASE WHEN {a} < 7 THEN ({up}) / ({down}) ELSE 0.39894228 / ({a} + 1 / ({a} + 2 / ({a} + 3 / ({a} + 4 / ({a} + 0.65))))) END"
+    return f"CASE WHEN {x} >= 0 THEN 1 - {tail} ELSE {tail} END"
+
+
+def _root_sql(src: str, series: int) -> str:
+    """A CTE rp: src with the probability p of column t."""
+    k = series - 1
+    poly = lambda cs: " + ".join(f"({c!r}) * pow(t, {j})" for j, c in enumerate(cs))
+    return f"""rx AS (SELECT *, CASE WHEN t <= {roots.SPLIT[k]} THEN {poly(roots.SMALL[k])} ELSE {poly(roots.LARGE[k])} END AS u FROM {src}),
+    rp AS (SELECT * EXCLUDE (u), CASE WHEN t < {roots.LEAST[k]} THEN 0 WHEN t > {roots.MOST[k]} THEN 1 WHEN t IS NOT NULL THEN {_phi('u')} END AS p FROM rx)"""
+
+
 @query("s7_10_pair_ranking", f"""WITH {B}, {PR}, v AS (SELECT symbol AS run, ts, spread AS x FROM pr), {_adf_sql('v')},
     l AS (SELECT run, x - lag(x) OVER w AS d, lag(x) OVER w AS p FROM v WINDOW w AS (PARTITION BY run ORDER BY ts)), h AS (SELECT run, count(*) AS n, CASE WHEN regr_slope(d, p) < 0 THEN -ln(2) / regr_slope(d, p) END AS hl FROM l GROUP BY 1 HAVING count(*) >= 80),
-    r AS (SELECT run, n, t, hl, coalesce(t <= -2.86 AND hl > 1 AND hl < 200, false) AS tradable FROM h JOIN tt USING (run))
-    SELECT run AS symbol, n, round(t, 5) AS t, round(hl, 5) AS half_life, tradable, CAST(row_number() OVER (ORDER BY tradable DESC, t, hl, run) AS INTEGER) AS place FROM r""")
+    {_root_sql('tt', 1)}, r AS (SELECT run, n, t, p, hl, coalesce(p <= 0.05 AND hl > 1 AND hl < 200, false) AS tradable FROM h JOIN rp USING (run))
+    SELECT run AS symbol, n, round(t, 5) AS t, round(p, 5) AS p, round(hl, 5) AS half_life, tradable, row_number() OVER (ORDER BY tradable DESC, p, hl, run) AS place FROM r""")
 def _(spark, d):
-    return pairs.rank_pairs(_all(spark, d)).select("symbol", "n", F.round("t", 5).alias("t"), F.round("half_life", 5).alias("half_life"), "tradable", "place")
+    return pairs.rank_pairs(_all(spark, d)).select("symbol", "n", F.round("t", 5).alias("t"), F.round("p", 5).alias("p"), F.round("half_life", 5).alias("half_life"), "tradable", "place")
 
 
 EG = """ix AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n, ln(c1) AS y, ln(c2) AS x FROM {0}),
@@ -48,12 +66,12 @@ EG = """ix AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1
     bc AS (SELECT *, (ld * kk - kd * lk) / (ll * kk - lk * lk) AS b, (ll * kd - lk * ld) / (ll * kk - lk * lk) AS c FROM mo), te AS (SELECT symbol, e, b / sqrt((dd - b * ld - c * kd) / (n - 2) * kk / (ll * kk - lk * lk)) AS t FROM bc)"""
 
 
-@query("s8_21_cointegration", f"WITH {B}, {PR}, {EG.format('pr')} SELECT symbol, e AS \"end\", round(t, 5) AS t, t > -3.34 AS block FROM te")
+@query("s8_21_cointegration", f"WITH {B}, {PR}, {EG.format('pr')}, {_root_sql('te', 2)} SELECT symbol, e AS \"end\", round(t, 5) AS t, round(p, 5) AS p, p > 0.05 AS block FROM rp")
 def _(spark, d):
-    return pairs.cointegration(_all(spark, d), 96, 24).withColumn("t", F.round("t", 5))
+    return pairs.cointegration(_all(spark, d), 96, 24).withColumns({"t": F.round("t", 5), "p": F.round("p", 5)})
 
 
-@query("s11_10_cointegration_gate", f"""WITH {B}, {PR}, {_position('spread', 'pr', 48, 1.5, 0.3)}, {EG.format('po')}, g AS (SELECT ix.symbol, ts, sig, coalesce(last_value(CASE WHEN te.e IS NOT NULL THEN t > -3.34 END IGNORE NULLS) OVER (PARTITION BY ix.symbol ORDER BY i ROWS UNBOUNDED PRECEDING), false) AS b FROM ix LEFT JOIN te ON te.symbol = ix.symbol AND te.e = i)
+@query("s11_10_cointegration_gate", f"""WITH {B}, {PR}, {_position('spread', 'pr', 48, 1.5, 0.3)}, {EG.format('po')}, {_root_sql('te', 2)}, g AS (SELECT ix.symbol, ts, sig, coalesce(last_value(CASE WHEN rp.e IS NOT NULL THEN p > 0.05 END IGNORE NULLS) OVER (PARTITION BY ix.symbol ORDER BY i ROWS UNBOUNDED PRECEDING), false) AS b FROM ix LEFT JOIN rp ON rp.symbol = ix.symbol AND rp.e = i)
     SELECT symbol, {TS}, sig, CASE WHEN b THEN 0 ELSE sig END::DOUBLE AS gated FROM g""")
 def _(spark, d):
     x = pairs.band_position(_all(spark, d), "spread", 48, 24, 1.5, 0.3)
@@ -87,12 +105,47 @@ def _hedge_sql(x: str, tag: str) -> str:
     sr{tag} AS (SELECT symbol, count(*) AS n, coalesce(avg(-pos * ch) / nullif(stddev_pop(-pos * ch), 0) * sqrt(count(*)), 0) AS s FROM pp{tag} WHERE oos GROUP BY 1)"""
 
 
-@query("s12_25_hedges", f"""WITH {B}, {PR}, h0 AS (SELECT *, ln(c1) AS y, ln(c2) AS x FROM pr), h1 AS (SELECT *, CASE WHEN count(*) {_last(48)} >= 48 THEN covar_pop(y, x) {_last(48)} / nullif(var_pop(x) {_last(48)}, 0) END AS beta,
-    row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 >= floor(count(*) OVER (PARTITION BY symbol) * 0.7) AS oos FROM h0), hx AS (SELECT *, y - beta * x AS hedged FROM h1), {_hedge_sql('spread', '1')}, {_hedge_sql('hedged', '2')}
-    SELECT a.symbol, a.n, round(a.s, 4) AS ratio, round(b.s, 4) AS ols, CASE WHEN b.s > a.s + 1e-9 THEN 'ols' ELSE 'ratio' END AS prefer FROM sr1 a JOIN sr2 b USING (symbol)""")
+def _johansen_sql() -> str:
+    """CTEs that end in jb: symbol, jb (the ratio of the first vector)."""
+    names = ("d1", "d2", "l1", "l2", "z1", "z2")
+    c = lambda a, b: min(a, b) + max(a, b)
+    left = lambda a, b: f"{c(a, b)} - ({c(a, 'z1')} * (z2z2 * {c(b, 'z1')} - z1z2 * {c(b, 'z2')}) + {c(a, 'z2')} * (z1z1 * {c(b, 'z2')} - z1z2 * {c(b, 'z1')})) / (z1z1 * z2z2 - z1z2 * z1z2)"
+    q = lambda a, b: f"(s_d2d2 * s_d1{a} * s_d1{b} - s_d1d2 * (s_d1{a} * s_d2{b} + s_d2{a} * s_d1{b}) + s_d1d1 * s_d2{a} * s_d2{b}) / (s_d1d1 * s_d2d2 - s_d1d2 * s_d1d2)"
+    return f"""j0 AS (SELECT symbol, ts, y, x FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM h0) WHERE i < floor(n * 0.7)),
+    j1 AS (SELECT symbol, ts, lag(y) OVER w AS l1, lag(x) OVER w AS l2, y - lag(y) OVER w AS d1, x - lag(x) OVER w AS d2 FROM j0 WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+    j2 AS (SELECT *, lag(d1) OVER w AS z1, lag(d2) OVER w AS z2 FROM j1 WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+    j3 AS (SELECT symbol, count(*) AS n, {', '.join(f'covar_pop({a}, {b}) AS {a}{b}' for i, a in enumerate(names) for b in names[i:])} FROM j2 WHERE z1 IS NOT NULL GROUP BY 1),
+    j4 AS (SELECT symbol, n, {', '.join(f'{left(a, b)} AS s_{a}{b}' for i, a in enumerate(names[:4]) for b in names[i:4])} FROM j3),
+    j5 AS (SELECT *, {q('l1', 'l1')} AS q11, {q('l1', 'l2')} AS q12, {q('l2', 'l2')} AS q22, s_l1l1 * s_l2l2 - s_l1l2 * s_l1l2 AS dt FROM j4),
+    j6 AS (SELECT symbol, n, (s_l2l2 * q11 - s_l1l2 * q12) / dt AS m11, (s_l2l2 * q12 - s_l1l2 * q22) / dt AS m12, (s_l1l1 * q12 - s_l1l2 * q11) / dt AS m21, (s_l1l1 * q22 - s_l1l2 * q12) / dt AS m22 FROM j5),
+    jb AS (SELECT symbol, CASE WHEN n + 2 >= 40 THEN abs(((m22 - m11) / 2 + sqrt(((m11 - m22) / 2) ** 2 + m12 * m21)) / m12) END AS jb FROM j6)"""
+
+
+@query("s12_25_hedges", f"""WITH {B}, {PR}, h0 AS (SELECT *, ln(c1) AS y, ln(c2) AS x FROM pr), {_johansen_sql()}, h1 AS (SELECT *, CASE WHEN count(*) {_last(48)} >= 48 THEN covar_pop(y, x) {_last(48)} / nullif(var_pop(x) {_last(48)}, 0) END AS beta,
+    row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 >= floor(count(*) OVER (PARTITION BY symbol) * 0.7) AS oos FROM h0), hx AS (SELECT *, y - beta * x AS hedged, y - jb * x AS vector FROM h1 LEFT JOIN jb USING (symbol)), {_hedge_sql('spread', '1')}, {_hedge_sql('hedged', '2')}, {_hedge_sql('vector', '3')},
+    ha AS (SELECT a.symbol, a.n, jb, a.s AS ratio, b.s AS ols, CASE WHEN jb IS NOT NULL THEN c.s END AS jo FROM sr1 a JOIN sr2 b USING (symbol) JOIN sr3 c USING (symbol) LEFT JOIN jb USING (symbol))
+    SELECT symbol, n, round(jb, 4) AS beta, round(ratio, 4) AS ratio, round(ols, 4) AS ols, round(jo, 4) AS johansen, CASE WHEN ols > ratio + 1e-9 AND (jo IS NULL OR ols >= jo) THEN 'ols' WHEN jo > ratio + 1e-9 AND jo > ols THEN 'johansen' ELSE 'ratio' END AS prefer FROM ha""")
 def _(spark, d):
     x = pairs.compare_hedges(_all(spark, d), 48, 0.7, 1.5, 0.3)
-    return x.select("symbol", "n", F.round("ratio", 4).alias("ratio"), F.round("ols", 4).alias("ols"), "prefer")
+    return x.select("symbol", "n", *[F.round(c, 4).alias(c) for c in ("beta", "ratio", "ols", "johansen")], "prefer")
+
+
+@query("s11_10_toxicity_gate", f"""WITH {B}, {PR}, {_position('spread', 'pr', 48, 1.5, 0.3)},
+    vc AS (SELECT *, floor(sum(amount) OVER (PARTITION BY symbol ORDER BY ts, trade_id) / 1000) AS bar FROM ticks), vg AS (SELECT symbol, bar, max(ts) AS ts, sum(CASE side WHEN 'buy' THEN amount ELSE -amount END) AS net FROM vc GROUP BY 1, 2),
+    vl AS (SELECT * FROM vg QUALIFY bar < max(bar) OVER (PARTITION BY symbol)), vp AS (SELECT symbol, bar, ts, CASE WHEN count(*) OVER w >= 10 THEN sum(abs(net)) OVER w / 20000 END AS vpin FROM vl WINDOW w AS (PARTITION BY symbol ORDER BY bar ROWS 19 PRECEDING)),
+    vt AS (SELECT symbol, ts, arg_max(vpin, bar) AS vpin FROM vp GROUP BY 1, 2), hk AS (SELECT a.symbol, a.side, a.ts, a.trade_id, sum(exp(-0.001 * (epoch(a.ts) - epoch(b.ts)))) AS h FROM ticks a JOIN ticks b ON a.symbol = b.symbol AND a.side = b.side AND (b.ts, b.trade_id) <= (a.ts, a.trade_id) GROUP BY ALL),
+    hl AS (SELECT symbol, side, ts, arg_max(h, trade_id) AS h FROM hk GROUP BY ALL), hb AS (SELECT * FROM hl WHERE side = 'buy'), hs AS (SELECT * FROM hl WHERE side = 'sell'),
+    jn AS (SELECT m.*, v.vpin, coalesce((coalesce(b.h, 0) - coalesce(s.h, 0)) / nullif(coalesce(b.h, 0) + coalesce(s.h, 0), 0), 0) AS imbalance FROM po m ASOF LEFT JOIN vt v ON v.symbol = m.leg AND m.ts >= v.ts ASOF LEFT JOIN hb b ON b.symbol = m.leg AND m.ts >= b.ts ASOF LEFT JOIN hs s ON s.symbol = m.leg AND m.ts >= s.ts),
+    g AS (SELECT *, coalesce(lag(sig) OVER (PARTITION BY symbol ORDER BY ts), 0) <> 0 AS inside, coalesce(vpin, 0) > 0.3 OR abs(imbalance) > 0.5 AS toxic FROM jn)
+    SELECT symbol, {TS}, sig, round(imbalance, 5) AS imbalance, toxic, CASE WHEN toxic AND NOT inside THEN 0 ELSE sig END::DOUBLE AS gated FROM g""")
+def _(spark, d):
+    x = pairs.band_position(_all(spark, d), "spread", 48, 24, 1.5, 0.3)
+    ticks = v.ticks(spark, d)
+    flow = ft.vpin(resample.activity_bars(ticks, 1000, drop_last=True), 1000.0, 20).select(F.col("symbol").alias("leg"), "ts", "bar", "vpin")
+    x = joins.asof_join(x, flow, cols=["vpin"], prefix="", by=["leg"], tie="bar")
+    x = pairs.toxic_flow(ticks.withColumnRenamed("symbol", "leg"), x, 0.001, by="leg")
+    x = x.withColumn("toxic", (F.coalesce("vpin", F.lit(0.0)) > 0.3) | (F.abs("imbalance") > 0.5))
+    return pairs.block_entries(x, F.col("toxic")).select("symbol", "ts", "sig", F.round("imbalance", 5).alias("imbalance"), "toxic", "gated")
 
 
 WF = """wi AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM {0}), wk AS (SELECT symbol, CAST(unnest(range(0, CAST(floor((n - 360) / 120) AS BIGINT) + 1)) AS BIGINT) AS win FROM (SELECT DISTINCT symbol, n FROM wi WHERE n >= 360)),
