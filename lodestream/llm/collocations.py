@@ -21,7 +21,7 @@ the same row count each; an empty table gives no rows.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +37,11 @@ SCALE, COVERED_PERCENT = 2_000_000, 80
 ONE_IN = 16
 FILTER_BITS = 1 << 26
 PROBES = 3
-#: What a task holds at most before it gives partial sums: distinct words, chunks, phrases.
+#: What a task holds at most before it gives partial sums: distinct words, chunks, phrases; and how many chunks make a block.
 MOST_WORDS, MOST_CHUNKS, MOST_PHRASES = 300_000, 200_000, 1_000_000
 BLOCK_BYTES = 1 << 20
 ROWS_AT_ONCE = 50_000
+BLOCK_CHUNKS = 100_000
 
 #: A-Z lower-cased, separators of pieces as line ends, tabs as spaces.
 _CLEAN = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -150,22 +151,53 @@ def chunks(docs: DataFrame, max_words: int = MAX_WORDS, one_in: int = ONE_IN) ->
     return rows.mapInArrow(run, "lang string, first boolean, chunk string, n bigint").groupBy("lang", "first", "chunk").agg(F.sum("n").alias("n"))
 
 
+_BLOCK = [("lang", pa.string()), ("words", pa.binary()), ("hashes", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("firsts", pa.binary()), ("n", pa.binary())]
+_BLOCK_DDL = "lang string, words binary, hashes binary, ids binary, sizes binary, firsts binary, n binary"
+
+
+def blocks(dictionary: DataFrame) -> DataFrame:
+    """The dictionary cut into words once for all passes: a row holds many chunks of one language as numbers of the row's own words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple[bool, bytes, int]]] = {}
+        rows = 0
+
+        def given() -> Iterator[pa.RecordBatch]:
+            for lang, own in held.items():
+                words = Words()
+                ids = words.numbers(b" \n ".join(r[1] for r in own))
+                word = ids > _BREAK
+                sizes = np.diff(np.flatnonzero(np.r_[True, ~word, True])) - 1
+                columns = (b"\n".join(words.text[2:]), words.hashes()[2:].tobytes(), (ids[word] - 2).tobytes(), sizes.astype(np.int32).tobytes(), np.array([r[0] for r in own], np.uint8).tobytes(), np.array([r[2] for r in own], np.int64).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), *[pa.array([c], pa.binary()) for c in columns]], [n for n, _ in _BLOCK])
+            held.clear()
+
+        for batch in batches:
+            for lang, *own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                held.setdefault(lang, []).append(own)
+            rows += len(batch)
+            if rows >= BLOCK_CHUNKS:
+                yield from given()
+                rows = 0
+        yield from given()
+
+    return dictionary.select("lang", "first", "chunk", "n").mapInArrow(run, _BLOCK_DDL)
+
+
 class Grams:
-    """Words of some chunks in a row, with each word's chunk, weight and hashes of the phrases that begin at it."""
-
-    def __init__(self, rows: list[tuple[str, bool, bytes, int]], words: Words, langs: Words, overlap: int):
-        ids = words.numbers(b" \n ".join(r[2] for r in rows))
-        word = ids > _BREAK
-        self.ids, self.hash_of = ids[word], words.hashes()
-        own = np.cumsum(~word)[word]
-        size = np.bincount(own, minlength=len(rows))
-        lang = np.array([langs[r[0].encode()] for r in rows], np.int32)
-        skip = np.where([r[1] for r in rows], 0, overlap)
-        self.n = np.array([r[3] for r in rows], np.int64)[own]
-        self.lang = lang[own]
+    """A block's words in a row, with each word's place in its chunk, weight, and hashes of the phrases that begin at it."""
+
+    def __init__(self, row: dict, overlap: int):
+        self.lang, self.text = row["lang"], row["words"].split(b"\n")
+        self.ids, size = np.frombuffer(row["ids"], np.int32), np.frombuffer(row["sizes"], np.int32)
+        own = np.repeat(np.arange(len(size)), size)
         place = np.arange(len(own)) - (np.cumsum(size) - size)[own]
+        skip = np.where(np.frombuffer(row["firsts"], np.uint8), 0, overlap)
+        self.n = np.frombuffer(row["n"], np.int64)[own]
         self.left, self.new = size[own] - place, place - skip[own]
-        self.hashes = [_mixed(self.hash_of[self.ids] + langs.hashes()[self.lang] * _U(0x9E3779B97F4A7C15))]
+        self.hash_of = np.frombuffer(row["hashes"], _U)
+        self.of_word = _mixed(self.hash_of + _U(xxhash.xxh3_64_intdigest(self.lang.encode())))
+        self.hashes = [self.of_word[self.ids]]
 
     def hash(self, n: int) -> np.ndarray:
         """Hashes of the phrases of n words that begin at each word; those that run over the chunk mean nothing."""
@@ -175,12 +207,15 @@ class Grams:
             self.hashes.append(_mixed(self.hashes[-1] * _U(0x100000001B3) + more + _U(k)))
         return self.hashes[n - 1]
 
-    def whole(self, n: int) -> np.ndarray:
-        return self.left >= n
-
     def counted(self, n: int) -> np.ndarray:
-        """Whether the phrase of n words at each word lies in its chunk, and not wholly in what the chunk before has."""
-        return self.whole(n) & (self.new + n > 0)
+        """Where a phrase of n words begins that lies in its chunk, and not wholly in what the chunk before has."""
+        return np.flatnonzero((self.left >= n) & (self.new + n > 0))
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """The block's words that are counted, and how often they occur."""
+        at = self.counted(1)
+        (ids,), n = summed([self.ids[at]], self.n[at])
+        return ids, n
 
 
 def among(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -238,73 +273,78 @@ class _Sums:
         return self.rows > self.most
 
 
-def _over(dictionary: DataFrame, overlap: int, look: Callable[[Grams, _Sums], None], give: Callable[[_Sums, Words, Words], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
-    """Looks at the dictionary's chunks, some at a time, and gives partial sums."""
+def frequent(packed: DataFrame, n: int, below: np.ndarray | None, least: int, max_words: int) -> DataFrame:
+    """h: hashes of phrases of n words that occur `least` times; below is the filter of those of n - 1 words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, langs, sums, held = Words(), Words(), _Sums(MOST_PHRASES), []
-        for batch in batches:
-            held += zip(*[batch.column(k).to_pylist() for k in (0, 1)], batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            if len(held) < ROWS_AT_ONCE:
-                continue
-            look(Grams(held, words, langs, overlap), sums)
-            held = []
-            if sums.full() or len(words.text) > MOST_WORDS:
-                yield from give(sums, words, langs)
-                words = words if len(words.text) <= MOST_WORDS else Words()
-        if held:
-            look(Grams(held, words, langs, overlap), sums)
-        yield from give(sums, words, langs)
-
-    return dictionary.select("lang", "first", "chunk", "n").mapInArrow(run, ddl)
-
-
-def frequent(dictionary: DataFrame, n: int, below: np.ndarray | None, least: int, max_words: int) -> DataFrame:
-    """h: hashes of phrases of n words that occur `least` times; below is the filter of those of n - 1 words."""
+        sums = _Sums(MOST_PHRASES)
 
-    def look(g: Grams, sums: _Sums) -> None:
-        at = np.flatnonzero(g.counted(n))
-        if below is not None:
-            h = g.hash(n - 1)
-            at = at[among(below, h[at])]
-            at = at[among(below, h[at + 1])]
-        sums.add([g.hash(n)[at]], g.n[at])
+        def given() -> Iterator[pa.RecordBatch]:
+            keys, many = sums.take()
+            for at in range(0, len(many), ROWS_AT_ONCE):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[0][at : at + ROWS_AT_ONCE].view(np.int64)), pa.array(many[at : at + ROWS_AT_ONCE])], ["h", "n"])
 
-    def give(sums: _Sums, words: Words, langs: Words) -> Iterator[pa.RecordBatch]:
-        keys, many = sums.take()
-        for at in range(0, len(many), ROWS_AT_ONCE):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[0][at : at + ROWS_AT_ONCE].view(np.int64)), pa.array(many[at : at + ROWS_AT_ONCE])], ["h", "n"])
+        for batch in batches:
+            for row in batch.to_pylist():
+                g = Grams(row, max_words - 1)
+                if n == 1:
+                    ids, many = g.words()
+                    sums.add([g.of_word[ids]], many)
+                else:
+                    at, h = g.counted(n), g.hash(n - 1)
+                    at = at[among(below, h[at])]
+                    at = at[among(below, h[at + 1])]
+                    sums.add([g.hash(n)[at]], g.n[at])
+                if sums.full():
+                    yield from given()
+        yield from given()
 
-    return _over(dictionary, max_words - 1, look, give, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
+    return packed.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
 
 
-def counts(dictionary: DataFrame, filters: list[np.ndarray], least: int, max_words: int) -> DataFrame:
+def counts(packed: DataFrame, filters: list[np.ndarray], least: int, max_words: int) -> DataFrame:
     """lang, words, phrase, a: exact numbers of the phrases that occur `least` times; words 0 has the language's number of words."""
 
-    def look(g: Grams, sums: _Sums) -> None:
-        ids = g.ids.astype(np.int64)
-        one = np.flatnonzero(g.counted(1))
-        zero = np.zeros(len(one), np.int64)
-        sums.add([zero] * max_words + [g.lang[one]], g.n[one])
-        for n in range(1, max_words + 1):
-            at = np.flatnonzero(g.counted(n))
-            if n < max_words:
-                at = at[among(filters[n - 1], g.hash(n)[at])]
-            else:
-                at = at[among(filters[n - 2], g.hash(n - 1)[at])]
-                at = at[among(filters[n - 2], g.hash(n - 1)[at + 1])]
-            sums.add([*[ids[at + k] if k < n else np.zeros(len(at), np.int64) for k in range(max_words)], g.lang[at]], g.n[at])
-        sums.add(*sums.take())
-
-    def give(sums: _Sums, words: Words, langs: Words) -> Iterator[pa.RecordBatch]:
-        keys, many = sums.take()
-        for at in range(0, len(many), ROWS_AT_ONCE):
-            own = [k[at : at + ROWS_AT_ONCE] for k in keys]
-            size = np.add.reduce([k > 0 for k in own[:-1]])
-            text = pa.array([b" ".join([words.text[i] for i in row if i]) for row in zip(*[k.tolist() for k in own[:-1]], strict=True)], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([langs.text[i].decode() for i in own[-1].tolist()]), pa.array(size.astype(np.int32)), text, pa.array(many[at : at + ROWS_AT_ONCE])], ["lang", "words", "phrase", "a"])
-
-    rows = _over(dictionary, max_words - 1, look, give, "lang string, words int, phrase string, a bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, sums = Words(), {}
+
+        def given() -> Iterator[pa.RecordBatch]:
+            text = words.text
+            for (lang, n), own in sums.items():
+                keys, many = own.take()
+                for at in range(0, len(many), ROWS_AT_ONCE):
+                    ids = np.stack([part for k in keys for part in (k[at : at + ROWS_AT_ONCE] >> 32, k[at : at + ROWS_AT_ONCE] & 0xFFFFFFFF)], 1)[:, :n].tolist() if n else [[]]
+                    made = pa.array([b" ".join([text[i] for i in row]) for row in ids], pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(ids)), pa.array([n] * len(ids), pa.int32()), made, pa.array(many[at : at + ROWS_AT_ONCE])], ["lang", "words", "phrase", "a"])
+            sums.clear()
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                g = Grams(row, max_words - 1)
+                own = np.fromiter(map(words.__getitem__, g.text), np.int64, len(g.text))
+                for n in range(max_words + 1):
+                    to = sums.setdefault((g.lang, n), _Sums(MOST_PHRASES))
+                    if n < 2:
+                        ids, many = g.words()
+                        if n:
+                            on = among(filters[0], g.of_word[ids])
+                            to.add([own[ids[on]] << 32], many[on])
+                        else:
+                            to.add([np.zeros(1, np.int64)], np.array([many.sum()]))
+                        continue
+                    at = g.counted(n)
+                    for k, h in [(0, g.hash(n))] if n < max_words else [(0, g.hash(n - 1)), (1, g.hash(n - 1))]:
+                        at = at[among(filters[min(n, max_words - 1) - 1], h[at + k])]
+                    part = [own[g.ids[at + k]] for k in range(n)] + [np.zeros(len(at), np.int64)] * (n % 2)
+                    to.add(*summed([a << 32 | b for a, b in zip(part[::2], part[1::2], strict=True)], g.n[at]))
+                full = [s.full() for s in sums.values()]
+                if any(full) or sum(s.rows for s in sums.values()) > 3 * MOST_PHRASES or len(words.text) > MOST_WORDS:
+                    yield from given()
+                    if len(words.text) > MOST_WORDS:
+                        words = Words()
+        yield from given()
+
+    rows = packed.mapInArrow(run, "lang string, words int, phrase string, a bigint")
     return rows.groupBy("lang", "words", "phrase").agg(F.sum("a").alias("a")).where((F.col("a") >= least) | (F.col("words") == 0))
 
 
@@ -350,11 +390,11 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST
     """lang, rank, phrase, a, l, r, n, score of each language's first `top` phrases of 2 to max_words words."""
     if max_words < 2:
         raise ValueError(max_words)
-    dictionary = settle(chunks(docs, max_words, one_in), "chunks")
+    packed = settle(blocks(chunks(docs, max_words, one_in)), "chunks")
     filters: list[np.ndarray] = []
     for n in range(1, max_words):
-        filters.append(filter_of(settle(frequent(dictionary, n, filters[-1] if filters else None, least, max_words), "frequent"), most_bits))
-    phrases = settle(counts(dictionary, filters, least, max_words), "phrases")
+        filters.append(filter_of(settle(frequent(packed, n, filters[-1] if filters else None, least, max_words), "frequent"), most_bits))
+    phrases = settle(counts(packed, filters, least, max_words), "phrases")
     rows = not_covered(scores(phrases), phrases)
     best = first_of(rows, "lang", [F.col("score").desc(), F.col("a").desc(), F.col("phrase")], top)
     total = phrases.where("words = 0").select("lang", F.col("a").alias("n"))

@@ -100,7 +100,7 @@ def test_odd_rows(spark):
 
 def test_small_filters_and_tasks_change_nothing(spark, monkeypatch):
     rows = odd()
-    for name in ("MOST_WORDS", "MOST_CHUNKS", "MOST_PHRASES", "ROWS_AT_ONCE"):
+    for name in ("MOST_WORDS", "MOST_CHUNKS", "MOST_PHRASES", "ROWS_AT_ONCE", "BLOCK_CHUNKS"):
         monkeypatch.setattr(c, name, 7)
     assert got(c.collocations(spark.createDataFrame(rows, SCHEMA), least=5, most_bits=64)) == plain(rows, 5)
 
