@@ -11,7 +11,10 @@ from lodestream.operators import hidden as hd
 from lodestream.operators import learning as ln
 from lodestream.operators import signals as sg
 from lodestream.operators import volatility as vo
+from lodestream.plans.market import TS
+from lodestream.plans.regimes import STATE
 from lodestream.plans.registry import query
+from lodestream.streaming import regimes as sr
 
 
 @query("s12_21_hidden_regimes")
@@ -97,3 +100,8 @@ def _(spark, d):
 @query("s11_18_basket_positions")
 def _(spark, d):
     return bk.positions(bk.spreads(bk.panels(v.bars(spark, d), _baskets(spark, d)), 60, 2), 60, enter=1.5)
+
+
+@query("s10_11_stream_regimes", STATE + f" SELECT symbol, {TS}, round(strength, 6) AS strength, structure, vol, label FROM st")
+def _(spark, d):
+    return sr.run_over(v.bars(spark, d), "stream-regimes")
