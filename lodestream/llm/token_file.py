@@ -1,6 +1,7 @@
 """Token-ID output in a bit-plane format.
 
-Documents are range-partitioned and sorted by id; each partition becomes one shard of consecutive ids. A shard's ids,
+Documents are range-partitioned and sorted by id; each partition becomes one shard of consecutive ids, and many rows with one id lie in
+several shards. A shard's ids,
 documents one after the other, are cut into blocks of BLOCK_IDS. A block is transposed into byte planes (byte k of every
 id) or bit planes (bit k of every id), planes that are all zero are left out, and each plane is compressed with zstandard.
 
@@ -8,12 +9,14 @@ The files are Parquet written by Spark, so a lost executor leaves no half file:
 column and the chunk index in the others (shard, chunk, first id's place in the shard, number of ids, and the documents' parts
 that lie in the block). The index is read without the planes. A document may run over any number of blocks.
 
-Defined results: null and empty text have only the end id; equal ids of documents stand next to each other, in the order of their
-texts; null document ids come first; an empty table gives an empty file.
+Defined results: null and empty text have only the end id; equal ids of documents stand next to each other, in the order of a
+hash of their texts, null first; null document ids come first; an empty table gives an empty file.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import os
 import re
 import struct
@@ -34,6 +37,12 @@ BLOCK_IDS = 1 << 16
 LEVEL = 3
 CACHE_WORDS = 500_000
 WORDS_AT_ONCE = 500
+#: A shard holds about so many documents at most.
+SHARD_DOCUMENTS = 20_000
+
+#: How a vocabulary's file says that it cuts texts as this module does. Any other vocabulary gets its texts whole.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
 
 _PART = pa.struct([("doc_no", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("offset", pa.int64()), ("total", pa.int64())])
 _CHUNK = pa.schema(
@@ -58,11 +67,23 @@ class WordEncoder:
         self.library.no_padding()
         letters = "a-zß-öø-ÿ"
         self.other = re.compile("[^\\t-\\r -~À-ÖØ-öø-ÿ]|<[|]").search
+        if not self._cuts_alike(path):
+            self.other = re.compile("").search  # found in every text
         self.find = re.compile(rf"[{letters}]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\t-\r {letters}0-9]+").findall
         self.known: dict[str, bytes] = {}
         size = self.library.get_vocab_size()
         self.final = np.array([(self.library.id_to_token(k) or "").endswith("</w>") for k in range(size)])
 
+    @staticmethod
+    def _cuts_alike(path: str) -> bool:
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        steps = (file.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        split = steps[0].get("pattern") == SPLIT and steps[0].get("behavior") == "Removed" and steps[0].get("invert")
+        plain = [s.get("type") for s in steps[1:]] == ["ByteLevel"] and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
+        tokens = all(t["content"].startswith("<|") for t in file.get("added_tokens", []))
+        return bool(file.get("normalizer") == NORMALIZER and split and plain and tokens and not file["model"].get("dropout"))
+
     def words(self, words: list[str]) -> list[bytes]:
         """Ids of each word: many words are one text for the library, cut again after tokens that end a word."""
         out: list[bytes] = []
@@ -133,7 +154,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, mode: str
     if mode not in ("byte", "bit"):
         raise ValueError(mode)
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(docs.count() / SHARD_DOCUMENTS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -167,8 +188,11 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, mode: str
         if held:
             yield flush()
 
-    ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(run, _CHUNK_DDL)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # rows with one id, null ids too, are dealt by their texts, and equal rows, which are alike, by any number
+    order = ["doc_id", "h", "place"]
+    ordered = rows.withColumns({"h": F.when(F.col("text").isNotNull(), F.xxhash64("text")), "place": F.monotonically_increasing_id()}).repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    return ordered.select("doc_id", "text").mapInArrow(run, _CHUNK_DDL)
 
 
 def write_documents(docs: DataFrame, path: str, vocabulary: str, **more) -> None:
