@@ -10,7 +10,7 @@ Shards are drawn by halving: the driver draws what each source gives to runs of
 tasks draw the shards of a run, each run from its own seed. Draws of a shard follow what each source has left.
 
 Offsets in a source's stream come from three-level sums over hashed chunks of documents and runs of chunks, so a source that
-holds a third of all rows is no hot group. What passes through the driver is one row a source and those numbers.
+holds a third of all rows is no hot group, nor is a row that stands there often. What passes through the driver is one row a source and those numbers.
 
 Defined results: null or blank text has no words, is in no block and is never taken; a null source is a source of its
 own, last in order; documents that are the same row are taken each for itself; an empty table gives an empty mix.
@@ -146,6 +146,21 @@ def draw_shards(left: np.ndarray, shards: int, shard_slots: int, rng: np.random.
         yield got
 
 
+def _spread_copies(base: DataFrame, keys: Sequence[str], chunks: int) -> DataFrame:
+    """Adds chunk, by a hash of id and text. Of a row that stands more than CHUNK_DOCUMENTS times the copies, which are alike, are made anew from their
+    number, each with a chunk of its own: no task holds all of them, and reruns agree."""
+    hot = settle(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > CHUNK_DOCUMENTS), "hot")
+    chunk = lambda *more: F.pmod(F.xxhash64("doc_id", "h", *more), F.lit(chunks))
+    if hot.isEmpty():
+        return base.withColumn("chunk", chunk())
+    hot = hot.select(*[F.col(k).alias(f"hot_{k}") for k in keys], "copies")
+    same = [F.col(k).eqNullSafe(F.col(f"hot_{k}")) for k in keys]
+    rest = base.join(hot, same, "left_anti").withColumn("chunk", chunk())
+    one = base.join(hot, same, "left_semi").dropDuplicates(list(keys)).join(hot, same)
+    copies = one.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).withColumn("chunk", chunk("copy"))
+    return rest.unionByName(copies.select(*rest.columns))
+
+
 def place(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """doc_id, source, size, start (words of the source before it) and the columns to keep; written to the shared folder."""
     n = docs.count()
@@ -153,7 +168,8 @@ def place(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     base = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"),
         F.xxhash64("text").alias("h"), *[F.col(c).alias(f"kept_{c}") for c in keep],
-    ).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "h"), F.lit(chunks)))
+    )
+    base = _spread_copies(base, ["doc_id", "source", "h", *[f"kept_{c}" for c in keep if c != "text"]], chunks)
     inside = Window.partitionBy("source", "chunk").orderBy("doc_id", "h").rowsBetween(Window.unboundedPreceding, -1)
     rows = settle(base.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0))), "placed")
     # one row a source and chunk, and one a source and run of chunks: no window of a hot source holds all its chunks

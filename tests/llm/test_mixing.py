@@ -125,3 +125,22 @@ def test_odd_rows(spark):
     mixed = m.mix_documents(df, block=16, shard_slots=8).collect()
     assert sum(size(r.text) for r in mixed) == sum(r.taken for r in got)
     assert m.mix_documents(df.limit(0)).columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+@pytest.mark.parametrize("keep", [(), ("text", "lang")])
+def test_equal_rows_are_dealt_over_chunks(spark, keep):
+    rows = [(5, "one two three", "en", "web")] * 4000 + [(None, None, None, None)] * 900 + [(k, f"word {k} " * (k % 4), "de", "web") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(5)
+    placed = m.place(df, keep)
+    got = Counter((r.doc_id, r.source, r["size"]) for r in placed.collect())
+    assert got == Counter((a, d, size(b)) for a, b, _, d in rows)
+    for source in ("web", None):  # starts have no gap and no overlap
+        at = 0
+        for r in sorted(((r.start, r["size"]) for r in placed.collect() if r.source == source and r["size"])):
+            assert r[0] == at
+            at += r[1]
+    base = df.selectExpr("doc_id", "source", "xxhash64(text) AS h")
+    held = [r["count"] for r in m._spread_copies(base, ["doc_id", "source", "h"], 40).groupBy("chunk").count().collect()]
+    assert len(held) == 40 and max(held) < 2 * sum(held) / 40
+    again = m.place(df.repartition(3), keep)
+    assert Counter((r.doc_id, r.start) for r in placed.collect()) == Counter((r.doc_id, r.start) for r in again.collect())
