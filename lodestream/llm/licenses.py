@@ -3,8 +3,8 @@
 The automaton holds all stretches of all templates. A text's words are streamed through it; after each word the state is the
 longest suffix of the text so far that occurs in some template, its length the matching statistic. Phrases are templates, too:
 a phrase stands where its words are a suffix of the current match. Longer templates are found by
-chaining: maximal matches of at least MIN_MATCH words that lie in order in text and template are joined when the gaps
-are small, and a chain that covers enough of a template, MIN_COVER of its words or MIN_WORDS of them, is a span with that template's
+chaining: maximal matches of at least MIN_MATCH words, at every place where a template has them, that lie in order in text and template
+are joined when the gaps are small, by dynamic programming over their ends, and a chain that covers enough of a template, MIN_COVER of its words or MIN_WORDS of them, is a span with that template's
 label. Licences borrow from each other: of spans that share most of their words, the one that covers most words stays.
 
 Runs of words that are in no template reset the automaton, so most of a text is passed over by array operations.
@@ -15,6 +15,7 @@ each give a row.
 
 from __future__ import annotations
 
+import bisect
 import functools
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -212,47 +213,84 @@ class LicenseAutomaton:
         return places, matches
 
     def _chain(self, matches: list[tuple[int, int, int]]) -> list[Span]:
-        """Chain matches in order of the text, per template, while they go forward in the template and gaps are small."""
-        open_: dict[int, list[int]] = {}
-        spans: list[Span] = []
-
-        def close(t: int) -> None:
-            first, last, _, covered = open_.pop(t)
-            label, numbers = self.texts[t]
-            if covered >= min(self.min_words, self.min_cover * len(numbers)):
-                spans.append(Span(label, first, last, min(1.0, covered / len(numbers)), covered))
-
+        """Chains of matches by template, then of those that share most of their words the ones with most covered."""
+        anchors: dict[int, list[Anchor]] = {}
         for first, size, state in matches:
             for t, end in self._templates(state, size):
-                start = end - size
-                if t in open_:
-                    chain = open_[t]
-                    skip = start - chain[2]
-                    if first - chain[1] <= self.max_gap and 0 <= skip <= self.max_gap:
-                        chain[1], chain[2], chain[3] = first + size, end, chain[3] + size
-                        continue
-                    close(t)
-                open_[t] = [first, first + size, end, size]
-        for t in list(open_):
-            close(t)
-        stay: list[Span] = []
+                anchors.setdefault(t, []).append((first, size, end - size))
+        spans = []
+        for t, own in anchors.items():
+            label, numbers = self.texts[t]
+            for first, last, covered in chains(own, self.max_gap, min(self.min_words, self.min_cover * len(numbers))):
+                spans.append(Span(label, first, last, covered / len(numbers), covered))
+        near: dict[int, list[Span]] = {}  # spans that stay, by where they begin, in steps of the longest
+        step = max([s.last - s.first for s in spans], default=1)
         for s in sorted(spans, key=lambda s: (-s.words, s.first, s.label, -s.cover)):
-            if all(2 * (min(s.last, o.last) - max(s.first, o.first)) <= s.last - s.first for o in stay):
-                stay.append(s)
-        return sorted(stay, key=lambda s: (s.first, s.label))
+            others = (o for k in range(s.first // step - 1, s.last // step + 1) for o in near.get(k, ()))
+            if all(2 * (min(s.last, o.last) - max(s.first, o.first)) <= s.last - s.first for o in others):
+                near.setdefault(s.first // step, []).append(s)
+        return sorted((s for own in near.values() for s in own), key=lambda s: (s.first, s.label))
 
     @functools.lru_cache(maxsize=1 << 14)  # noqa: B019 - one automaton lives as long as its process
     def _templates(self, state: int, size: int) -> tuple[tuple[int, int], ...]:
-        """Every template that holds the match, and where it ends there first."""
+        """Every template that holds the match, with each place where it ends there."""
         t, end = self.where[state]
         match = self.texts[t][1][end - size : end]
-        out = []
-        for k, (_, numbers) in enumerate(self.texts):
-            for e in range(size, len(numbers) + 1):
-                if numbers[e - size : e] == match:
-                    out.append((k, e))
-                    break
-        return tuple(out)
+        return tuple((k, e) for k, (_, numbers) in enumerate(self.texts) for e in range(size, len(numbers) + 1) if numbers[e - size : e] == match)
+
+
+#: A match at one place of a template: its first word in the text, its size, its first word in the template.
+Anchor = tuple[int, int, int]
+
+
+def best_chains(anchors: Sequence[Anchor], gap: int) -> list[tuple[int, int]]:
+    """(covered, first word) of the best chain that ends with each anchor; anchors in order of their ends in the text.
+
+    The next of a chain ends later in the text and in the template, and leaves out at most gap words of either; where it begins before
+    the last one's end, what they share counts once. Of chains that cover as much the one that starts last is best.
+    """
+    out: list[tuple[int, int]] = []
+    low = 0
+    for k, (first, size, place) in enumerate(anchors):
+        while anchors[low][0] + anchors[low][1] < first - gap:
+            low += 1
+        best = (size, first)
+        for b in range(low, k):
+            f, n, p = anchors[b]
+            shared = max(0, f + n - first, p + n - place)
+            if f + n < first + size and p + n < place + size and shared < size and place - p - n <= gap:
+                best = max(best, (out[b][0] + size - shared, out[b][1]))
+        out.append(best)
+    return out
+
+
+def _meets(taken: list[tuple[int, int]], first: int, last: int) -> bool:
+    """Whether words first to last meet one of the sorted, disjoint ranges."""
+    at = bisect.bisect_left(taken, (first, first))
+    return (at < len(taken) and taken[at][0] < last) or (at > 0 and taken[at - 1][1] > first)
+
+
+def chains(anchors: Sequence[Anchor], gap: int, least: float) -> list[tuple[int, int, int]]:
+    """(first, last, covered) of chains that cover at least so many words and share none, the most covered first.
+
+    Whenever better chains have taken words of some others, chains are sought anew among the anchors that lie apart from all taken.
+    """
+    todo, found = sorted(anchors, key=lambda a: (a[0] + a[1], a)), []
+    while todo:
+        best = best_chains(todo, gap)
+        ends = sorted((-covered, first, a[0] + a[1]) for a, (covered, first) in zip(todo, best, strict=True) if covered >= least)
+        taken: list[tuple[int, int]] = []
+        again = False
+        for covered, first, last in ends:
+            if _meets(taken, first, last):
+                again = True
+                continue
+            bisect.insort(taken, (first, last))
+            found.append((first, last, -covered))
+        if not again:
+            break
+        todo = [a for a in todo if not _meets(taken, a[0], a[0] + a[1])]
+    return found
 
 
 _AUTOMATA: dict[tuple, LicenseAutomaton] = {}

@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from lodestream.llm import licenses as li
 from lodestream.session import table
 
@@ -58,7 +60,43 @@ def test_templates():
     assert a.scan(li.words_of(b"this program is good and the software is free of bugs, without any doubt"))[1] == []
 
 
-def plain_spans(words, templates, least, gap, cover, enough):
+def follows(a, b, gap):
+    """Words that b adds to a chain that ends with a, or 0 if it can't be next: counted word by word."""
+    text, place = set(range(a[0] + a[1])), set(range(a[2] + a[1]))
+    if b[0] + b[1] <= a[0] + a[1] or b[2] + b[1] <= a[2] + a[1] or b[0] - a[0] - a[1] > gap or b[2] - a[2] - a[1] > gap:
+        return 0
+    return sum(b[0] + k not in text and b[2] + k not in place for k in range(b[1]))
+
+
+def plain_chains(anchors, gap, least, every):
+    """Rounds of best chains; every: by listing all chains, else by the best chain that ends with each anchor."""
+    todo, found = list(anchors), []
+    while todo:
+        if every:
+            ends, stack = {a: [] for a in todo}, [((a,), a[1]) for a in todo]
+            while stack:
+                chain, covered = stack.pop()
+                ends[chain[-1]].append((covered, chain[0][0]))
+                stack += [((*chain, b), covered + more) for b in todo if (more := follows(chain[-1], b, gap))]
+            best = {a: max(v) for a, v in ends.items()}
+        else:
+            best = {}
+            for b in sorted(todo, key=lambda a: a[0] + a[1]):
+                best[b] = max([(b[1], b[0])] + [(v[0] + more, v[1]) for a, v in best.items() if a[0] + a[1] >= b[0] - gap and (more := follows(a, b, gap))])
+        taken, again = [], False
+        for covered, first, last in sorted((-c, f, a[0] + a[1]) for a, (c, f) in best.items() if c >= least):
+            if any(f < last and first < z for f, z in taken):
+                again = True
+            else:
+                taken.append((first, last))
+                found.append((first, last, -covered))
+        if not again:
+            break
+        todo = [a for a in todo if not any(f < a[0] + a[1] and a[0] < z for f, z in taken)]
+    return found
+
+
+def plain_spans(words, templates, least, gap, cover, enough, every=False):
     """Matching statistics by looking every stretch up in a set, then chains by the stated rule."""
     texts = [(label, li.words_of(t.encode())) for label, t in templates]
     longest = max((len(t) for _, t in texts), default=0)
@@ -70,27 +108,11 @@ def plain_spans(words, templates, least, gap, cover, enough):
             size -= 1
         stat.append(size)
     matches = [(i + 1 - n, n) for i, n in enumerate(stat) if n >= least and (i + 1 == len(words) or stat[i + 1] <= n)]
-    spans, open_ = [], {}
-
-    def close(t):
-        first, last, _, covered = open_.pop(t)
-        if covered >= enough or covered >= cover * len(texts[t][1]):
-            spans.append((covered, first, last, texts[t][0], min(1.0, covered / len(texts[t][1]))))
-
-    for first, n in matches:
-        for t, (_, own) in enumerate(texts):
-            at = next((k for k in range(len(own) - n + 1) if own[k : k + n] == words[first : first + n]), None)
-            if at is None:
-                continue
-            if t in open_ and first - open_[t][1] <= gap and 0 <= at - open_[t][2] <= gap:
-                old = open_[t]
-                open_[t] = (old[0], first + n, at + n, old[3] + n)
-                continue
-            if t in open_:
-                close(t)
-            open_[t] = (first, first + n, at + n, n)
-    for t in list(open_):
-        close(t)
+    spans = []
+    for label, own in texts:
+        anchors = [(f, n, k) for f, n in matches for k in range(len(own) - n + 1) if own[k : k + n] == words[f : f + n]]
+        for first, last, covered in plain_chains(anchors, gap, min(enough, cover * len(own)), every):
+            spans.append((covered, first, last, label, covered / len(own)))
     spans.sort(key=lambda s: (-s[0], s[1], s[3], -s[4]))
     stay = []
     for s in spans:
@@ -111,7 +133,7 @@ def test_matches_and_chains_against_plain():
             t = rng.choice(templates)[1].split()
             words += t[rng.randint(0, 3) : rng.randint(3, len(t))] if rng.random() < 0.6 else [rng.choice("abcdeq") for _ in range(rng.randint(1, 5))]
         words = [w.encode() for w in words]
-        matches, spans = plain_spans(words, templates, 2, 3, 0.6, 7)
+        matches, spans = plain_spans(words, templates, 2, 3, 0.6, 7, every=True)
         assert [(f, n) for f, n, _ in a.matches(words)[1]] == matches, words
         got = sorted((s.label, s.first, s.last, s.cover) for s in a.scan(words)[1])
         assert got == spans, words
@@ -119,6 +141,39 @@ def test_matches_and_chains_against_plain():
     assert found > 200
 
 
+def put_in(words, n):
+    """A word of its own after every n-th."""
+    return [x for k, w in enumerate(words, 1) for x in ([w, b"zzz"] if k % n == 0 else [w])]
+
+
+def test_template_that_holds_a_stretch_twice():
+    template = "a b c d e f g h i j a b c d k l m n o p"
+    a = li.LicenseAutomaton((), [("x", template)], 4, 8, 0.6, 20)
+    words = [w.encode() for w in "a b c d e f g h i j zz a b c d zz k l m n o p".split()]
+    assert [(s.first, s.last, s.cover) for s in a.scan(words)[1]] == [(0, 22, 1.0)]
+    # twice in a row, and with a piece of it once more in between
+    assert [(s.first, s.last, s.cover) for s in a.scan(words + words)[1]] == [(0, 22, 1.0), (22, 44, 1.0)]
+
+
+@pytest.mark.parametrize("n", [5, 7, 9])
+def test_whole_licences_with_words_put_in(n):
+    a = li.LicenseAutomaton(li.PHRASES, li.TEMPLATES, li.MIN_MATCH, li.MAX_GAP, li.MIN_COVER, li.MIN_WORDS)
+    for label, text in li.TEMPLATES:
+        own = li.words_of(text.encode())
+        words, rest = put_in(own, n), len(own) % n
+        spans = a.scan(words)[1]
+        best = max(spans, key=lambda s: s.words)
+        covered = len(own) - (rest if rest < li.MIN_MATCH else 0)
+        assert best.label == label and len([s for s in spans if s.label == label]) == 1 and best.words >= covered, (label, n, spans)
+
+
+def test_many_copies_in_one_text():
+    a = li.LicenseAutomaton(li.PHRASES, li.TEMPLATES, li.MIN_MATCH, li.MAX_GAP, li.MIN_COVER, li.MIN_WORDS)
+    one = li.words_of(dict(li.TEMPLATES)["mit"].encode())
+    spans = a.scan(one * 2000)[1]
+    assert len(spans) == 2000 and all(s.cover == 1.0 for s in spans)
+
+
 def test_whole_query_against_plain(spark, sf):
     docs = table(spark, sf, "documents")
     got = {r.doc_id: r for r in li.op3_licenses(spark, sf).collect()}
