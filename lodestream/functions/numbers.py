@@ -1,11 +1,11 @@
-"""Scalar expressions: normal distribution, clipping, costs, sizes, quantile bins."""
+"""Scalar expressions: normal distribution, clipping, costs, sizes."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -85,18 +85,6 @@ def session_hours(ts: Column, start: int, end: int) -> Column:
     return (h >= start) & (h < end) if start <= end else (h >= start) | (h < end)
 
 
-def quantile_bins(rows: DataFrame, c: str, q: int, by: list[str] | None = None, name: str = "bin") -> DataFrame:
-    """Adds the right-closed quantile bin from 0 to q - 1; edges are exact and interpolated, equal edges are one.
-
-    One row of edges a group is joined back; rows are not sorted as a whole.
-    """
-    by = by or []
-    edges = rows.groupBy(*by).agg(F.expr(f"array_distinct(percentile({c}, array({','.join(str(i / q) for i in range(q + 1))})))").alias("_e"))
-    inner = F.slice("_e", 2, F.greatest(F.size("_e") - 2, F.lit(0)))
-    x = rows.join(edges, by) if by else rows.join(F.broadcast(edges))
-    return x.withColumn(name, F.when(F.col(c).isNotNull(), F.size(F.filter(inner, lambda e: e < F.col(c))))).drop("_e")
-
-
 def confident(side: Column, p: Column, least: float) -> Column:
     """The side where the probability is at least so large, else 0."""
     return F.when(p >= least, side).otherwise(0)

@@ -139,8 +139,7 @@ def volatility_regime(bars: DataFrame, n: int = 60, look: int = 500, low: float
     """
     x = bars.withColumn("lr", log_ret("close"))
     x = x.withColumn("rv", F.when(F.count("lr").over(last_n(n)) >= n // 2, F.stddev_samp("lr").over(last_n(n))))
-    x = rolling_rank(x.withColumn("_there", F.count("rv").over(last_n(look))), "rv", look, "vol_rank")
-    x = x.withColumn("vol_rank", F.when(F.col("_there") >= look // 2, F.col("vol_rank"))).drop("_there")
+    x = rolling_rank(x, "rv", look, "vol_rank", look // 2)
     return x.withColumn("vol_regime", F.when(F.col("vol_rank") > high, "high").when(F.col("vol_rank") < low, "low").otherwise("normal")).drop("lr")
 
 

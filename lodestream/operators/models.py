@@ -179,7 +179,7 @@ def kendall(rows: DataFrame, a: str, b: str, by: Sequence[str]) -> DataFrame:
 
 def lift_report(rows: DataFrame, features: Sequence[str], ret: str, q: int = 10) -> DataFrame:
     """Mean result of each quantile bin of each feature against all: one long table, one edge row a feature."""
-    from lodestream.functions.numbers import quantile_bins
+    from lodestream.operators.quantiles import quantile_bins
 
     long = rows.select(ret, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features])).alias("_x")).select(ret, "_x.*").where(F.col("value").isNotNull() & F.col(ret).isNotNull())
     g = quantile_bins(long, "value", q, ["feature"]).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"), F.avg(ret).alias("mean"), F.sum(ret).alias("_s"))
@@ -194,7 +194,7 @@ def lift_summary(report: DataFrame) -> DataFrame:
 
 def quintiles(rows: DataFrame, z: str, fwd: str, q: int = 5) -> DataFrame:
     """One row: means of the forward return by quantile bin of z, their rank correlation with the bin, and whether they run one way."""
-    from lodestream.functions.numbers import quantile_bins
+    from lodestream.operators.quantiles import quantile_bins
 
     x = rows.where(F.col(z).isNotNull() & F.col(fwd).isNotNull()).select(z, fwd)
     g = quantile_bins(x, z, q).groupBy("bin").agg(F.avg(fwd).alias("mean"))

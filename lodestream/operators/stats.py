@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestream.functions.numbers import quantile_bins
+from lodestream.operators.quantiles import quantile_bins
 
 
 def lift(rows: DataFrame, feature: str, ret: str, q: int = 10, by: list[str] | None = None) -> DataFrame:

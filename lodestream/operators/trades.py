@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestream.session import settle
+from lodestream.operators.quantiles import quantiles, running_counts
 
 
 def trade_metrics(trades: DataFrame, by: Sequence[str], ret: str = "ret") -> DataFrame:
@@ -44,25 +44,37 @@ def streaks(trades: DataFrame, by: Sequence[str], order: Sequence[str], ret: str
     return runs.groupBy(*by).agg(F.coalesce(F.max(F.when(F.col("_s") == -1, F.col("n"))), F.lit(0)).alias("losing"), F.coalesce(F.max(F.when(F.col("_s") == 1, F.col("n"))), F.lit(0)).alias("winning"))
 
 
-def fifo(fills: DataFrame, order: Sequence[str], by: str = "symbol") -> DataFrame:
+def fifo(fills: DataFrame, order: Sequence[str], by: str = "symbol", span: str = "30 days") -> DataFrame:
     """Each sale with the quantity and cost of the lots it takes, first in first out; what no lot covers has no cost.
 
     Buys and sales are spans of one running quantity. Where sales run ahead of buys, the uncovered part is skipped, so spans of
     later sales start at what was bought. Matching spans is an overlap join on the quantity axis, no loop.
+    Running quantities are two-level, inside time spans of order's first column and over spans, so no task holds a series.
     """
-    w = Window.partitionBy(by).orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     buy = F.col("side") == "buy"
-    x = fills.withColumn("_n", F.row_number().over(w)).withColumn("_b", F.sum(F.when(buy, F.col("qty")).otherwise(0.0)).over(upto)).withColumn("_s", F.sum(F.when(buy, 0.0).otherwise(F.col("qty"))).over(upto))
-    x = x.withColumn("_c", F.col("_s") + F.least(F.lit(0.0), F.min(F.when(~buy, F.col("_b") - F.col("_s"))).over(upto)))
-    lots = x.where(buy).select(by, F.col("price").alias("lot_price"), (F.col("_b") - F.col("qty")).alias("lo"), F.col("_b").alias("hi"))
-    sales = x.where(~buy).withColumn("_p", F.coalesce(F.lag("_c").over(w), F.lit(0.0))).select(by, "_n", "qty", "price", F.col("_p").alias("a"), F.col("_c").alias("z"))
-    size = 500.0
-    grid = lambda lo, hi: F.explode(F.sequence(F.floor(lo / size), F.floor(hi / size)))
-    s = sales.where("z > a").withColumn("_k", grid(F.col("a"), F.col("z")))
-    lot = lots.withColumn("_k", grid(F.col("lo"), F.col("hi"))).withColumnRenamed(by, "_by")
+    x = fills.withColumns({"_t": F.window(order[0], span)["start"], "_v": F.when(buy, F.col("qty")).otherwise(0.0), "_u": F.when(buy, 0.0).otherwise(F.col("qty"))})
+    # inside a time span: running buys, sales, rows, and how far sales have run ahead
+    inside = Window.partitionBy(by, "_t").orderBy(*order)
+    upto, earlier = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumns({"_b": F.sum("_v").over(upto), "_s": F.sum("_u").over(upto), "_n": F.row_number().over(inside)}).withColumn("_d", F.when(~buy, F.col("_b") - F.col("_s")))
+    x = x.withColumns({"_m": F.min("_d").over(upto), "_l": F.min("_d").over(earlier)})
+    # over spans: one row each
+    spans = x.groupBy(by, "_t").agg(F.sum("_v").alias("sb"), F.sum("_u").alias("ss"), F.count(F.lit(1)).alias("sn"), F.min("_d").alias("sm"))
+    before = Window.partitionBy(by).orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumns({f"_p{c}": F.coalesce(F.sum(f"s{c}").over(before), F.lit(0)) for c in "bsn"})
+    spans = spans.withColumn("_pm", F.min(F.col("sm") + F.col("_pb") - F.col("_ps")).over(before)).select(by, "_t", "_pb", "_ps", "_pn", "_pm")
+    x = x.join(spans, [by, "_t"])
+    ahead = lambda own: F.least(F.lit(0.0), F.col(own) + F.col("_pb") - F.col("_ps"), F.col("_pm"))  # noqa: E731  NULLs are passed over
+    x = x.withColumns({"_n": (F.col("_n") + F.col("_pn")).cast("int"), "_b": F.col("_b") + F.col("_pb"), "_s": F.col("_s") + F.col("_ps"), "_m": ahead("_m"), "_l": ahead("_l")})
+    # cells of the quantity axis are as long as the series' mean lot
+    size = x.where(buy & (F.col("qty") > 0)).groupBy(F.col(by).alias("_k_by")).agg(F.avg("qty").alias("_size"))
+    lots = x.where(buy).join(size, F.col(by) == F.col("_k_by")).select(by, "_size", F.col("price").alias("lot_price"), (F.col("_b") - F.col("qty")).alias("lo"), F.col("_b").alias("hi"))
+    sales = x.where(~buy).select(by, "_n", "qty", "price", (F.col("_s") - F.col("qty") + F.col("_l")).alias("a"), (F.col("_s") + F.col("_m")).alias("z"))
+    grid = lambda lo, hi: F.explode(F.sequence(F.floor(lo / F.col("_size")), F.floor(hi / F.col("_size"))))
+    s = sales.where("z > a").join(size, F.col(by) == F.col("_k_by")).drop("_k_by").withColumn("_k", grid(F.col("a"), F.col("z")))
+    lot = lots.withColumn("_k", grid(F.col("lo"), F.col("hi"))).drop("_size").withColumnRenamed(by, "_by")
     # a pair that shares several cells counts in the cell where its overlap starts
-    hit = s.join(lot, (F.col(by) == F.col("_by")) & (s._k == lot._k) & (F.col("lo") < F.col("z")) & (F.col("a") < F.col("hi")) & (s._k == F.floor(F.greatest("lo", "a") / size)))
+    hit = s.join(lot, (F.col(by) == F.col("_by")) & (s._k == lot._k) & (F.col("lo") < F.col("z")) & (F.col("a") < F.col("hi")) & (s._k == F.floor(F.greatest("lo", "a") / F.col("_size"))))
     part = F.least("hi", "z") - F.greatest("lo", "a")
     cost = hit.groupBy(by, "_n").agg(F.sum(part).alias("matched"), F.sum(part * F.col("lot_price")).alias("cost"))
     out = sales.join(cost, [by, "_n"], "left").fillna(0.0, ["matched", "cost"])
@@ -82,13 +94,7 @@ def nearest_ranks(rows: DataFrame, by: str, c: str, shares: Mapping[str, float])
     Equal values are counted by partial sums, then counts run in two levels: one sum a range of sorted values, then inside the
     range. No group is ever in one task; what is brought together is one row a group and range.
     """
-    # settled, as the ranges have to be the same in both reads
-    x = settle(rows.where(F.col(c).isNotNull()).groupBy(by, c).agg(F.count(F.lit(1)).alias("_n")).repartitionByRange(by, c).withColumn("_r", F.spark_partition_id()), "ranks")
-    sums = x.groupBy(by, "_r").agg(F.sum("_n").alias("_s"))
-    all_ = Window.partitionBy(by)
-    sums = sums.select(by, "_r", F.sum("_s").over(all_).alias("_all"), (F.sum("_s").over(all_.orderBy("_r")) - F.col("_s")).alias("_before"))
-    inside = Window.partitionBy(by, "_r").orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("_in", F.sum("_n").over(inside)).join(sums, [by, "_r"]).withColumn("_upto", F.col("_in") + F.col("_before"))
+    x = running_counts(rows, [by], c)
     rank = lambda q: F.round(q * (F.col("_all") - 1)) + 1
     return x.groupBy(by).agg(*[F.min(F.when(F.col("_upto") >= rank(q), F.col(c))).alias(k) for k, q in shares.items()])
 
@@ -135,7 +141,9 @@ def fill_stats(orders: DataFrame, by: Sequence[str]) -> DataFrame:
 def slippage(records: DataFrame, kind: str = "kind", bps: str = "bps") -> DataFrame:
     """n and median of all records and of each kind."""
     every = records.withColumn(kind, F.explode(F.array(F.lit("all"), F.col(kind))))
-    return every.groupBy(kind).agg(F.count(F.lit(1)).alias("n"), F.percentile(bps, 0.5).alias("median_bps"))
+    n = every.groupBy(F.col(kind).alias("_kind")).agg(F.count(F.lit(1)).alias("n"))
+    middle = quantiles(every.select(kind, bps), [kind], bps, {"median_bps": 0.5}).drop("n")
+    return n.join(middle, F.col("_kind").eqNullSafe(F.col(kind)), "left").select(F.col("_kind").alias(kind), "n", "median_bps")
 
 
 def chase_costs(events: DataFrame, budget: float, by: str = "symbol") -> DataFrame:

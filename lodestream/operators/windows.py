@@ -6,6 +6,7 @@ rows runs on many chunks of one series at once, and no task holds more than a ch
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Sequence
 
@@ -67,22 +68,23 @@ def rolling_apply(rows: DataFrame, value: str, n: int, function: Callable[[np.nd
     return over_chunks(rows, [value], n, work, name, by, order, chunk)
 
 
-def rolling_rank(rows: DataFrame, value: str, n: int, name: str = "rank", by: str = "symbol", order: Sequence[str] = ("ts",), chunk: int | None = None) -> DataFrame:
+def rolling_rank(rows: DataFrame, value: str, n: int, name: str = "rank", least: int = 0, by: str = "symbol", order: Sequence[str] = ("ts",), chunk: int | None = None) -> DataFrame:
     """Adds the share of the last n rows whose value is at most the row's own; rows without a value are never so, and have 0.
+    Null where fewer than `least` of them have a value.
 
     The window's values are kept in order: one comes in, one goes, and the rank is a binary search.
     """
 
     def work(x: np.ndarray, first: int) -> np.ndarray:
         held: list[float] = []
-        out = np.zeros(len(x) - first)
-        for i, v in enumerate(x.tolist()):
-            if i >= n and (gone := x[i - n]) == gone:
+        out, values = np.zeros(len(x) - first), x.tolist()
+        for i, v in enumerate(values):
+            if i >= n and (gone := values[i - n]) == gone:
                 del held[bisect_left(held, gone)]
             if v == v:
                 insort(held, v)
-                if i >= first:
-                    out[i - first] = bisect_right(held, v) / min(i + 1, n)
+            if i >= first:
+                out[i - first] = math.nan if len(held) < least else bisect_right(held, v) / min(i + 1, n) if v == v else 0.0
         return out
 
     return over_chunks(rows, [value], n, work, name, by, order, chunk)

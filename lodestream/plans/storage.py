@@ -62,20 +62,29 @@ def _(spark, d):
     return files.groupBy(F.regexp_extract("file", "symbol=([^/]+)", 1).alias("symbol")).agg(F.sum("rows").alias("rows"))
 
 
-@query("s1_7_trade_dump", f"WITH {T} SELECT symbol, {TS}, trade_id, round(price, 6) AS price, amount, side FROM ticks WHERE symbol = 'S5'")
+def _dumps(root, rows, header, read):
+    """A dump a symbol, written in one job, and all of them read again."""
+    writer = rows.write.partitionBy("symbol")
+    (writer.option("header", "true") if header else writer).csv(root)
+    spark = rows.sparkSession
+    out = None
+    for name in sorted(r.symbol for r in rows.select("symbol").distinct().collect()):
+        x = read(spark, f"{root}/symbol={name}", name)
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+@query("s1_7_trade_dump", f"WITH {T} SELECT symbol, {TS}, trade_id, round(price, 6) AS price, amount, side FROM ticks")
 def _(spark, d):
-    root = _root(spark, "dump")
-    t = v.ticks(spark, d).where("symbol = 'S5'")
     maker = F.when(F.col("side") == "sell", "True").otherwise("false")
-    t.select("trade_id", "price", "amount", F.col("trade_id").alias("f"), F.col("trade_id").alias("l"), F.unix_millis("ts").alias("transact_time"), maker.alias("is_buyer_maker")).write.option("header", "true").csv(root)
-    return src.read_trade_dump(spark, root, "S5")
+    t = v.ticks(spark, d).select("trade_id", "price", "amount", F.col("trade_id").alias("f"), F.col("trade_id").alias("l"), F.unix_millis("ts").alias("transact_time"), maker.alias("is_buyer_maker"), "symbol")
+    return _dumps(_root(spark, "dump"), t, True, src.read_trade_dump)
 
 
-@query("s1_8_liquidation_dump", f"WITH {T} SELECT symbol, {TS}, side, round(price, 6) AS price, amount AS qty FROM ticks WHERE symbol = 'S6' AND amount > 90")
+@query("s1_8_liquidation_dump", f"WITH {T} SELECT symbol, {TS}, side, round(price, 6) AS price, amount AS qty FROM ticks WHERE amount > 90")
 def _(spark, d):
-    root = _root(spark, "liquidations")
-    v.ticks(spark, d).where("symbol = 'S6' and amount > 90").select(F.unix_millis("ts").alias("time"), F.upper("side").alias("side"), "price", F.col("amount").alias("qty")).write.csv(root)
-    return src.read_liquidation_dump(spark, root, "S6")
+    t = v.ticks(spark, d).where("amount > 90").select(F.unix_millis("ts").alias("time"), F.upper("side").alias("side"), "price", F.col("amount").alias("qty"), "symbol")
+    return _dumps(_root(spark, "liquidations"), t, False, src.read_liquidation_dump)
 
 
 @query("s1_9_save_klines", f"WITH {B} SELECT symbol, '1h' AS interval, count(*) AS n, round(sum(volume), 6) AS volume FROM bars GROUP BY 1")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from lodestream.operators.scan import numbered
 from lodestream.session import exists, settle
 
 _D, _S, _L, _TS = T.DoubleType(), T.StringType(), T.LongType(), T.TimestampType()
@@ -20,9 +21,6 @@ def _schema(**fields: T.DataType) -> T.StructType:
 
 KLINES = _schema(symbol=_S, interval=_S, ts=_TS, open=_D, high=_D, low=_D, close=_D, volume=_D)
 TRADES = _schema(symbol=_S, ts=_TS, trade_id=_L, price=_D, amount=_D, side=_S)
-FUNDING = _schema(symbol=_S, ts=_TS, rate=_D)
-BOOK = _schema(symbol=_S, ts=_TS, bid=_D, bid_qty=_D, ask=_D, ask_qty=_D)
-LIQUIDATIONS = _schema(symbol=_S, ts=_TS, side=_S, price=_D, qty=_D)
 OPEN_INTEREST = _schema(symbol=_S, ts=_TS, oi=_D)
 VERDICTS = _schema(strategy=_S, symbol=_S, interval=_S, label=_S, reasons=T.ArrayType(_S), ts=_TS)
 TRIALS = _schema(strategy=_S, symbol=_S, purpose=_S, n_trials=_L, score=_D, ts=_TS)
@@ -64,8 +62,8 @@ def read_trades(spark: SparkSession, root: str) -> DataFrame:
     """Trades; rows without an id get negative ids in order of time within their symbol."""
     df = conform(spark.read.parquet(root), TRADES)
     have = df.where("trade_id is not null")
-    rest = df.where("trade_id is null").withColumn("trade_id", -F.row_number().over(Window.partitionBy("symbol").orderBy("ts", "price", "amount", "side")).cast("bigint"))
-    return have.unionByName(rest)
+    rest = numbered(df.where("trade_id is null"), ["ts", "price", "amount", "side"]).withColumn("trade_id", (-F.col("_i") - 1).cast("bigint"))
+    return have.unionByName(rest.select(*df.columns))
 
 
 def read_trade_dump(spark: SparkSession, path: str, symbol: str) -> DataFrame:

@@ -35,6 +35,9 @@ def test_rank_and_apply(spark, n, chunk):
     df = frame(spark, x)
     got = wi.rolling_rank(df, "x", n, chunk=chunk).orderBy("symbol", "n").collect()
     assert [r.rank for r in got] == pytest.approx(rank * 2) and [r.x for r in got] == x * 2
+    some = wi.rolling_rank(df, "x", n, least=3, chunk=chunk).orderBy("symbol", "n").collect()
+    there = [sum(v is not None for v in x[max(0, i + 1 - n) : i + 1]) for i in range(len(x))]
+    assert [r.rank for r in some] == pytest.approx([r if k >= 3 else None for r, k in zip(rank, there, strict=True)] * 2)
     got = wi.rolling_apply(df, "x", n, lambda w: np.nanmax(w) - np.nanmin(w), "span", least=min(n, 3), chunk=chunk).orderBy("symbol", "n").collect()
     assert [r.span for r in got] == pytest.approx(span * 2)
 
