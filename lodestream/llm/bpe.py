@@ -29,7 +29,7 @@ from lodestream.session import table, tune
 
 _NONE = 1 << 62
 #: Pieces of text kept per Python worker; beyond that the memory is emptied and filled anew. Only speed depends on it.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 #: Words of up to so many bytes are encoded many at a time.
 CACHE_BYTES = 64
 

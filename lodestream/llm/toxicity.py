@@ -43,7 +43,7 @@ SEED_TOXIC, SEED_PLAIN = 3.0, 0.5
 WINDOW = 4
 FUZZY, QUOTED = 0.7, 0.3
 THRESHOLD = 0.3
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 
 #: Words by which a text reports what someone else said (fixed).
 REPORTING = frozenset("said says saying called calls quote quoted quotes wrote reported word words sagte nannte zitat dit appelle citation dijo llama cita".split())
