@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +14,11 @@ def clip(x: Column, lo: float, hi: float) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), x))
 
 
+def share_of(n: Column, share: float) -> Column:
+    """The whole part of share * n for a count n, with share as it is written: 0.7 of 720 is 504, which doubles miss by a little."""
+    return F.floor(n * F.lit(Decimal(str(share)))).cast("bigint")
+
+
 #: Fixed coefficients of a published rational form of the normal tail (error below 1e-14), highest power first.
 _TAIL_UP = (0.0352624965998911, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
 _TAIL_DOWN = (0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestream.functions.numbers import share_of
+
 
 def sharpe(c: str) -> Column:
     return F.avg(c) / F.nullif(F.stddev_pop(c), F.lit(0.0)) * F.sqrt(F.count(F.lit(1)))
@@ -48,7 +50,7 @@ def holdout(rows: DataFrame, share: float, by: str = "symbol") -> DataFrame:
     """Adds part: research, or holdout for the last share of a series' rows."""
     w = Window.partitionBy(by)
     i, n = F.row_number().over(w.orderBy("ts")), F.count(F.lit(1)).over(w)
-    return rows.withColumn("_i", i).withColumn("_n", n).withColumn("part", F.when(F.col("_i") > F.col("_n") - F.floor(F.col("_n") * share), "holdout").otherwise("research")).drop("_i", "_n")
+    return rows.withColumn("_i", i).withColumn("_n", n).withColumn("part", F.when(F.col("_i") > F.col("_n") - share_of(F.col("_n"), share), "holdout").otherwise("research")).drop("_i", "_n")
 
 
 def tracking(a: DataFrame, b: DataFrame, by: str = "symbol", ret: str = "ret") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestream.functions.numbers import share_of
 from lodestream.operators import features as ft
 from lodestream.operators.scan import scans
 
@@ -100,7 +101,7 @@ def purged_by_end(events: DataFrame, k: int, embargo: float, by: str = "symbol")
     x = events.withColumn("_i", F.row_number().over(w.orderBy("ts")) - 1).withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     size = F.floor(F.col("_n") / k)
     a, z = F.col("fold") * size, F.col("fold") * size + size
-    x = x.withColumns({"_a": a, "_z": z, "_e": z + F.floor(F.col("_n") * embargo)})
+    x = x.withColumns({"_a": a, "_z": z, "_e": z + share_of(F.col("_n"), embargo)})
     start = F.max(F.when(F.col("_i") == F.col("_a"), F.col("ts"))).over(Window.partitionBy(by, "fold"))
     x = x.withColumn("_start", start)
     inside = (F.col("_i") >= F.col("_a")) & (F.col("_i") < F.col("_z"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestream.functions.numbers import share_of
 from lodestream.functions.unit_roots import root_probability
 from lodestream.operators import features as ft
 from lodestream.operators.evaluation import hawkes
@@ -132,7 +133,7 @@ def johansen(pairs: DataFrame, share: float = 0.7, least: int = 40) -> DataFrame
     """
     w, whole = ft.series(), Window.partitionBy("symbol")
     x = pairs.select("symbol", "ts", F.ln("c1").alias("y"), F.ln("c2").alias("x"), (F.row_number().over(w) - 1).alias("_i"), F.count(F.lit(1)).over(whole).alias("_n"))
-    x = x.where(F.col("_i") < F.floor(F.col("_n") * F.lit(share)))
+    x = x.where(F.col("_i") < share_of(F.col("_n"), share))
     x = x.withColumns({"l1": F.lag("y").over(w), "l2": F.lag("x").over(w)}).withColumns({"d1": F.col("y") - F.col("l1"), "d2": F.col("x") - F.col("l2")})
     x = x.withColumns({"z1": F.lag("d1").over(w), "z2": F.lag("d2").over(w)}).where("z1 is not null")
     names = ("d1", "d2", "l1", "l2", "z1", "z2")
@@ -166,7 +167,7 @@ def compare_hedges(pairs: DataFrame, n: int, share: float = 0.7, enter: float =
     x = x.withColumn("beta", F.when(F.count(F.lit(1)).over(last) >= n, slope)).withColumn("hedged", F.col("_y") - F.col("beta") * F.col("_x"))
     x = x.join(johansen(pairs, share).withColumnRenamed("beta", "_j"), "symbol", "left").withColumn("vector", F.col("_y") - F.col("_j") * F.col("_x"))
     i, count = F.row_number().over(ft.series()) - 1, F.count(F.lit(1)).over(Window.partitionBy("symbol"))
-    x = x.withColumn("_oos", i >= F.floor(count * F.lit(share)))
+    x = x.withColumn("_oos", i >= share_of(count, share))
 
     def ratio(value: str, name: str) -> DataFrame:
         r = spread_returns(band_position(x, value, n, n // 2, enter, leave), 0.0, spread=value).where("_oos")
