@@ -7,6 +7,7 @@ its own size.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -15,10 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def keyed_scan(rows: DataFrame, key: str, order: Sequence[str], cols: Sequence[str], start: Callable[[], object], step: Callable, out: Sequence[tuple[str, str]], emit_ts: bool = True) -> DataFrame:
+def keyed_scan(rows: DataFrame, key: str, order: Sequence[str], cols: Sequence[str], start: Callable[[], object], step: Callable, out: Sequence[tuple[str, str]], emit_ts: bool = True, before: DataFrame | None = None) -> DataFrame:
     """Run step(state, row values) -> output tuple or None over each key's rows in order.
 
-    Output: key, the first order column and the columns of out, for each row whose output is not None.
+    Output: key, the first order column and the columns of out, for each row whose output is not None. With before (key, _state: a row a
+    key, from an earlier call) keys go on from those states, and each key's last state follows as a row with _state and NULLs elsewhere.
     """
     order_type = rows.schema[order[0]].dataType
     schema = T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField(order[0], order_type)])
@@ -27,26 +29,51 @@ def keyed_scan(rows: DataFrame, key: str, order: Sequence[str], cols: Sequence[s
         schema = schema.add(n, sql[t])
     arrow = {"double": pa.float64(), "int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
     kinds = [arrow[t] for _, t in out]
+    keeps = before is not None
+    names = [key, order[0], *[n for n, _ in out], *["_state"] * keeps]
+    schema = schema.add("_state", T.BinaryType()) if keeps else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, None
+        kept = pa.schema([])
+
+        def last(ended: list[tuple]) -> pa.RecordBatch:
+            columns = [pa.array([k for k, _ in ended], kept.field(0).type), *[pa.nulls(len(ended), t) for t in (kept.field(1).type, *kinds)], pa.array([pickle.dumps(s.__dict__) for _, s in ended], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names)
+
         for batch in batches:
+            kept = batch.schema
             keys, times = batch.column(0).to_pylist(), batch.column(1)
             values = [batch.column(2 + k).to_pylist() for k in range(len(cols))]
-            at, results = [], []
+            earlier = batch.column(2 + len(cols)).to_pylist() if keeps else None
+            at, results, ended = [], [], []
             for i, k in enumerate(keys):
                 if state is None or k != now:
+                    if state is not None and keeps:
+                        ended.append((now, state))
                     now, state = k, start()
+                if keeps and earlier[i] is not None:
+                    state.__dict__.update(pickle.loads(earlier[i]))
+                    continue
                 got = step(state, *[c[i] for c in values])
                 if got is not None:
                     at.append(i)
                     results.append(got)
             index = pa.array(at, pa.int64())
             columns = list(zip(*results, strict=True)) if results else [()] * len(out)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(index), times.take(index), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], [key, order[0], *[n for n, _ in out]])
-
-    wanted = rows.select(key, order[0], *cols, *[F.col(o).alias(f"_o{j}") for j, o in enumerate(order[1:])])
-    dealt = wanted.repartition(key).sortWithinPartitions(key, order[0], *[f"_o{j}" for j in range(len(order) - 1)])
+            more = [pa.nulls(len(at), pa.binary())] if keeps else []
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(index), times.take(index), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], *more], names)
+            if ended:
+                yield last(ended)
+        if keeps and state is not None:
+            yield last([(now, state)])
+
+    wanted = rows.select(key, order[0], *cols, *[F.lit(None).cast("binary").alias("_state")] * keeps, *[F.col(o).alias(f"_o{j}") for j, o in enumerate(order[1:])])
+    first = []
+    if keeps:
+        wanted = wanted.unionByName(before.select(key, "_state"), allowMissingColumns=True)
+        first = [F.col("_state").isNull()]  # a key's state comes before its rows
+    dealt = wanted.repartition(key).sortWithinPartitions(key, *first, order[0], *[f"_o{j}" for j in range(len(order) - 1)])
     return dealt.mapInArrow(run, schema)
 
 
@@ -221,6 +248,10 @@ class HedgeState:
         self.follow = self.revert = 0.0
 
 
+#: The largest exponent that is passed to exp: 1 / (1 + exp(700)) is 0 to 300 places, and exp(710) is no double.
+_MOST = 700.0
+
+
 def hedge_step(eta: float) -> Callable:
     """Weight of an expert that follows the last price change against one that goes the other way: exp(-eta * losses so far), normalised.
 
@@ -228,7 +259,7 @@ def hedge_step(eta: float) -> Callable:
     """
 
     def step(s: HedgeState, price: float):
-        weight = 1 / (1 + math.exp(-eta * (s.revert - s.follow)))
+        weight = 1 / (1 + math.exp(min(-eta * (s.revert - s.follow), _MOST)))
         if s.last is not None:
             side = (price > s.last) - (price < s.last)
             s.follow += side * s.side < 0

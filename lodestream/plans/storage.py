@@ -239,7 +239,7 @@ def _(spark, d):
 def _(spark, d):
     tune(spark)
     start, step = states.imbalance_machine(length=100)
-    return streams.run_to_table(streams.keyed_states(streams.ticks(spark, d), "symbol", ("ts", "trade_id"), ["price", "amount"], start, step, [("bar", "int"), ("ticks", "int")]), "adaptive")
+    return streams.keyed_states(streams.ticks(spark, d), "symbol", ("ts", "trade_id"), ["price", "amount"], start, step, [("bar", "int"), ("ticks", "int")], "adaptive")
 
 
 @query("s10_12_stream_hedge", f"""WITH {T}, a AS (SELECT symbol, ts, trade_id, coalesce(sign(price - lag(price) OVER w), 0) AS s FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, trade_id)),
@@ -248,7 +248,7 @@ def _(spark, d):
     SELECT symbol, {TS}, round(1 / (1 + exp(0.01 * g)), 6) AS weight FROM c""")
 def _(spark, d):
     tune(spark)
-    return streams.run_to_table(streams.keyed_states(streams.ticks(spark, d), "symbol", ("ts", "trade_id"), ["price"], states.HedgeState, states.hedge_step(0.01), [("weight", "double")]), "hedge")
+    return streams.keyed_states(streams.ticks(spark, d), "symbol", ("ts", "trade_id"), ["price"], states.HedgeState, states.hedge_step(0.01), [("weight", "double")], "hedge")
 
 
 @query("s10_13_stream_kalman", f"""WITH RECURSIVE {T}, n AS (SELECT symbol, ts, price AS z, row_number() OVER (PARTITION BY symbol ORDER BY ts, trade_id) AS i FROM ticks),
@@ -256,7 +256,7 @@ def _(spark, d):
     UNION ALL SELECT n.symbol, n.ts, n.i, r.x + (r.p + 1e-3::DOUBLE) / (r.p + 1e-3::DOUBLE + 1e-1::DOUBLE) * (n.z - r.x), (1 - (r.p + 1e-3::DOUBLE) / (r.p + 1e-3::DOUBLE + 1e-1::DOUBLE)) * (r.p + 1e-3::DOUBLE) FROM r JOIN n ON n.symbol = r.symbol AND n.i = r.i + 1) SELECT symbol, {TS}, round(x, 6) AS level FROM r""")
 def _(spark, d):
     tune(spark)
-    return streams.run_to_table(streams.keyed_states(streams.ticks(spark, d), "symbol", ("ts", "trade_id"), ["price"], states.KalmanState, states.level_step(1e-3, 1e-1), [("level", "double")]), "kalman")
+    return streams.keyed_states(streams.ticks(spark, d), "symbol", ("ts", "trade_id"), ["price"], states.KalmanState, states.level_step(1e-3, 1e-1), [("level", "double")], "kalman")
 
 
 @query("s14_4_critical", f"""WITH {B}, x AS (SELECT symbol, ts, CASE WHEN symbol = 'S3' AND hour(ts) = 5 THEN low * 2 ELSE high END AS high, low, open, close FROM bars), g AS (SELECT symbol, count(*) FILTER (WHERE high < greatest(open, close, low) OR low > least(open, close, high) OR low <= 0) AS bad_ohlc FROM x GROUP BY 1) SELECT symbol, bad_ohlc, bad_ohlc > 0 AS critical FROM g""")

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import pickle
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lodestream.session import shared_dir
+from lodestream.operators.states import keyed_scan
+from lodestream.session import exists, shared_dir
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -102,25 +100,27 @@ def run_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], name
     stream.writeStream.foreachBatch(write).option("checkpointLocation", path).trigger(availableNow=True).start().awaitTermination()
 
 
-def keyed_states(stream: DataFrame, key: str, order: Sequence[str], cols: Sequence[str], start: Callable[[], object], step: Callable, out: Sequence[tuple[str, str]]) -> DataFrame:
-    """A state machine by key over a stream, as operators.states.keyed_scan is over a table: the state is kept between batches.
+def keyed_states(stream: DataFrame, key: str, order: Sequence[str], cols: Sequence[str], start: Callable[[], object], step: Callable, out: Sequence[tuple[str, str]], name: str) -> DataFrame:
+    """Run a state machine by key over a stream into a table, as operators.states.keyed_scan is over a table: the state is kept between batches.
 
     Rows of a key are taken in order within a batch, and batches as they come. Output: key, the first order column and the columns of
-    out, for each row whose step gives something.
+    out, for each row whose step gives something. Spark sorts a batch and streams it through the step, so a task holds a state and
+    no series. States are rows of the batch's table; a batch that runs again starts from those of the batch before and overwrites its own.
     """
-    kinds = {"double": "float64", "int": "int32", "bigint": "int64", "string": "object"}
-
-    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        machine = start()
-        if state.exists:
-            machine.__dict__.update(pickle.loads(state.get[0]))
-        rows = pd.concat(list(frames)).sort_values(list(order))
-        found = [(t, got) for t, *values in zip(rows[order[0]], *[rows[c] for c in cols], strict=True) if (got := step(machine, *values)) is not None]
-        state.update((pickle.dumps(machine.__dict__),))
-        data = {key: [k[0]] * len(found), order[0]: [t for t, _ in found]}
-        data |= {n: pd.Series([got[j] for _, got in found], dtype=kinds[t]) for j, (n, t) in enumerate(out)}
-        yield pd.DataFrame(data)
-
-    ddl = f"{key} string, {order[0]} timestamp, " + ", ".join(f"{n} {t}" for n, t in out)
+    spark = stream.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     wanted = stream.select(key, *order, *[c for c in cols if c not in order])
-    return wanted.groupBy(key).applyInPandasWithState(run, ddl, "state binary", "append", GroupStateTimeout.NoTimeout)
+    ddl = f"{key} {wanted.schema[key].dataType.simpleString()}, {order[0]} {wanted.schema[order[0]].dataType.simpleString()}, " + ", ".join(f"{n} {t}" for n, t in out)
+
+    def table(session: SparkSession) -> DataFrame:
+        return session.read.schema(f"{ddl}, _state binary, batch bigint, _kept boolean").parquet(path)
+
+    def write(batch: DataFrame, number: int) -> None:
+        before = table(batch.sparkSession).where(f"_kept and batch = {number - 1}").select(key, "_state") if number else batch.sparkSession.createDataFrame([], f"{key} string, _state binary")
+        got = keyed_scan(batch, key, order, cols, start, step, out, before=before)
+        got.withColumn("_kept", F.col("_state").isNotNull()).write.mode("overwrite").partitionBy("_kept").parquet(f"{path}/batch={number}")
+
+    run_batches(wanted, write, name)
+    if not exists(spark, path):
+        return spark.createDataFrame([], ddl)
+    return table(spark).where("not _kept").drop("_state", "batch", "_kept")

@@ -1,9 +1,13 @@
 import math
+import time
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from lodestream.functions.numbers import share_of
-from lodestream.operators import pairs
+from lodestream.operators import pairs, states
+from lodestream.streaming import streams
 
 
 def test_shares_of_counts_are_exact(spark):
@@ -13,3 +17,43 @@ def test_shares_of_counts_are_exact(spark):
     bars = spark.createDataFrame(rows, "symbol string, ts int, close double")
     (r,) = pairs.compare_hedges(pairs.all_pairs(bars), 48).collect()
     assert r.n == 216  # 720 less 504; in doubles 0.7 * 720 is below 504
+
+
+def _events(path, ids, value, span=1):
+    """A file of events of one symbol."""
+    rows = {"event_id": list(ids), "ts": pa.array([k // span * 1_000_000 for k in ids], pa.timestamp("us")), "user_id": [8 * (k % 5) for k in ids], "event_type": ["view"] * len(ids), "value": [value(k) for k in ids], "props": ['{"k": 3}'] * len(ids)}
+    pq.write_table(pa.table(rows), path)
+
+
+def test_hedge_weight_far_from_even(spark, tmp_path):
+    step, s = states.hedge_step(0.01), states.HedgeState()
+    for k in range(120_000):  # every change turns: the losses of the follower pass what exp can take
+        (w,) = step(s, 1.0 + k % 2)
+    assert w < 1e-300
+    s.follow, s.revert = 0.0, 120_000.0
+    assert step(s, 1.0)[0] == 1.0
+
+
+def test_stream_states_hold_no_series_and_go_on(spark, tmp_path):
+    _events(tmp_path / "events.parquet", range(3000), lambda k: 1.0 + k * 7 % 11)
+    time.sleep(1.1)  # files are taken in order of time
+    _events(tmp_path / "events.parquet.2", range(3000, 5000), lambda k: 1.0 + k * 7 % 13)
+
+    def run(step, out):
+        return streams.keyed_states(streams.ticks(spark, str(tmp_path)), "symbol", ("ts", "trade_id"), ["price"], states.KalmanState, step, out, "kalman")
+
+    rows = spark.read.schema(streams.EVENTS).parquet(str(tmp_path)).select(F.lit("S0").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("trade_id"), F.col("value").alias("price"))
+    want = states.keyed_scan(rows, "symbol", ("ts", "trade_id"), ["price"], states.KalmanState, states.level_step(1e-3, 1e-1), [("level", "double")])
+    got = run(states.level_step(1e-3, 1e-1), [("level", "double")])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 5000
+
+    def largest(s, price):
+        import gc
+
+        import pandas
+
+        frames = [len(x) for x in gc.get_objects() if isinstance(x, pandas.DataFrame)] if s.p == 1.0 else []
+        s.p = 2.0
+        return (max(frames, default=0),)
+
+    assert max(r.rows for r in run(largest, [("rows", "int")]).collect()) <= 1000  # a batch of Arrow rows at most
