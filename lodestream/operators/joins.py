@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestream.session import settle
+
 
 def _both(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], cols: Sequence[str], right_on: str, tie: str | None, left_first: bool) -> DataFrame:
     mine, theirs = F.struct(*[F.col(c) for c in left.columns]), F.struct(F.col(right_on).alias("_at"), *[F.col(c) for c in cols])
@@ -108,17 +110,26 @@ def range_join(spans: DataFrame, points: DataFrame, start: str, end: str, at: st
     return s.alias("_s").join(p.alias("_p"), cond).select(*keep)
 
 
-def overlapping(rows: DataFrame, windows: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", bucket_days: int = 30) -> DataFrame:
-    """Rows whose [start, end] overlaps some window with the same keys: equi-join on the key and each time bucket both touch."""
-    number = lambda c: F.floor(F.unix_seconds(c) / (bucket_days * 86400))
-    touch = lambda df: df.withColumn("_b", F.explode(F.sequence(number(start), number(end))))
-    a = touch(rows.withColumn("_row", F.monotonically_increasing_id()))
-    cond = (F.col(f"_a.{start}") <= F.col(f"_w.{end}")) & (F.col(f"_a.{end}") >= F.col(f"_w.{start}")) & (F.col("_a._b") == F.col("_w._b"))
-    for k in keys:
-        cond = cond & (F.col(f"_a.{k}") == F.col(f"_w.{k}"))
-    hit = a.alias("_a").join(touch(windows.select(*keys, start, end)).alias("_w"), cond, "left_semi")
-    # a row is met once a bucket; the first of them stands for it
-    return hit.groupBy("_row").agg(F.first(F.struct(*rows.columns)).alias("_s")).select("_s.*")
+def overlapping(rows: DataFrame, windows: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", bucket_seconds: int = 30 * 86400, few: int = 64) -> DataFrame:
+    """Rows whose [start, end] overlaps some window with the same keys, each row once.
+
+    Of the windows that start by a row's end, only the furthest end matters, so windows are told by one step function a key, of running
+    furthest ends. Up to `few` steps in all, which are counted first, they are broadcast and rows stay where they are; beyond that rows find their
+    step by an as-of join. No row is repeated.
+    """
+    w = windows.where(F.col(start).isNotNull() & F.col(end).isNotNull()).groupBy(*keys, start).agg(F.max(end).alias(end))
+    w = w.withColumn("_before", F.max(end).over(Window.partitionBy(*keys).orderBy(start).rowsBetween(Window.unboundedPreceding, -1)))
+    w = w.where(F.col("_before").isNull() | (F.col(end) > F.col("_before"))).select(*keys, F.col(start).alias("_from"), F.col(end).alias("_until"))
+    w = settle(w, "windows")
+    asked = rows.where(F.col(start).isNotNull() & F.col(end).isNotNull())
+    if w.limit(few + 1).count() <= few:
+        same = [F.col(f"_a.{k}") == F.col(f"_w.{k}") for k in keys]
+        hit = (F.col(f"_a.{end}") >= F.col("_w._from")) & (F.col(f"_a.{start}") <= F.col("_w._until"))
+        for k in same:
+            hit = hit & k
+        return asked.alias("_a").join(F.broadcast(w.alias("_w")), hit, "left_semi")
+    found = asof_join(asked, w, on=end, by=keys, cols=["_until"], right_on="_from", prefix="", bucket_seconds=bucket_seconds)
+    return found.where(F.col(start) <= F.col("_until")).select(*rows.columns)
 
 
 def shortfall_room(positions: DataFrame, limit: float) -> DataFrame:

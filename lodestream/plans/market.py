@@ -137,7 +137,7 @@ def _(spark, d):
 @query("s3_23_burned_windows", f"""WITH {C}, w AS (SELECT symbol, min(entry_ts) AS a, min(entry_ts) + INTERVAL 200 day AS z FROM closed GROUP BY 1)
     SELECT l_suppkey, count(*) AS n FROM closed c WHERE EXISTS (SELECT 1 FROM w WHERE w.symbol = c.symbol AND c.entry_ts <= w.z AND c.exit_ts >= w.a) GROUP BY 1""")
 def _(spark, d):
-    c = v.closed_trades(spark, d)
+    c = v.closed_trades(spark, d).select("symbol", "entry_ts", "exit_ts", "l_suppkey")
     w = c.groupBy("symbol").agg(F.min("entry_ts").alias("entry_ts")).withColumn("exit_ts", F.col("entry_ts") + F.expr("INTERVAL 200 DAYS"))
     return joins.overlapping(c, w, ["symbol"], "entry_ts", "exit_ts").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
 
