@@ -19,6 +19,23 @@ def share_of(n: Column, share: float) -> Column:
     return F.floor(n * F.lit(Decimal(str(share)))).cast("bigint")
 
 
+def times_and_plus(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c, rounded once: the product's and the sum's own errors are added back. Between values that are a few units of the last place
+    apart (0.3 and 0.30000000000000004 as differences of prices), two roundings would pick the other one. For sizes below 1e290."""
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        wide = x * F.lit(134217729.0)
+        high = wide - (wide - x)
+        return high, x - high
+
+    product = a * b
+    (ah, al), (bh, bl) = halves(a), halves(b)
+    lost = ((ah * bh - product) + ah * bl + al * bh) + al * bl
+    total = product + c
+    back = total - product
+    return total + (((product - (total - back)) + (c - back)) + lost)
+
+
 #: Fixed coefficients of a published rational form of the normal tail (error below 1e-14), highest power first.
 _TAIL_UP = (0.0352624965998911, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
 _TAIL_DOWN = (0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestream.functions.numbers import times_and_plus
 from lodestream.session import settle
 
 
@@ -36,7 +37,8 @@ def quantiles(rows: DataFrame, by: Sequence[str], c: str, shares: Mapping[str, f
         at = q * (F.col("_all") - 1)
         element = lambda k: F.min(F.when(F.col("_upto") >= k + 1, F.col(c)))
         low, high, place = element(F.floor(at)), element(F.ceil(at)), F.max(at)
-        return F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+        part = place - F.floor(place)
+        return F.when(low == high, low).otherwise(times_and_plus(low, 1 - part, part * high))
 
     x = running_counts(rows.withColumn(c, F.col(c).cast("double")), by, c)
     return x.groupBy(*by).agg(F.max("_all").alias("n"), *[value(q).alias(k) for k, q in shares.items()])

@@ -1,4 +1,6 @@
+import datetime
 import math
+import random
 import time
 
 import pyarrow as pa
@@ -6,7 +8,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from lodestream.functions.numbers import share_of
-from lodestream.operators import pairs, states
+from lodestream.operators import joins, pairs, quantiles, states
 from lodestream.streaming import streams
 
 
@@ -57,3 +59,33 @@ def test_stream_states_hold_no_series_and_go_on(spark, tmp_path):
         return (max(frames, default=0),)
 
     assert max(r.rows for r in run(largest, [("rows", "int")]).collect()) <= 1000  # a batch of Arrow rows at most
+
+
+def test_edges_between_values_a_unit_apart_are_rounded_once(spark):
+    rng = random.Random(3)
+    rows = []
+    for g in range(400):
+        x = rng.uniform(-50, 50)
+        y = x if rng.random() < 0.3 else math.nextafter(x, math.inf) if rng.random() < 0.7 else x + rng.random()
+        rows += [(g, x), (g, y), (g, y)]
+    want = {}
+    for k, q in (("a", 0.2), ("b", 0.3), ("c", 0.4)):
+        d = q * 2
+        for g in range(400):
+            low, high = sorted(v for h, v in rows[3 * g : 3 * g + 3] if h == g)[:2]
+            want[g, k] = low if low == high else math.fma(low, 1 - d, d * high)
+    found = quantiles.quantiles(spark.createDataFrame(rows, "g int, v double"), ["g"], "v", {"a": 0.2, "b": 0.3, "c": 0.4}).collect()
+    assert {(r.g, k): r[k] for r in found for k in "abc"} == want
+
+
+def test_overlap_repeats_no_row(spark):
+    rng = random.Random(5)
+    at = lambda day: datetime.datetime(2000, 1, 1) + datetime.timedelta(days=day)
+    spans = lambda n, most: [(k, f"S{rng.randrange(3)}", at(a), at(a + rng.randrange(most))) for k in range(n) for a in [rng.randrange(4000)]]
+    rows, windows = spans(300, 3000), spans(12, 200)
+    r, w = (spark.createDataFrame(x, "id int, symbol string, start timestamp, end timestamp") for x in (rows, windows))
+    want = sorted(i for i, s, a, z in rows if any(t == s and b <= z and a <= y for _, t, b, y in windows))
+    for few in (64, 2):
+        x = joins.overlapping(r, w, ["symbol"], few=few)
+        assert sorted(q.id for q in x.collect()) == want and x.columns == r.columns
+        assert "Generate" not in x._jdf.queryExecution().optimizedPlan().toString()
