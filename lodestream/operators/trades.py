@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestream.operators.quantiles import quantiles, running_counts
+from lodestream.session import settle
 
 
 def trade_metrics(trades: DataFrame, by: Sequence[str], ret: str = "ret") -> DataFrame:
@@ -34,14 +35,30 @@ def loss_segments(trades: DataFrame, dims: Sequence[str], ret: str = "ret") -> D
     return x.withColumn("share", F.col("loss") / F.sum("loss").over(Window.partitionBy("dim")))
 
 
-def streaks(trades: DataFrame, by: Sequence[str], order: Sequence[str], ret: str = "ret") -> DataFrame:
-    """Longest stretches of losing and of winning trades."""
-    w = Window.partitionBy(*by).orderBy(*order)
+def streaks(trades: DataFrame, by: Sequence[str], order: Sequence[str], ret: str = "ret", span_days: int = 30) -> DataFrame:
+    """Longest stretches of losing and of winning trades.
+
+    Stretches are cut at time spans of order's first column, so no task holds a series; what may go on over a cut are the first and
+    the last stretch of a span, and these are joined over spans.
+    """
     won = F.when(F.col(ret) > 0, 1).when(F.col(ret) < 0, -1).otherwise(0)
-    x = trades.withColumn("_s", won).withColumn("_i", F.row_number().over(w))
-    x = x.withColumn("_g", F.col("_i") - F.row_number().over(Window.partitionBy(*by, "_s").orderBy(*order)))
-    runs = x.groupBy(*by, "_s", "_g").agg(F.count(F.lit(1)).alias("n"))
-    return runs.groupBy(*by).agg(F.coalesce(F.max(F.when(F.col("_s") == -1, F.col("n"))), F.lit(0)).alias("losing"), F.coalesce(F.max(F.when(F.col("_s") == 1, F.col("n"))), F.lit(0)).alias("winning"))
+    x = trades.select(*by, *order, won.alias("_s"), F.floor(F.unix_seconds(order[0]) / (span_days * 86400)).alias("_t"))
+    w = Window.partitionBy(*by, "_t").orderBy(*order)
+    turn = F.when(F.col("_s") == F.lag("_s").over(w), 0).otherwise(1)
+    x = x.withColumn("_turn", turn).withColumn("_g", F.sum("_turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    cut = x.groupBy(*by, "_t", "_g").agg(F.first("_s").alias("_s"), F.count(F.lit(1)).alias("n"))
+    run = F.struct("_g", "_s", "n")
+    longest = lambda s: F.max(F.when(F.col("_s") == s, F.col("n")))
+    spans = cut.groupBy(*by, "_t").agg(F.min(run).alias("_first"), F.max(run).alias("_last"), longest(-1).alias("_down"), longest(1).alias("_up"))
+    # over spans: two stretches each at most
+    ends = F.when(F.col("_first._g") == F.col("_last._g"), F.array("_first")).otherwise(F.array("_first", "_last"))
+    over = Window.partitionBy(*by).orderBy("_t", "_r._g")
+    e = spans.select(*by, "_t", "_down", "_up", F.explode(ends).alias("_r"))
+    goes_on = (F.col("_r._s") == F.lag("_r._s").over(over)) & (F.col("_r._g") == 1)
+    e = e.withColumn("_turn", F.when(goes_on, 0).otherwise(1)).withColumn("_h", F.sum("_turn").over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = e.groupBy(*by, "_h").agg(F.first("_r._s").alias("_s"), F.sum("_r.n").alias("n"), F.max("_down").alias("_down"), F.max("_up").alias("_up"))
+    either = lambda s, own: F.greatest(F.max(F.when(F.col("_s") == s, F.col("n"))), F.max(own), F.lit(0))
+    return whole.groupBy(*by).agg(either(-1, "_down").alias("losing"), either(1, "_up").alias("winning"))
 
 
 def fifo(fills: DataFrame, order: Sequence[str], by: str = "symbol", span: str = "30 days") -> DataFrame:
@@ -66,6 +83,8 @@ def fifo(fills: DataFrame, order: Sequence[str], by: str = "symbol", span: str =
     x = x.join(spans, [by, "_t"])
     ahead = lambda own: F.least(F.lit(0.0), F.col(own) + F.col("_pb") - F.col("_ps"), F.col("_pm"))  # noqa: E731  NULLs are passed over
     x = x.withColumns({"_n": (F.col("_n") + F.col("_pn")).cast("int"), "_b": F.col("_b") + F.col("_pb"), "_s": F.col("_s") + F.col("_ps"), "_m": ahead("_m"), "_l": ahead("_l")})
+    # read four times below: lots, their mean, sales, and sales without lots
+    x = settle(x.select(by, "_n", "side", "qty", "price", "_b", "_s", "_m", "_l"), "fifo")
     # cells of the quantity axis are as long as the series' mean lot
     size = x.where(buy & (F.col("qty") > 0)).groupBy(F.col(by).alias("_k_by")).agg(F.avg("qty").alias("_size"))
     lots = x.where(buy).join(size, F.col(by) == F.col("_k_by")).select(by, "_size", F.col("price").alias("lot_price"), (F.col("_b") - F.col("qty")).alias("lo"), F.col("_b").alias("hi"))

@@ -8,7 +8,11 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from lodestream.functions.numbers import share_of
-from lodestream.operators import joins, pairs, quantiles, states
+from lodestream import views
+from lodestream.operators import joins, pairs, quantiles, states, trades
+from lodestream.plans import QUERIES
+from lodestream.session import shared_dir
+from lodestream.sources import tables
 from lodestream.streaming import streams
 
 
@@ -89,3 +93,54 @@ def test_overlap_repeats_no_row(spark):
         x = joins.overlapping(r, w, ["symbol"], few=few)
         assert sorted(q.id for q in x.collect()) == want and x.columns == r.columns
         assert "Generate" not in x._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_streaks_over_spans_against_loop(spark):
+    rng = random.Random(8)
+    rows = []
+    for symbol, days in (("A", 900), ("B", 40), ("C", 1)):
+        sign = 1.0
+        for k in range(400):
+            sign = rng.choice([-1.0, 0.0, 1.0]) if rng.random() < 0.08 else sign
+            rows.append((symbol, datetime.datetime(2000, 1, 1) + datetime.timedelta(days=k * days // 400), k, sign))
+    rows += [("D", datetime.datetime(2000, 1, 1) + datetime.timedelta(days=k), k, -1.0) for k in range(200)]  # one stretch over seven spans
+    want = {}
+    for symbol in "ABCD":
+        best, run, last = {-1.0: 0, 0.0: 0, 1.0: 0}, 0, None
+        for *_, r in sorted(x for x in rows if x[0] == symbol):
+            run, last = run + 1 if r == last else 1, r
+            best[r] = max(best[r], run)
+        want[symbol] = (best[-1.0], best[1.0])
+    x = trades.streaks(spark.createDataFrame(rows, "symbol string, ts timestamp, id int, ret double"), ["symbol"], ["ts", "id"])
+    assert {r.symbol: (r.losing, r.winning) for r in x.collect()} == want and want["D"] == (200, 0)
+    assert "windowspecdefinition(symbol#" in _plan(x) and ", _t#" in _plan(x)  # ranks run inside a span, not over a series
+
+
+def test_nearest_frames_end_at_the_row(spark):
+    at = lambda s: datetime.datetime(2000, 1, 1) + datetime.timedelta(seconds=s)
+    rng = random.Random(9)
+    left, right = [("A", at(rng.randrange(400_000)), k) for k in range(200)], [("A", at(s), float(s)) for s in sorted(rng.sample(range(400_000), 60))]
+    x = joins.nearest_join(spark.createDataFrame(left, "symbol string, ts timestamp, id int"), spark.createDataFrame(right, "symbol string, ts timestamp, x double"), "ts", ["symbol"], ["x"])
+    want = {k: min((abs((b - a).total_seconds()), b, v) for _, b, v in right)[2] for _, a, k in left}
+    assert {r.id: r.near_x for r in x.collect()} == want
+    assert "unboundedfollowing" not in _plan(x).lower()
+
+
+def test_steps_that_are_read_twice_are_settled(spark, sf):
+    assert "Join" not in _plan(views.sweep(spark, sf))
+    report, seen = spark.range(50).select("id"), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    path = f"{shared_dir(spark)}/report-{random.random()}"
+    text = tables.save_report(report.mapInArrow(counted, "id bigint"), path, ["id"], top=2)
+    assert text.splitlines()[2:] == ["| 0 |", "| 1 |"] and seen.value == 50
+    assert "Window" not in _plan(trades.fifo(views.fills(spark, sf), ["ts", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "qty", "l_extendedprice"]))
+    assert "strategy=broadcast" in _plan(QUERIES["s3_16_entry_features"](spark, sf)) and "strategy=broadcast" not in _plan(spark.range(3).join(joins.small(spark.range(9), 8), "id"))
