@@ -252,9 +252,9 @@ def load_symbol(frames: Mapping[str, DataFrame], symbol: str) -> dict[str, DataF
 
 
 def save_report(df: DataFrame, path: str, order: Sequence[str], top: int = 20) -> str:
-    """Write a table as CSV with a header; returns its first rows in order as a markdown table."""
+    """Write a table as CSV with a header; returns its first rows in order, read from what was written, as a markdown table."""
     df.write.mode("overwrite").option("header", "true").csv(path)
-    rows = df.orderBy(*order).limit(top).collect()
+    rows = df.sparkSession.read.schema(df.schema).option("header", "true").csv(path).orderBy(*order).limit(top).collect()
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows])
 

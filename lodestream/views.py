@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.operators.resample import resample
-from lodestream.session import table, tune
+from lodestream.session import settle, table, tune
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +89,10 @@ FILLS = """fills AS (SELECT 'S' || CAST(l_suppkey % 8 AS VARCHAR) AS symbol, CAS
 
 
 def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of a sweep: (strategy, symbol, interval, mode, days) with metrics of the trades that closed in it; text columns s_sharpe and blocked."""
+    """Cells of a sweep: (strategy, symbol, interval, mode, days) with metrics of the trades that closed in it; text column s_sharpe.
+
+    The cells are settled, so a query that reads them twice joins the trades once.
+    """
     li, o = table(tune(spark), sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     j = li.join(o, li.l_orderkey == o.o_orderkey).where("l_shipdate > o_orderdate")
     pick = lambda n, *names: F.element_at(F.array(*map(F.lit, names)), (n + 1).cast("int"))
@@ -105,7 +108,7 @@ def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.avg((oos > 0).cast("double")), 6).alias("oos_positive_frac"), F.round(F.sum("ret"), 6).alias("total_return"),
         F.round(F.sum(F.greatest("ret", F.lit(0.0))) / F.nullif(-F.sum(F.least("ret", F.lit(0.0))), F.lit(0.0)), 6).alias("profit_factor"), F.round(F.avg("l_quantity"), 6).alias("q"),
     )
-    return m.withColumn("status", F.when(F.col("n_trades") % 17 == 0, "error").otherwise("ok")).withColumn("s_sharpe", F.when(F.col("n_trades") % 5 == 0, "n/a").otherwise(F.col("sharpe").cast("string")))
+    return settle(m.withColumn("status", F.when(F.col("n_trades") % 17 == 0, "error").otherwise("ok")).withColumn("s_sharpe", F.when(F.col("n_trades") % 5 == 0, "n/a").otherwise(F.col("sharpe").cast("string"))), "sweep")
 
 
 SWEEP = """sweep AS (SELECT *, CASE WHEN n_trades % 17 = 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN n_trades % 5 = 0 THEN 'n/a' ELSE CAST(sharpe AS VARCHAR) END AS s_sharpe FROM (
