@@ -27,12 +27,8 @@ def _edges(x: DataFrame, by: Sequence[str], forward: bool) -> DataFrame:
     at = F.struct("_t", "_tie")
     right = F.when(F.col("_right").isNotNull(), at)
     own = x.groupBy(*by, "_bucket").agg((F.min_by("_right", right) if forward else F.max_by("_right", right)).alias("_own"))
-    w = Window.partitionBy(*by).orderBy("_bucket")
-    if forward:
-        carried = F.first("_own", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    else:
-        carried = F.last("_own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return own.withColumn("_far", carried).drop("_own")
+    w = Window.partitionBy(*by).orderBy(F.desc("_bucket") if forward else "_bucket")
+    return own.withColumn("_far", F.last("_own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).drop("_own")
 
 
 def asof_join(
@@ -52,10 +48,12 @@ def asof_join(
 
 def nearest_join(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], cols: Sequence[str], right_on: str = "ts", prefix: str = "near_", bucket_seconds: int = 86400) -> DataFrame:
     """Each left row with the right row nearest in time; the earlier one of two as near. Dealt as in asof_join."""
-    w = Window.partitionBy(*by, "_bucket").orderBy("_t", "_side", "_tie")
+    # frames that end at the row, in both directions: one that runs on to the end is gone through anew for every row
+    w = Window.partitionBy(*by, "_bucket")
+    back, on_ = w.orderBy("_t", "_side", "_tie"), w.orderBy(F.desc("_t"), F.desc("_side"), F.desc("_tie"))
     x = _both(left, right, on, by, cols, right_on, None, False).withColumn("_bucket", _bucket("_t", bucket_seconds))
-    near = x.withColumn("_b", F.last("_right", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    near = near.withColumn("_f", F.first("_right", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))).where("_left is not null")
+    near = x.withColumn("_b", F.last("_right", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
+    near = near.withColumn("_f", F.last("_right", ignorenulls=True).over(on_.rowsBetween(Window.unboundedPreceding, 0))).where("_left is not null")
     near = near.join(_edges(x, by, False), [*by, "_bucket"]).withColumn("_b", F.coalesce("_b", "_far")).drop("_far")
     near = near.join(_edges(x, by, True), [*by, "_bucket"]).withColumn("_f", F.coalesce("_f", "_far"))
     gap = lambda c: F.abs(F.unix_micros(F.col(f"{c}._at")) - F.unix_micros("_t"))
@@ -63,6 +61,12 @@ def nearest_join(left: DataFrame, right: DataFrame, on: str, by: Sequence[str],
     return near.withColumn("_p", pick).select("_left.*", *[F.col(f"_p.{c}").alias(prefix + c) for c in cols])
 
 
+def small(rows: DataFrame, most: int = 200_000) -> DataFrame:
+    """Rows as a settled table, to be broadcast if it has at most so many rows; beyond that joins deal it out."""
+    x = settle(rows, "small")
+    return F.broadcast(x) if x.limit(most + 1).count() <= most else x
+
+
 def last_before(rows: DataFrame, value: Column, name: str, order: Sequence[str] = ("ts",), by: str = "symbol", bucket_seconds: int = 86400) -> DataFrame:
     """Adds the last value that is not NULL among the rows before each row of its series, dealt as in asof_join."""
     x = rows.withColumn("_v", value).withColumn("_bucket", _bucket(order[0], bucket_seconds))

@@ -10,7 +10,7 @@ from lodestream.operators import features as ft
 from lodestream.operators import joins, resample
 from lodestream.operators.scan import ema, garch_variance
 from lodestream.plans.registry import query
-from lodestream.session import table, tune
+from lodestream.session import settle, table, tune
 from lodestream.sources import tables as src
 
 T, B, FU, BK, C, O, FL = v.TICKS, v.BARS, v.FUNDING, v.BOOK, v.CLOSED, v.ORDER_LOG, v.FILLS  # noqa: E741
@@ -84,7 +84,7 @@ def _(spark, d):
     y AS (SELECT x.*, b.ts AS nt, b.close AS ac FROM x ASOF LEFT JOIN bars b ON x.symbol = b.symbol AND x.ts <= b.ts)
     SELECT symbol, seq, round(CASE WHEN bt IS NULL OR abs(epoch_us(nt) - epoch_us(ts)) < abs(epoch_us(bt) - epoch_us(ts)) THEN ac ELSE bc END, 6) AS near_close FROM y""")
 def _(spark, d):
-    return joins.nearest_join(v.funding(spark, d), v.bars(spark, d), "ts", ["symbol"], ["close"]).select("symbol", "seq", "near_close")
+    return joins.nearest_join(v.funding(spark, d), settle(v.bars(spark, d).select("symbol", "ts", "close"), "bars"), "ts", ["symbol"], ["close"]).select("symbol", "seq", "near_close")
 
 
 LEGS = f"WITH {B}, p AS (SELECT a.ts, a.close AS c1, b.close AS c2, a.high AS l1_high, b.low AS l2_low FROM bars a JOIN bars b USING (ts) WHERE a.symbol = 'S0' AND b.symbol = 'S1')"
